@@ -40,6 +40,24 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op7_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .syncmers import fingerprint_digest
+
+    return fingerprint_digest(table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import language_digest
+
+    return language_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_file_digest
 
@@ -56,6 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
     "op4_license_scan": op4_license_scan,
+    "op5_jaccard_join": op5_jaccard_join,
+    "op7_syncmer_fingerprints": op7_syncmer_fingerprints,
+    "op8_language_id": op8_language_id,
     "op9_token_files": op9_token_files,
     "op10_mixing": op10_mixing,
 }
