@@ -191,53 +191,70 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return members.union(heads).repartition("b", "part").sortWithinPartitions("b", "part", "kind", "keys").mapInArrow(compare, "a long, b long").distinct()
 
 
-def index_entries(classes: DataFrame) -> DataFrame:
-    """key, node, n, pivot, pivot_n of the index entries that several sets share; pivot is the least of them by (n, node)."""
-    rows = classes.select(F.explode("prefix").alias("key"), "node", "n").repartition("key").sortWithinPartitions("key", "n", "node")
+def index_entries(classes: DataFrame, percent: int) -> DataFrame:
+    """key, node, n, leads, pivot, pivot_n of the index entries where sets may link by their lengths.
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key0 = node0 = n0 = None  # the pivot of the run that the last batch ended in
-        shown = True  # whether its own row has gone out
+    Of two sets that link, the shorter has a shared n-gram among its first lead_length ones; such a row leads, and only
+    longer sets that could still link follow it. pivot is the first to lead of an unbroken chain of lengths, and key
+    tells chains apart.
+    """
+    rows = classes.select("node", "n", F.posexplode("prefix").alias("at", "key")).select("key", "n", "node", (100 + percent) * F.col("at") < (100 - percent) * F.col("n") + (100 + percent))
+    rows = rows.toDF("key", "n", "node", "leads").repartition("key").sortWithinPartitions("key", "n", F.desc("leads"), "node")
+
+    def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        led: tuple[int, int] | None = None  # key and n of the last row that led
+        pivot: tuple[int, ...] | None = None  # key, n, node of the chain that the last batch ended in
+        shown = True  # whether the pivot's own row has gone out
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, node, n = (c.to_numpy() for c in batch.columns)
-            index = np.arange(len(key))
-            first = np.concatenate(([key0 is None or key[0] != key0], key[1:] != key[:-1]))
-            start = np.maximum.accumulate(np.where(first, index, -1))
-            pivot = np.where(start >= 0, node[start], node0 if node0 is not None else 0)
-            pivot_n = np.where(start >= 0, n[start], n0 if n0 is not None else 0)
-            keep = ~first
-            keep[:-1] |= first[:-1] & ~first[1:]
-            out = [x[keep] for x in (key, node, n, pivot, pivot_n)]
+            key, n, node = (batch.column(i).to_numpy() for i in range(3))
+            leads = batch.column(3).to_numpy(zero_copy_only=False)
+            at = np.arange(len(key))
+            last = np.maximum.accumulate(np.where(leads, at, -1))
+            before = np.concatenate(([-1], last[:-1]))  # the last row that led before this one
+            near = np.where(before >= 0, (key[before] == key) & (n * percent <= n[before] * 100), (key == led[0]) & (n * percent <= led[1] * 100) if led else False)
+            if last[-1] >= 0:
+                led = (int(key[last[-1]]), int(n[last[-1]]))
+            keep = leads | near
+            key, n, node, leads, first = key[keep], n[keep], node[keep], leads[keep], ~near[keep]
+            if not len(key):
+                continue
+            start = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
+            pivot_node = np.where(start >= 0, node[start], pivot[2] if pivot else 0)
+            pivot_n = np.where(start >= 0, n[start], pivot[1] if pivot else 0)
+            go = ~first
+            go[:-1] |= first[:-1] & ~first[1:]
+            out = [x[go].astype(np.int64) for x in (key, n, node, pivot_node, pivot_n)] + [leads[go]]
             if not first[0] and not shown:
-                out = [np.concatenate(([v], x)) for v, x in zip((key0, node0, n0, node0, n0), out, strict=True)]
+                out = [np.concatenate(([v], x)) for v, x in zip((*pivot, pivot[2], pivot[1], True), out, strict=True)]
                 shown = True
             if start[-1] >= 0:
-                key0, node0, n0 = key[start[-1]], node[start[-1]], n[start[-1]]
+                pivot = (int(key[start[-1]]), int(n[start[-1]]), int(node[start[-1]]))
                 shown = bool(start[-1] < len(key) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], ["key", "node", "n", "pivot", "pivot_n"])
+            chain = mix(out[0].view(np.uint64) ^ mix(out[3].view(np.uint64))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (chain, out[2], out[1], out[5].astype(bool), out[3], out[4])], ["key", "node", "n", "leads", "pivot", "pivot_n"])
 
-    return rows.mapInArrow(runs, "key long, node long, n long, pivot long, pivot_n long")
+    return rows.mapInArrow(chains, "key long, node long, n long, leads boolean, pivot long, pivot_n long")
 
 
 def rest_pairs(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of sets that share an index entry, have lengths that may link, and aren't in one component yet."""
-    known = entries.select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known = entries.select("key", "node", "n", "leads").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = known.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
     rows = known.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "label")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "node")
+    dealt = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "leads", "label")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", F.desc("leads"), "node")
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
         seen: set[tuple[int, int]] = set()
 
         def pairs() -> None:
-            i, j, block, node, n, label = (np.array(x) for x in zip(*(r[1:] for r in held), strict=True))
+            i, j, block, node, n, leads, label = (np.array(x) for x in zip(*(r[1:] for r in held), strict=True))
             last = np.searchsorted(n * percent, n * 100, "right")  # rows up to here are short enough to link
-            for k in range(len(n)):
+            for k in np.flatnonzero(leads):
                 others = np.arange(k + 1, last[k])
                 others = others[(label[others] != label[k]) & ((i[0] == j[0]) | (block[others] != block[k]))]
                 seen.update((int(x), int(node[k])) for x in node[others])
@@ -289,7 +306,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
 
     rows = materialise(docs.mapInArrow(summarise, "doc_id long, n long, one long, two long, prefix array<long>"), "sets")
     same = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "one", "two")
-    entries = materialise(index_entries(same.agg(F.min_by("prefix", "doc_id").alias("prefix"), F.min("doc_id").alias("node")).select("node", "n", "prefix")), "entries")
+    entries = materialise(index_entries(same.agg(F.min_by("prefix", "doc_id").alias("prefix"), F.min("doc_id").alias("node")).select("node", "n", "prefix"), percent), "entries")
 
     nodes = entries.select("node").distinct()
     few = nodes.count() <= BROADCAST_IDS
