@@ -16,6 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import pre_tokenizers
 
 from .common import shared_path
 from .token_count import LATIN_LETTER, LATIN_NUMBER, LATIN_SPACE, SPACE, is_latin, load_tokenizer, special_pattern
@@ -33,6 +34,9 @@ ORC_OPTIONS = {
     "orc.bloom.filter.fpp": "0.01",
 }
 
+#: Totals of up to so many shards (12 bytes each) are broadcast to readers; more are joined by a shuffle.
+BROADCAST_SHARDS = 1_000_000
+
 FILE_SCHEMA = "shard int, doc_id long, start_in_shard long, n_tokens long, ids array<int>"
 
 _caches: dict[str, WordIds] = {}
@@ -46,28 +50,32 @@ class WordIds(dict):
         self.tokenizer, self.room = tokenizer, entries
         self.last = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
         self.last[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-
-    def __missing__(self, word: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        # Words come here normalised and split, so their own tokenizer does neither again.
+        self.bare = type(tokenizer)(tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of new words. Each word ends in a token of its own kind, which parts the ids of words encoded together."""
+        ids = np.asarray(self.bare.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(new):
+            data, cuts = ids.tobytes(), [0, *(ends * 4).tolist()]
+            found = {w: data[a:b] for w, a, b in zip(new, cuts, cuts[1:], strict=False)}
+        else:
+            found = {w: np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in new}
+        if len(self) + len(found) <= self.room:
+            self.update(found)
+        return found
 
     def encode(self, texts: list[list[str]]) -> list[bytes]:
-        """The ids of each list of words. Each word ends in a token of its own kind, which parts the ids of words encoded together."""
-        new = list(set().union(*texts).difference(self.keys()))
-        extra: dict[str, bytes] = {}
-        if new:
-            ids = np.asarray(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(new):
-                data, cuts = ids.tobytes(), [0, *(ends * 4).tolist()]
-                extra = {w: data[a:b] for w, a, b in zip(new, cuts, cuts[1:], strict=False)}
-            else:
-                extra = {w: self[w] for w in new}
-            if len(self) + len(extra) <= self.room:
-                self.update(extra)
-                extra = {}
-        if not extra:
-            return [b"".join(map(self.__getitem__, words)) for words in texts]
-        return [b"".join([self.get(w) or extra[w] for w in words]) for words in texts]
+        """The ids of each list of words."""
+        known = [list(map(self.get, words)) for words in texts]
+        gaps = [(i, j) for i, ids in enumerate(known) if None in ids for j, x in enumerate(ids) if x is None]
+        if gaps:
+            found = self.learn(list({texts[i][j] for i, j in gaps}))
+            for i, j in gaps:
+                known[i][j] = found[texts[i][j]]
+        return list(map(b"".join, known))
 
 
 def normalised(text: str) -> str:
@@ -139,7 +147,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     # One row for each file: the running total of the shards before it.
     sizes = rows.groupBy("shard").agg(F.sum("n_tokens").alias("shard_tokens"))
     before = sizes.select("shard", (F.sum("shard_tokens").over(Window.orderBy("shard")) - F.col("shard_tokens")).alias("shard_start"))
-    return rows.join(before, "shard").select("shard", "doc_id", (F.col("shard_start") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids")
+    few = sizes.count() <= BROADCAST_SHARDS
+    return rows.join(F.broadcast(before) if few else before, "shard").select("shard", "doc_id", (F.col("shard_start") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids")
 
 
 def with_checksum(rows: DataFrame) -> DataFrame:
