@@ -54,6 +54,12 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_lm import score_digest
+
+    return score_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .syncmers import fingerprint_digest
 
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_license_scan": op4_license_scan,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_lm_scores": op6_lm_scores,
     "op7_syncmer_fingerprints": op7_syncmer_fingerprints,
     "op8_language_id": op8_language_id,
     "op9_token_files": op9_token_files,
