@@ -191,6 +191,33 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return members.union(heads).repartition("b", "part").sortWithinPartitions("b", "part", "kind", "keys").mapInArrow(compare, "a long, b long").distinct()
 
 
+def bitmap(keys: np.ndarray) -> bytes:
+    """The parity of keys in each of about as many buckets as there are keys, a power of two."""
+    size = 64 << max(0, int(np.ceil(np.log2(max(1, len(keys)) / 64))))
+    return np.packbits((np.bincount((keys & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """At most how many keys two sets don't share is bounded from below by this: buckets of different parity, the longer bitmap folded."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def may_link(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps leave a link possible; loses none. rows: doc_id, n, bits."""
+    one = rows.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+    two = rows.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb, bits_a, bits_b = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
+            near = [apart(x, y) <= n + m - 2 * required(n, m, percent) for n, m, x, y in zip(na, nb, bits_a, bits_b, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(near, pa.bool_())) for i in (0, 1)], ["a", "b"])
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(keep, "a long, b long").distinct()
+
+
 def index_entries(classes: DataFrame, percent: int) -> DataFrame:
     """key, node, n, leads, pivot, pivot_n of the index entries where sets may link by their lengths.
 
@@ -298,20 +325,17 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
             for a, b, data, offsets in text_parts(batch):
                 n, one, two = (np.zeros(b - a, t) for t in (np.int64, np.uint64, np.uint64))
                 prefix: list = [None] * (b - a)
+                bits: list = [None] * (b - a)
                 for row, keys in sets_of(data, offsets, words, frequent.value):
                     n[row], one[row], two[row] = len(keys), mix(keys ^ _ONE).sum(), mix(keys ^ _TWO).sum()
-                    prefix[row] = keys[: prefix_length(len(keys), percent)].astype(np.int64)
+                    prefix[row], bits[row] = keys[: prefix_length(len(keys), percent)].astype(np.int64), bitmap(keys)
                 ids = batch.column(0).slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "one", "two", "prefix"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "n", "one", "two", "prefix", "bits"])
 
-    rows = materialise(docs.mapInArrow(summarise, "doc_id long, n long, one long, two long, prefix array<long>"), "sets")
+    rows = materialise(docs.mapInArrow(summarise, "doc_id long, n long, one long, two long, prefix array<long>, bits binary"), "sets")
     same = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "one", "two")
     entries = materialise(index_entries(same.agg(F.min_by("prefix", "doc_id").alias("prefix"), F.min("doc_id").alias("node")).select("node", "n", "prefix"), percent), "entries")
 
-    nodes = entries.select("node").distinct()
-    few = nodes.count() <= BROADCAST_IDS
-    chosen = docs.join(F.broadcast(nodes) if few else nodes, F.col("doc_id") == F.col("node")).select("node", "text")
-
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in text_parts(batch):
@@ -320,12 +344,17 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
                     keys[row] = k.astype(">u8").tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(keys, pa.binary())], ["node", "keys"])
 
-    sets = materialise(chosen.mapInArrow(keep, "node long, keys binary"), "keys").where(F.octet_length("keys") > 0)
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(may_link(pairs, rows.where("n > 0"), percent), "pairs")
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
+        few = nodes.count() <= BROADCAST_IDS
+        chosen = docs.join(F.broadcast(nodes) if few else nodes, F.col("doc_id") == F.col("wanted")).select("wanted", "text")
+        sets = chosen.mapInArrow(keep, "node long, keys binary").where(F.octet_length("keys") > 0)
+        return materialise(verify(pairs, materialise(sets, "keys"), percent), "links")
 
     near = entries.where((F.col("node") != F.col("pivot")) & (100 * F.col("pivot_n") >= percent * F.col("n"))).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    first = materialise(verify(near, sets, percent), "links")
-    rest = materialise(rest_pairs(entries, components(first), percent), "pairs")
-    second = verify(rest, sets, percent)
+    first = linked(near)
+    second = linked(rest_pairs(entries, components(first), percent))
     # A document with several texts stands in several classes: its own id joins their nodes.
     classes = same.agg(F.min("doc_id").alias("node"))
     belongs = rows.select("doc_id", "n", "one", "two").join(classes, ["n", "one", "two"]).where("doc_id IS NOT NULL").select("doc_id", "node")
