@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import detection
+
+QUERIES = {**detection.QUERIES}
+ORACLES = {**detection.ORACLES}
 
 
 def flagship(spark, sf_dir):
