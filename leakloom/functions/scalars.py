@@ -100,7 +100,7 @@ def jwt_claims(token: Column) -> Column:
         return F.when(sound, F.struct(*(c.alias(n) for n, c in fields.items())))
 
     decoded = F.try_to_binary(raw, F.lit("base64"))
-    return F.when(F.size(parts) == 3, bound(F.decode(decoded, "UTF-8"), of_json)).cast(CLAIMS)
+    return F.when(F.size(parts) == 3, bound(F.make_valid_utf8(decoded.cast("string")), of_json)).cast(CLAIMS)
 
 
 def _aud(claims: Column) -> Column:

@@ -95,7 +95,7 @@ def route_probes(tagged: DataFrame, routes: DataFrame, enabled: tuple[str, ...]
 
 def dedup_paths(routed: DataFrame) -> DataFrame:
     """One row for each (host_id, probe, path): the first pattern in the probe's order."""
-    order = Window.partitionBy("host_id", "probe", "path").orderBy("ord", "pattern_name")
+    order = Window.partitionBy("host_id", "probe", "path").orderBy("ord", "pattern_name", *(c for c in ("size", "doc_id") if c in routed.columns))
     return routed.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
 
 

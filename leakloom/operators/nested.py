@@ -15,15 +15,20 @@ from ..functions import scalars as sc
 from .text import trimmed
 
 
-def _typed(text: Column, schema: str) -> Column:
-    """The document, or null if any field that is read has another type."""
+def _typed(text: Column, schema: str, texts: tuple[str, ...] = (), lists: tuple[str, ...] = (), maps: tuple[str, ...] = ()) -> Column:
+    """The document, or null if a field that is read has another type. texts, lists and maps name fields that hold texts only, wherever they stand."""
     doc = F.from_json(text, f"{schema}, __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
-    return sc.bound(doc, lambda d: F.when(d["__bad"].isNull(), d))
+    other = "(?!STRING|VOID)"
+    rules = [rf"(?:^|[<, `]){n}`?: {other}" for n in texts] + [rf"(?:^|[<, `]){n}`?: (?:ARRAY<{other}|(?!ARRAY|VOID))" for n in lists] + [rf"(?:^|[<, `]){n}`?: OBJECT<(?:[^>]*, )?`?[^>]*: {other}" for n in maps]
 
+    def sound(kind: Column) -> Column:
+        bad = F.lit(False)
+        for rule in rules:
+            bad = bad | kind.rlike(rule)
+        return ~F.coalesce(bad, F.lit(True))
 
-def _is_text_map(path: str, value: Column) -> Column:
-    kind = F.coalesce(F.schema_of_variant(F.try_variant_get(value, path, "variant")), F.lit("VOID"))
-    return ~kind.rlike(": (?!STRING|VOID)")
+    fits = sc.bound(F.schema_of_variant(F.try_parse_json(text)), sound)
+    return sc.bound(doc, lambda d: F.when(d["__bad"].isNull() & fits, d))
 
 
 def _quoted(c: Column) -> Column:
@@ -31,7 +36,7 @@ def _quoted(c: Column) -> Column:
 
 
 def _base64(c: Column) -> Column:
-    return F.decode(F.try_to_binary(F.regexp_replace(c, "[\r\n]", ""), F.lit("base64")), "UTF-8")
+    return F.make_valid_utf8(F.try_to_binary(F.regexp_replace(c, "[\r\n]", ""), F.lit("base64")).cast("string"))
 
 
 def _exploded(df: DataFrame, rows: Column, text: str) -> DataFrame:
@@ -42,7 +47,7 @@ def _exploded(df: DataFrame, rows: Column, text: str) -> DataFrame:
 
 def docker_auths(files: DataFrame, text: str = "content") -> DataFrame:
     """registry_host, auth, identitytoken of each entry."""
-    doc = _typed(F.col(text), "auths map<string, struct<auth string, username string, identitytoken string>>")
+    doc = _typed(F.col(text), "auths map<string, struct<auth string, username string, identitytoken string>>", ("auth", "username", "identitytoken"))
     rows = F.transform(F.map_entries(doc["auths"]), lambda e: F.struct(e["key"].alias("registry_host"), F.coalesce(e["value"]["auth"], F.lit("")).alias("auth"), F.coalesce(e["value"]["identitytoken"], F.lit("")).alias("identitytoken")))
     return _exploded(files, rows, text)
 
@@ -69,7 +74,7 @@ HCL = r"""credentials[\t\n\f\r ]+["']([^"']+)["'][\t\n\f\r ]*\{[^}]*?token[\t\n\
 
 def terraform_creds(files: DataFrame, text: str = "content") -> DataFrame:
     """Findings of stored tokens (host, file_format, token_prefix, token_fragment): the JSON form, else HCL blocks."""
-    doc = _typed(F.col(text), "credentials map<string, struct<token string>>")
+    doc = _typed(F.col(text), "credentials map<string, struct<token string>>", ("token",))
     entry = "array<struct<host string, token string, file_format string>>"
     as_json = F.transform(F.map_entries(doc["credentials"]), lambda e: F.struct(e["key"], e["value"]["token"], F.lit("json"))).cast(entry)
     hosts, tokens = (F.regexp_extract_all(F.col(text), F.lit(HCL), F.lit(i)) for i in (1, 2))
@@ -82,7 +87,7 @@ def terraform_creds(files: DataFrame, text: str = "content") -> DataFrame:
 def mcp_values(files: DataFrame, text: str = "content") -> DataFrame:
     """server, command, location, env_var and text of every value of env and envVars and every argument, but a package's own name."""
     server = "struct<command string, args array<string>, env map<string,string>, envVars map<string,string>>"
-    doc = _typed(F.col(text), f"mcpServers map<string, {server}>")
+    doc = _typed(F.col(text), f"mcpServers map<string, {server}>", ("command",), ("args",), ("env", "envVars"))
     raw = F.try_parse_json(F.col(text))
     entry = "array<struct<server string, command string, location string, env_var string, text string>>"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import bound
 from .detect import _any_of
 from .registry import REDACT_SPECS, Redaction
 
@@ -23,12 +24,14 @@ def redact_all(df: DataFrame, text: str = "text", specs: tuple[Redaction, ...] =
         return F.struct(t.alias("s"), F.array_append(state["n"], n).alias("n"))
 
     start = F.struct(F.col(text).alias("s"), F.array().cast("array<int>").alias("n"))
-    out = df.withColumn("__done", F.aggregate(F.sequence(F.lit(0), F.lit(len(specs) - 1)), start, step))
-    out = out.withColumn("__s", F.col("__done.s")).withColumns({f"__n{i}": F.coalesce(F.get("__done.n", F.lit(i)), F.lit(0)) for i in range(len(specs))})
-    labels = list(dict.fromkeys(r.label for r in specs))
-    total = {x: sum((F.col(f"__n{i}") for i, r in enumerate(specs) if r.label == x), F.lit(0)) for x in labels}
-    entries = F.filter(F.array(*(F.struct(F.lit(x).alias("key"), n.cast("int").alias("value")) for x, n in total.items())), lambda e: e["value"] > 0)
-    return out.withColumn("counts", F.map_from_entries(entries)).select(*columns, F.col("__s").alias("scrubbed"), "counts")
+
+    def outcome(state: Column) -> Column:
+        total = {x: sum((F.get(state["n"], F.lit(i)) for i, r in enumerate(specs) if r.label == x), F.lit(0)) for x in dict.fromkeys(r.label for r in specs)}
+        entries = F.filter(F.array(*(F.struct(F.lit(x).alias("key"), n.cast("int").alias("value")) for x, n in total.items())), lambda e: e["value"] > 0)
+        return F.struct(state["s"].alias("scrubbed"), F.map_from_entries(entries).alias("counts"))
+
+    done = bound(F.aggregate(F.sequence(F.lit(0), F.lit(len(specs) - 1)), start, step), outcome)
+    return df.withColumn("__done", done).select(*columns, "__done.scrubbed", "__done.counts")
 
 
 def _total(counts) -> F.Column:

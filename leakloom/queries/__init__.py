@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from . import detection
+from . import detection, preparation, reporting
+from .reporting import flagship
 
-QUERIES = {**detection.QUERIES}
-ORACLES = {**detection.ORACLES}
+QUERIES = {**reporting.QUERIES, **detection.QUERIES, **preparation.QUERIES}
+ORACLES = {**reporting.ORACLES, **detection.ORACLES, **preparation.ORACLES}
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ORACLES", "QUERIES", "flagship"]
