@@ -265,13 +265,28 @@ def index_entries(classes: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(chains, "key long, node long, n long, leads boolean, pivot long, pivot_n long")
 
 
-def rest_pairs(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of sets that share an index entry, have lengths that may link, and aren't in one component yet."""
+def folded(bits: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By bitmap length in words: a matrix of all bitmaps of that length or twice it, folded to it, and each row's place in it (or -1)."""
+    words = [np.frombuffer(x, np.uint64) for x in bits]
+    sizes, out = np.array([len(x) for x in words]), {}
+    for size in np.unique(sizes).tolist():
+        own = np.flatnonzero((sizes == size) | (sizes == 2 * size))
+        place = np.full(len(bits), -1)
+        place[own] = np.arange(len(own))
+        out[size] = (np.stack([np.bitwise_xor.reduce(words[i].reshape(-1, size), axis=0) for i in own]), place)
+    return out
+
+
+def rest_pairs(entries: DataFrame, labels: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of sets that share an index entry, aren't known to be in one component, and may link by their lengths and bitmaps.
+
+    An entry's sets are compared in blocks, so that none is gathered whole. rows: doc_id, bits.
+    """
     known = entries.select("key", "node", "n", "leads").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = known.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
-    rows = known.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "leads", "label")
+    rows_of = known.join(mixed, "key").join(rows.select(F.col("doc_id").alias("node"), "bits"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows_of = rows_of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = rows_of.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "leads", "label", "bits")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", F.desc("leads"), "node")
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,12 +294,17 @@ def rest_pairs(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame
         seen: set[tuple[int, int]] = set()
 
         def pairs() -> None:
-            i, j, block, node, n, leads, label = (np.array(x) for x in zip(*(r[1:] for r in held), strict=True))
+            i, j, block, node, n, leads, label = (np.array(x) for x in zip(*(r[1:8] for r in held), strict=True))
+            bits = folded([r[8] for r in held])
             last = np.searchsorted(n * percent, n * 100, "right")  # rows up to here are short enough to link
             for k in np.flatnonzero(leads):
                 others = np.arange(k + 1, last[k])
                 others = others[(label[others] != label[k]) & ((i[0] == j[0]) | (block[others] != block[k]))]
-                seen.update((int(x), int(node[k])) for x in node[others])
+                if len(others):
+                    matrix, place = bits[len(held[k][8]) // 8]
+                    differ = np.bitwise_count(matrix[place[others]] ^ matrix[place[k]]).sum(axis=1)
+                    most = n[others] + n[k] - 2 * -(-percent * (n[others] + n[k]) // (100 + percent))
+                    seen.update((int(x), int(node[k])) for x in node[others[differ <= most]])
 
         def flush() -> pa.RecordBatch:
             out = list(seen)
@@ -345,7 +365,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(keys, pa.binary())], ["node", "keys"])
 
     def linked(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(may_link(pairs, rows.where("n > 0"), percent), "pairs")
+        pairs = materialise(pairs, "pairs")
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
         few = nodes.count() <= BROADCAST_IDS
         chosen = docs.join(F.broadcast(nodes) if few else nodes, F.col("doc_id") == F.col("wanted")).select("wanted", "text")
@@ -353,8 +373,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
         return materialise(verify(pairs, materialise(sets, "keys"), percent), "links")
 
     near = entries.where((F.col("node") != F.col("pivot")) & (100 * F.col("pivot_n") >= percent * F.col("n"))).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    first = linked(near)
-    second = linked(rest_pairs(entries, components(first), percent))
+    first = linked(may_link(near, rows, percent))
+    second = linked(rest_pairs(entries, components(first), rows, percent))
     # A document with several texts stands in several classes: its own id joins their nodes.
     classes = same.agg(F.min("doc_id").alias("node"))
     belongs = rows.select("doc_id", "n", "one", "two").join(classes, ["n", "one", "two"]).where("doc_id IS NOT NULL").select("doc_id", "node")
