@@ -1,0 +1,90 @@
+"""Small cases of operators that the tables don't reach."""
+
+from __future__ import annotations
+
+import hashlib
+import hmac
+
+from pyspark.sql import functions as F
+
+from leakloom.functions import scalars as sc
+from leakloom.functions.regexport import glob_regex
+from leakloom.operators import findings as fd
+from leakloom.operators import text as tx
+from leakloom.operators.detect import detect, detect_all
+from leakloom.operators.redact import redact_all
+from leakloom.operators.registry import Registry
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first().x
+
+
+def test_hmac(spark):
+    for salt in ("linux:amd64:h:", "s" * 80):
+        df = spark.createDataFrame([(salt, "välue")], "salt string, v string").withColumn("p", sc.hmac_pads(F.col("salt")))
+        assert df.select(sc.hmac_hex(F.col("p"), F.col("v"))).first()[0] == hmac.new(salt.encode(), "välue".encode(), hashlib.sha256).hexdigest()
+
+
+def test_unescape_fish(spark):
+    for raw, want in ((r"a\nb", "a\nb"), (r"a\\nb", r"a\nb"), ("end\\", "end\\"), (r"\q\t", "q\t")):
+        assert one(spark, sc.unescape_fish(F.lit(raw))) == want
+
+
+def test_entropy(spark):
+    for text, want in (("", 0.0), ("aabb", 1.0), ("abcd", 2.0), ("a\nb\n", 1.5)):
+        assert abs(one(spark, sc.shannon_entropy(F.lit(text))) - want) < 1e-12
+
+
+def test_globs():
+    assert glob_regex("id_*") == "id_[^/]*"
+    assert glob_regex("[") is None
+
+
+def test_boundaries(spark):
+    token = "np" + "m_" + "a1" * 18
+    texts = [token, f"é{token}", f"{token}é", f"x{token}", f"{token}\r\n", f"`{token}`", f"{token}\x0b", f"{token} {token}", token[:-1], token + "b", token.upper(), "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    found = {r.i for r in detect(df, "npm-token").collect()}
+    assert found == {0, 1, 4, 5, 7, 10}
+
+
+def test_long_line_stops_file(spark):
+    df = spark.createDataFrame([("a\n\nbbbbbb\nc\r\n",), ("",), (None,)], "content string")
+    assert [(r.line_number, r.line) for r in tx.to_lines(df, max_line=6).collect()] == [(1, "a")]
+    assert [(r.line_number, r.line) for r in tx.to_lines(df, max_line=7).collect()] == [(1, "a"), (3, "bbbbbb"), (4, "c")]
+
+
+def test_redaction_order_and_nulls(spark):
+    jwt = "Bearer ey" + "J" + "a" * 12 + ".ey" + "J" + "b" * 12 + "." + "c" * 12
+    df = spark.createDataFrame([(jwt,), (None,), ("clean",)], "text string")
+    rows = {r.text: (r.scrubbed, r.counts) for r in redact_all(df).collect()}
+    assert rows[jwt] == ("Bearer [REDACTED-jwt]", {"REDACTED-jwt": 1})
+    assert rows["clean"] == ("clean", {})
+    assert rows[None][0] is None and not rows[None][1]
+
+
+def test_database_url_counts_again(spark):
+    df = spark.createDataFrame([("mysql" + "://u:pw@h/x",)], "text string")
+    once = redact_all(df).select(F.col("scrubbed").alias("text"))
+    again = redact_all(once).first()
+    assert again.scrubbed == again.text and again.counts == {"REDACTED-db-credential": 1}
+
+
+def test_dedup_keeps_empty_fingerprints(spark):
+    schema = "host_id string, finding_id string, fingerprint string, probe string, path string, line_number int, env_var string, rank int, at int, value_order string, metadata map<string,string>"
+    rows = [("h", "a", "f", "p", "file:b", 2, "", 1, 0, "", {"k": "1"}), ("h", "b", "f", "p", "file:b", 2, "", 0, 0, "", {}), ("h", "c", "f", "p", "file:a", 0, "X", 5, 0, "", {}), ("h", "d", "", "p", "x", 0, "", 0, 0, "", {}), ("h", "d", "", "p", "x", 0, "", 0, 0, "", {}), ("g", "a", "f", "p", "y", 0, "", 0, 0, "", {})]
+    out = fd.dedup_findings(spark.createDataFrame(rows, schema)).collect()
+    merged = [r for r in out if r.fingerprint == "f" and r.host_id == "h"]
+    assert len(out) == 4 and len(merged) == 1
+    assert merged[0].finding_id == "c" and merged[0].locations == ["file:a (env: X)", "file:b:2", "file:b:2"]
+    assert all(r.locations is None for r in out if r.fingerprint != "f" or r.host_id == "g")
+
+
+def test_registry_is_extended_in_order(spark):
+    from leakloom.operators.registry import Detector, Redaction
+
+    mine = Registry().register_detector(Detector("own", 50, "own-id", "zz[0-9]+")).register_redactor(Redaction("REDACTED-own", "zz[0-9]+", "[REDACTED-own]"))
+    df = spark.createDataFrame([("a zz12 b",)], "text string")
+    assert [r.finding_id for r in detect_all(df, specs=mine.detectors).collect()] == ["own-id"]
+    assert redact_all(df, specs=mine.redactions).first().scrubbed == "a [REDACTED-own] b"
