@@ -16,6 +16,7 @@ from ..sources.files import report_json
 from ..streaming.streams import dedup_stream, detect_stream, redact_stream
 from .detection import NOW, SQL_RULES, documents, hits_sql, redaction_ctes
 from .plant import Part, quote, spark_text, spark_token, sql_text, sql_token
+from .preparation import _PATH, _path
 
 #: Payloads by doc_id; {k} is the id.
 PAYLOADS = (
@@ -176,7 +177,19 @@ def scan_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(wf.scan_chats(files), "github-pat").select("path", "line_number", "finding_id")
 
 
+def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file of its source's host, at a path of the catalogue, with a token in its last line."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), spark_token(_SHARED, F.col("doc_id")), F.lit(" k"))
+    return documents(spark, sf_dir).select(F.col("source").alias("host_id"), F.concat(F.col("doc_id").cast("string"), F.lit("/"), _path()).alias("path"), text.alias("content"), F.octet_length(text).cast("long").alias("size"), F.lit("2024-01-01").cast("timestamp").alias("mtime"), F.lit(0o644).alias("mode"), F.lit("linux").alias("os"))
+
+
+def scrub_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole scrub: chats and histories with a finding, rewritten."""
+    return wf.scrub(_snapshot(spark, sf_dir), 0, NOW).select("host_id", "path", F.explode("counts").alias("label", "n"))
+
+
 QUERIES = {
+    "scrub_snapshot": scrub_snapshot,
     "report_documents": flagship, "detect_jwt": jwt_claims, "dedup_findings": dedup_findings, "report_table": report_table, "strict_gate": strict_gate, "affected_files": affected_files, "report_json": findings_json, "vectorised_detector": vectorised,
     "stream_detect": stream_detect, "stream_redact": stream_redact, "stream_dedup": stream_dedup, "scan_chats": scan_chats,
 }
@@ -184,7 +197,11 @@ QUERIES = {
 _CHATS = f"t AS (SELECT conv_id, turn, row_number() OVER () AS r, {sql_text(_CHAT, 'conv_id')} AS text FROM conversations)"
 _STREAM_HITS = f"h AS (SELECT r, finding_id, v FROM ({' UNION ALL '.join(f'SELECT r, finding_id, v FROM ({hits_sql(n, chr(116), chr(114))})' for n in SQL_RULES)}))"
 
+_SCRUB = f"""WITH t AS (SELECT doc_id, source, doc_id || '/' || {_PATH} AS path, coalesce(text, '') || chr(10) || {sql_token(_SHARED, "doc_id")} || ' k' AS text FROM documents WHERE regexp_matches({_PATH}, '^([.]claude/projects/|[.]codex/sessions/|[.]bash_history$)')),
+{redaction_ctes('t')}, x AS (SELECT doc_id, unnest(counts) AS u FROM redacted) SELECT source AS host_id, path, u.label AS label, sum(u.n)::INT AS n FROM x JOIN t USING (doc_id) GROUP BY ALL"""
+
 ORACLES = {
+    "scrub_snapshot": _SCRUB,
     "detect_jwt": _JWT_SQL,
     "dedup_findings": _DEDUP,
     "report_table": _REPORT,
