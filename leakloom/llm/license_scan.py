@@ -1,11 +1,13 @@
 """Short licence notices, also with a few wrong characters.
 
 A notice with at most k edits, cut into k + 1 pieces, still holds one piece unchanged; those exact seeds give candidate
-places, and the regex library's bounded-error matching verifies each, counts its edits and reports its span.
+places, and the regex library's bounded-error matching verifies each, counts its edits and reports its span. Of places
+of one notice that overlap, the one of fewest edits stays.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -59,21 +61,28 @@ def _verifier(notice: Notice):
     return regex.compile(rf"(?be)(?<![^ ])(?:{regex.escape(notice.words, literal_spaces=True)}){{e<={notice.edits}}}(?![^ ])")
 
 
-def _windows(words: bytes, notice: Notice) -> list[list[int]]:
-    """Stretches that may hold the notice: around each seed, overlapping ones joined."""
-    found = []
+def _windows(words: bytes, notice: Notice) -> list[tuple[int, int]]:
+    """Stretches that may hold the notice: one around each seed, widened to whole words, so that it begins and ends between characters."""
+    found, last = set(), len(words) - 1
     for seed, place in _seeds(notice):
         at = words.find(seed)
         while at >= 0:
-            found.append((at - place - notice.edits - 1, at - place + len(notice.words) + notice.edits + 1))
+            a, b = max(at - place - notice.edits - 1, 0), min(at - place + len(notice.words) + notice.edits + 1, last)
+            found.add((words.rfind(b" ", 0, a) + 1 if a else 0, words.find(b" ", b)))
             at = words.find(seed, at + 1)
-    joined: list[list[int]] = []
-    for a, b in sorted(found):
-        if joined and a <= joined[-1][1]:
-            joined[-1][1] = max(b, joined[-1][1])
-        else:
-            joined.append([max(a, 0), b])
-    return joined
+    return sorted(found)
+
+
+def _apart(found: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of (edits, start, end), those of fewest edits that don't overlap, by start."""
+    starts: list[int] = []
+    kept: list[tuple[int, int, int]] = []
+    for edits, a, b in sorted(found):
+        at = bisect(starts, a)
+        if (not at or kept[at - 1][1] <= a) and (at == len(kept) or b <= kept[at][0]):
+            starts.insert(at, a)
+            kept.insert(at, (a, b, edits))
+    return kept
 
 
 def scan_text(text: str, notices: tuple[Notice, ...] = NOTICES) -> tuple[int, list[dict]]:
@@ -95,18 +104,17 @@ def scan_text(text: str, notices: tuple[Notice, ...] = NOTICES) -> tuple[int, li
             at = words.find(needle, at + 1)
         if not notice.edits:
             continue
+        found = {(0, a, a + len(notice.words)) for a in exact}
         for a, b in _windows(words, notice):
-            while a > 0 and words[a - 1 : a] != b" ":  # whole words, so that the window begins and ends between characters
-                a -= 1
-            while b < len(words) and words[b : b + 1] != b" ":
-                b += 1
             window = words[a:b].decode("utf-8", "replace")
-            for m in _verifier(notice).finditer(window):
-                lead, hit = len(m[0]) - len(m[0].lstrip(" ")), m[0].strip(" ")
-                start = a + len(window[: m.start() + lead].encode())
-                edits = sum(m.fuzzy_counts)
-                if hit and edits and not any(start < e + len(notice.words) and e < start + len(hit.encode()) for e in exact):
-                    add(notice, start, start + len(hit.encode()), edits)
+            # The best match of one seed's window; a window of several notices would hide all but its best.
+            m = _verifier(notice).search(window)
+            if m and (hit := m[0].strip(" ")):
+                start = a + len(window[: m.start() + len(m[0]) - len(m[0].lstrip(" "))].encode())
+                found.add((sum(m.fuzzy_counts), start, start + len(hit.encode())))
+        for a, b, edits in _apart(found):
+            if edits:
+                add(notice, a, b, edits)
     return len(each), spans
 
 

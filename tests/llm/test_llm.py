@@ -121,6 +121,13 @@ def test_license_scan():
     assert license_scan.scan_text("under the bsd license")[1][0]["label"] == "bsd"
 
 
+def test_license_notices_in_a_row():
+    spans = lambda text: [(s["first_word"], s["last_word"], s["edits"]) for s in license_scan.scan_text(text)[1] if s["label"] == "gpl"]
+    assert spans("gnu generl publc license gnu generl publi license") == [(0, 3, 2), (4, 7, 2)]
+    assert sorted(spans("gnu generl publc license or the gnu general public license")) == [(0, 3, 2), (6, 9, 0)]
+    assert spans("gnu generl publc license " * 3000) == [(4 * i, 4 * i + 3, 2) for i in range(3000)]
+
+
 def brute_components(rows, k, percent):
     sets = {}
     for i, t in rows:
