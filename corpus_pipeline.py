@@ -29,8 +29,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources by weight: a row for each copy of a document that it takes, whole or cut by a quota."""
-    return mix_documents(docs).select(*docs.columns)
+    """The mix of sources by weight: a row for each piece of a document that it takes, with its shard and position, in that order."""
+    return mix_documents(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Mix sources to target weights.
 
 The documents of a source stand in a keyed random order and form one stream of words, cut into blocks of equal length.
-A source's target gives whole passes over its stream and an exact quota of blocks of one more. A splitting tree parts
+A source's target gives whole passes over its stream and an exact quota of blocks of one more, drawn from all of them by
+a keyed bijection; the last one drawn is cut to meet the target. A splitting tree parts
 the quotas of all sources among the output shards by multivariate hypergeometric draws, each node seeded by its own
 range of shards, so that a task finds the shard of a block by walking down and no table of shards is shipped. The
-blocks of a source are permuted by a keyed bijection, so shards hold disjoint blocks; rows are shuffled within a shard.
+drawn blocks of a source are permuted by a keyed bijection, so shards hold disjoint blocks. A document that several
+shards share is parted among them, and the rows of the mix are written by shard and by random places within it.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ from .common import WORD_PATTERN
 #: Ranges of the random order in which running sums are taken; a source's running sum is that of ranges, then of rows.
 RANGES = 4096
 
+#: Words, about, of a partition of the mix.
+PARTITION_WORDS = 4_000_000
+
 PIECE = "array<struct<copy int, block long, first long, n long>>"
 
 
@@ -80,20 +85,38 @@ class SplitTree:
         return out
 
 
+def affine(n: int, seed: int) -> tuple[int, int]:
+    """Factor and summand of a keyed bijection of 0..n-1: an affine map whose factor shares no divisor with n."""
+    factor = int(np.random.default_rng([seed, n]).integers(1, max(2, n)))
+    while math.gcd(factor, n) != 1:
+        factor += 1
+    return factor, seed % n
+
+
 def permuted(block: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
-    """A keyed bijection of 0..size-1: an affine map whose factor shares no divisor with size."""
+    """affine of each block, by its size."""
     out = np.zeros(len(block), np.int64)
     for n in np.unique(size):
         rows = size == n
-        rng = np.random.default_rng([seed, int(n)])
-        factor = int(rng.integers(1, max(2, int(n))))
-        while math.gcd(factor, int(n)) != 1:
-            factor += 1
-        out[rows] = [(factor * int(b) + seed) % int(n) for b in block[rows]]
+        factor, more = affine(int(n), seed)
+        out[rows] = [(factor * int(b) + more) % int(n) for b in block[rows]]
     return out
 
 
-def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = 1024, shards: int = 16, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
+def drawn_blocks(size: int, rest: int, block_words: int, seed: int) -> tuple[int, int]:
+    """How many blocks the partial pass of rest words draws by permuted rank, and how many words of the last one it takes."""
+    n, short = -(-size // block_words), -size % block_words
+    if not rest:
+        return 0, 0
+    factor, more = affine(n, seed)
+    at = (factor * (n - 1) + more) % n  # the rank of the stream's last block, which lacks some words
+    words = lambda k: k * block_words - (short if at < k else 0)  # noqa: E731  of the first k ranks
+    k = -(-rest // block_words)
+    k += words(k) < rest
+    return k, rest - words(k - 1)
+
+
+def plan_mix(docs: DataFrame, **options) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, pieces, shards, position (and the columns named in carry) of each row.
 
     pieces: the stretches of the document that the mix takes (copy, block, first word, number of words), shards: the
@@ -101,6 +124,11 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     in everything are interchangeable, and each gives a row; an empty table gives none. The driver holds one number a
     source, as the weights are given for each source.
     """
+    return _plan(docs, **options)[0]
+
+
+def _plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = 1024, shards: int = 16, seed: int = 17, carry: tuple[str, ...] = ()) -> tuple[DataFrame, float]:
+    """plan_mix, and the words that the mix takes."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), *carry)
@@ -114,8 +142,12 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
         goal = round(want[s])
         whole[s], rest[s] = divmod(goal, sizes[s]) if sizes[s] else (0, 0)
     blocks = lambda n: -(-n // block_words)
-    tree = SplitTree(tuple(whole[s] * blocks(sizes[s]) + blocks(rest[s]) for s in order), shards, seed)
-    facts = spark.createDataFrame([(s, i, sizes[s], want[s], whole[s], rest[s]) for i, s in enumerate(order)], "source string, source_at int, source_size long, target double, whole int, rest long")
+    draw = {s: (*affine(max(1, blocks(sizes[s])), seed + 2), *drawn_blocks(sizes[s], rest[s], block_words, seed + 2)) for s in order}
+    tree = SplitTree(tuple(whole[s] * blocks(sizes[s]) + draw[s][2] for s in order), shards, seed)
+    facts = spark.createDataFrame(
+        [(s, i, sizes[s], want[s], whole[s], max(1, blocks(sizes[s])), *draw[s]) for i, s in enumerate(order)],
+        "source string, source_at int, source_size long, target double, whole int, blocks long, factor long, more long, quota long, last_words long",
+    )
 
     # The window of ranges has at most RANGES rows a source, that of rows a RANGESth part of a source.
     by_range = Window.partitionBy("source").orderBy("range")
@@ -125,20 +157,24 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     keyed = local.join(begins.withColumnsRenamed({"source": "s", "range": "r"}), F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).drop("s", "r")
     keyed = keyed.join(F.broadcast(facts.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("start", F.col("range_start") + F.col("local"))
 
-    def cuts(copy, taken):
-        """The blocks of one copy that the first `taken` words of the document's stretch reach."""
-        first = F.floor(F.col("start") / block_words)
-        last = F.floor((F.col("start") + taken - 1) / block_words)
+    rank = lambda b: (F.col("factor") * b + F.col("more")) % F.col("blocks")
+
+    def cuts(copy, most):
+        """The pieces of one copy: of each block that the document reaches, what it has of the block's first most(block) words."""
         piece = lambda b: F.struct(
             copy.cast("int").alias("copy"), b.cast("long").alias("block"), (F.greatest(b * block_words, F.col("start")) - F.col("start")).cast("long").alias("first"),
-            (F.least((b + 1) * block_words, F.col("start") + taken) - F.greatest(b * block_words, F.col("start"))).cast("long").alias("n"),
+            (F.least(b * block_words + most(b), F.col("start") + F.col("size")) - F.greatest(b * block_words, F.col("start"))).cast("long").alias("n"),
         )
-        return F.when(taken > 0, F.transform(F.sequence(first, last), piece)).otherwise(F.array().cast(PIECE))
-
-    over = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start")))
-    full = F.when((F.col("whole") > 0) & (F.col("size") > 0), F.flatten(F.transform(F.sequence(F.lit(0), F.col("whole") - 1), lambda c: cuts(c, F.col("size"))))).otherwise(F.array().cast(PIECE))
-    drawn = keyed.withColumn("pieces", F.concat(full, cuts(F.col("whole"), over)))
+        reached = F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))
+        return F.filter(F.transform(reached, piece), lambda p: p["n"] > 0)
+
+    partial = lambda b: F.when(rank(b) < F.col("quota") - 1, block_words).when(rank(b) == F.col("quota") - 1, F.col("last_words")).otherwise(0)
+    none = F.array().cast(PIECE)
+    full = F.when((F.col("whole") > 0) & (F.col("size") > 0), F.flatten(F.transform(F.sequence(F.lit(0), F.col("whole") - 1), lambda c: cuts(c, lambda _: F.lit(block_words))))).otherwise(none)
+    over = F.when((F.col("quota") > 0) & (F.col("size") > 0), cuts(F.col("whole"), partial)).otherwise(none)
+    drawn = keyed.withColumn("pieces", F.concat(full, over))
     per_copy, quotas = [blocks(sizes[s]) for s in order], tree.quotas
+    whole_of, draw_of = [int(whole[s]) for s in order], [draw[s][:2] for s in order]
 
     @F.pandas_udf("array<int>")
     def shard_of(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -148,18 +184,21 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
             flat = [p for row in pieces for p in row]
             copy = np.fromiter((p["copy"] for p in flat), np.int64, len(flat))
             block = np.fromiter((p["block"] for p in flat), np.int64, len(flat))
-            quota = np.asarray(quotas, np.int64)[source]
-            rank = permuted(copy * np.asarray(per_copy, np.int64)[source] + block, quota, seed) if len(flat) else block
-            shard = tree.shard_of(source, rank)
+            quota, n_blocks = np.asarray(quotas, np.int64)[source], np.asarray(per_copy, np.int64)[source]
+            # Blocks of the partial pass count by their rank, which is below its quota.
+            factor, more = np.asarray(draw_of, np.int64).reshape(-1, 2)[source].T
+            block = np.where(copy == np.asarray(whole_of, np.int64)[source], (factor * block + more) % np.maximum(n_blocks, 1), block)
+            shard = tree.shard_of(source, permuted(copy * n_blocks + block, quota, seed) if len(flat) else block)
             ends = np.cumsum(n)
             yield pd.Series([shard[e - k : e].tolist() for e, k in zip(ends, n, strict=True)], index=pieces.index, dtype=object)
 
-    return (
+    plan = (
         drawn.withColumn("shards", shard_of("source_at", "pieces"))
         .withColumn("taken", F.aggregate("pieces", F.lit(0).cast("long"), lambda total, p: total + p["n"]))
         .withColumn("position", F.xxhash64("start", "source", F.lit(seed + 1)))
         .select("doc_id", "source", "size", "source_size", "target", "taken", "pieces", "shards", "position", *carry)
     )
+    return plan, sum(want.values())
 
 
 def mix_digest(docs: DataFrame, **options) -> DataFrame:
@@ -168,19 +207,34 @@ def mix_digest(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: a row for each copy of a document that it takes, in its shard and place.
+    """The mix as documents, by shard and place: a row for each piece of a document that it takes.
 
-    A copy that it takes whole keeps its text; of one cut by a quota, the words from first to the cut, parted by
-    spaces. The columns of docs stay, with n_chars (where present) set to the new text's; shard and position follow.
+    A copy taken whole into one shard is one row and keeps its text; of other copies each block's words are a row, parted
+    by spaces. The columns of docs stay, with n_chars (where present) set to the new text's; shard and position follow.
+    Rows lie in partitions by shard and ranges of position, ascending within.
     """
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "source", "size", "source_size", "target", "taken", "pieces", "shards", "position"))
-    plan = plan_mix(docs, carry=carry, **options)
-    zipped = F.arrays_zip("pieces", "shards")
-    copies = F.array_distinct(F.transform("pieces", lambda p: p["copy"]))
-    rows = plan.withColumn("copy", F.explode(copies)).withColumn("own", F.filter(zipped, lambda z: z["pieces"]["copy"] == F.col("copy")))
-    n = F.aggregate("own", F.lit(0).cast("long"), lambda total, z: total + z["pieces"]["n"])
-    words = F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0))
-    rows = rows.withColumn("text", F.when(n == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, n.cast("int")), " ")))
+    plan, words_taken = _plan(docs, carry=carry, **options)
+    row = lambda copy, shard, first, n: F.struct(copy.alias("copy"), shard.alias("shard"), first.cast("long").alias("first"), n.cast("long").alias("n"))
+
+    def of_copy(copy):
+        own = F.filter(F.arrays_zip("pieces", "shards"), lambda z: z["pieces"]["copy"] == copy)
+        n = F.aggregate(own, F.lit(0).cast("long"), lambda total, z: total + z["pieces"]["n"])
+        together = (n == F.col("size")) & (F.size(F.array_distinct(F.transform(own, lambda z: z["shards"]))) == 1)
+        return F.when(together, F.array(row(copy, F.element_at(own, 1)["shards"], F.lit(0), n))).otherwise(F.transform(own, lambda z: row(copy, z["shards"], z["pieces"]["first"], z["pieces"]["n"])))
+
+    parts = plan.withColumn("parts", F.flatten(F.transform(F.array_distinct(F.transform("pieces", lambda p: p["copy"])), of_copy)))
+    cut = F.exists("parts", lambda p: p["n"] < F.col("size"))
+    # The words are found once for each row; a piece's text is null if it is the document's.
+    words = F.when(cut, F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    text = lambda w, p: F.when(p["n"] < F.col("size"), F.array_join(F.slice(w, (p["first"] + 1).cast("int"), p["n"].cast("int")), " "))
+    texts = F.get(F.transform(F.array(words), lambda w: F.transform("parts", lambda p: F.struct(*(p[c].alias(c) for c in ("copy", "shard", "first")), text(w, p).alias("own")))), F.lit(0))
+    rows = parts.withColumn("part", F.explode(texts)).withColumn("text", F.coalesce("part.own", "text"))
     if "n_chars" in carry:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.withColumn("shard", F.element_at("own", 1)["shards"]).select(*docs.columns, "shard", "position")
+    rows = rows.withColumn("shard", F.col("part.shard")).withColumn("position", F.xxhash64("position", "part.copy", "part.first")).select(*docs.columns, "shard", "position")
+    # Each shard's rows go to as many partitions, by ranges of position, as its share of the words asks for.
+    shards = options.get("shards", 16)
+    levels = max(0, math.ceil(math.log2(max(1, words_taken / shards / PARTITION_WORDS))))
+    place = F.shiftrightunsigned(F.col("position").bitwiseXOR(F.lit(-(1 << 63))), 64 - levels).cast("int") if levels else F.lit(0)
+    return rows.repartitionById(shards << levels, (F.col("shard") * (1 << levels) + place).cast("int")).sortWithinPartitions("shard", "position")

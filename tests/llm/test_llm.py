@@ -228,6 +228,37 @@ def test_mixed_documents_match_the_plan(spark, docs):
     assert set(docs.columns) < set(out.columns)
 
 
+def test_partial_pass_draws_blocks_by_rank(spark):
+    # One source of 1200 words in blocks of 7, of which 600 words are taken.
+    df = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(12)), "s") for i in range(100)], "doc_id long, text string, source string")
+    rows = mixing.plan_mix(df, share=0.5, block_words=7, shards=4).collect()
+    blocks = {p.block for r in rows for p in r.pieces}
+    assert sum(r.taken for r in rows) == 600
+    assert len(blocks) in (86, 87) and max(blocks) - min(blocks) > 120
+    for size, rest in ((1200, 600), (1200, 1), (1200, 1199), (14, 13), (5, 3), (7, 6)):
+        k, last = mixing.drawn_blocks(size, rest, 7, 19)
+        factor, more = mixing.affine(-(-size // 7), 19)
+        lengths = {(factor * b + more) % -(-size // 7): min(7, size - 7 * b) for b in range(-(-size // 7))}
+        assert sum(lengths[r] for r in range(k - 1)) + last == rest and 0 < last <= lengths[k - 1]
+
+
+def test_mix_keeps_quotas_and_order(spark):
+    df = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(100)), "s") for i in range(60)], "doc_id long, text string, source string")
+    options = {"block_words": 30, "shards": 4, "share": 1.0}
+    planned = collections.Counter()
+    for r in mixing.plan_mix(df, **options).collect():
+        for p, shard in zip(r.pieces, r.shards, strict=True):
+            planned[shard] += p.n
+    out = mixing.mix_documents(df, **options).withColumn("part", F.spark_partition_id()).collect()
+    got = collections.Counter()
+    for r in out:
+        got[r.shard] += len(r.text.split())
+    assert got == planned and max(got.values()) - min(got.values()) <= 30
+    assert collections.Counter(w for r in out for w in r.text.split()) == collections.Counter(f"w{i}x{j}" for i in range(60) for j in range(100))
+    assert [(r.part, r.shard, r.position) for r in out] == sorted((r.part, r.shard, r.position) for r in out)
+    assert all(r.part == r.shard for r in out) and len({r.doc_id for r in out[:10]}) > 5
+
+
 def test_split_tree_is_exact():
     tree = mixing.SplitTree((100, 37, 0, 5), 6, 3)
     source = np.repeat(np.arange(4), (100, 37, 0, 5))
