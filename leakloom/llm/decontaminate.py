@@ -72,8 +72,13 @@ def _cut(tokens: Column, position: Column, length: Column) -> Column:
     return F.slice(tokens, position + 1, length)
 
 
-def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, item_position, length, hash, item_tokens, item_template, item_windows of the windows with at least as many words as placeholders."""
+def _wordy(template: Column) -> Column:
+    """Whether a window has at least as many words as placeholders."""
+    return 2 * F.size(F.filter(template, lambda w: w.isin("<name>", "<num>", "<unit>"))) <= F.size(template)
+
+
+def benchmark_windows(benchmark: DataFrame, all_windows: bool = False) -> DataFrame:
+    """item_id, item_position, length, hash, item_tokens, item_template, item_windows of the windows with at least as many words as placeholders, or of all."""
     items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     items = items.withColumn("tokens", tokens_of(F.col("text"))).where(F.size("tokens") >= LEAST).withColumn("template", _kinds(F.col("tokens"), lambda w: w))
     n = F.least(F.size("tokens"), F.lit(WINDOW))
@@ -82,19 +87,12 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
         "item_id", "item_position", "length", _cut(F.col("tokens"), F.col("item_position"), F.col("length")).alias("item_tokens"), _cut(F.col("template"), F.col("item_position"), F.col("length")).alias("item_template"),
         (F.size("tokens") - n + 1).alias("item_windows"),
     )
-    wordy = cut.where(2 * F.size(F.filter("item_template", lambda w: w.isin("<name>", "<num>", "<unit>"))) <= F.col("length"))
+    wordy = cut if all_windows else cut.where(_wordy(F.col("item_template")))
     return wordy.withColumn("hash", F.xxhash64(F.transform("item_template", lambda w: F.xxhash64(w)))).groupBy("item_id", "length", "item_windows", "hash", "item_tokens", "item_template").agg(F.min("item_position").alias("item_position"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_windows, coverage, n_exact, n_slots, kind: one row for each document and item that it holds.
-
-    n_windows: distinct windows of the item in stretches of the document whose values agree with the item's; coverage:
-    their share of the item's windows; n_exact: those word for word; n_slots: distinct placeholder values; kind:
-    verbatim, or reparameterised if no window is word for word. Rows with a null id, null and empty texts, and items of
-    fewer than LEAST tokens give nothing; repeated rows count once; other columns, whatever their names, are not read.
-    """
-    windows = materialise(benchmark_windows(benchmark), "benchmark")
+def _pairs(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """Each document's window (position, doc_tokens) with each window of an item of its template; one of more placeholders than words only word for word."""
     lengths = sorted(r.length for r in windows.select("length").distinct().collect()) or [WINDOW]
     small = windows.count() <= BROADCAST_WINDOWS
     hint = (lambda df: F.broadcast(df)) if small else (lambda df: df)
@@ -109,7 +107,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hit = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("met_id"), "left_semi").distinct()
     hit = hit.select("doc_id", tokens_of(F.col("text")).alias("tokens")).withColumn("template", _kinds(F.col("tokens"), lambda w: w)).join(met, "doc_id")
     seen = hit.select("doc_id", F.explode(F.transform("places", lambda p: F.struct(p["position"].alias("position"), p["length"].alias("length"), p["hash"].alias("hash"), _cut(F.col("tokens"), p["position"], p["length"]).alias("doc_tokens"), _cut(F.col("template"), p["position"], p["length"]).alias("doc_template")))).alias("p")).select("doc_id", "p.*")
-    pairs = seen.join(hint(windows), ["hash", "length"]).where("doc_template = item_template")
+    exact = lambda template, tokens: F.when(_wordy(F.col(template)), F.lit(0).cast("long")).otherwise(F.xxhash64(tokens))
+    seen, items = seen.withColumn("exact", exact("doc_template", "doc_tokens")), windows.withColumn("exact", exact("item_template", "item_tokens"))
+    return seen.join(hint(items), ["hash", "length", "exact"]).where((F.col("doc_template") == F.col("item_template")) & ((F.col("exact") == 0) | (F.col("doc_tokens") == F.col("item_tokens"))))
+
+
+def _agreeing(pairs: DataFrame) -> DataFrame:
+    """The stretches of pairs whose values agree."""
     slots = F.filter(
         F.transform(F.arrays_zip("item_template", "item_tokens", "doc_tokens"), lambda z: F.struct(z["item_template"].alias("kind"), z["item_tokens"].alias("item"), z["doc_tokens"].alias("doc"))),
         lambda z: z["kind"].isin("<name>", "<num>", "<unit>"),
@@ -121,8 +125,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .agg(F.collect_set("item_position").alias("at"), F.sum((F.col("doc_tokens") == F.col("item_tokens")).cast("int")).alias("exact"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     )
     one_to_one = (F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["item"])))) == F.size("slots")) & (F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["doc"])))) == F.size("slots"))
+    return stretches.where(one_to_one)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, n_windows, coverage, n_exact, n_slots, kind: one row for each document and item that it holds.
+
+    n_windows: distinct windows of the item in stretches of the document whose values agree with the item's; coverage:
+    their share of the item's windows; n_exact: those word for word; n_slots: distinct placeholder values; kind:
+    verbatim, or reparameterised if no window is word for word. Rows with a null id, null and empty texts, and items of
+    fewer than LEAST tokens give nothing; repeated rows count once; other columns, whatever their names, are not read.
+    """
+    windows = materialise(benchmark_windows(benchmark), "benchmark")
     return (
-        stretches.where(one_to_one)
+        _agreeing(_pairs(docs, windows))
         .groupBy("doc_id", "item_id", "item_windows")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_windows"), F.sum("exact").cast("long").alias("n_exact"), F.size(F.array_distinct(F.flatten(F.collect_list("slots")))).cast("long").alias("n_slots"))
         .select("doc_id", "item_id", "n_windows", (F.col("n_windows") / F.col("item_windows")).alias("coverage"), "n_exact", "n_slots", F.when(F.col("n_exact") > 0, "verbatim").otherwise("reparameterised").alias("kind"))
@@ -130,8 +146,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark item's window; all columns stay, and so do rows with a null id."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("held_id")).distinct()
+    """docs without those that hold a benchmark item's window; all columns stay, and so do rows with a null id.
+
+    A window that is word for word an item's counts whatever the values around it and however many placeholders it has.
+    """
+    pairs = materialise(_pairs(docs, materialise(benchmark_windows(benchmark, all_windows=True), "benchmark")), "pairs")
+    verbatim = pairs.where("doc_tokens = item_tokens").select("doc_id")
+    agreeing = _agreeing(pairs.where(_wordy(F.col("item_template")))).select("doc_id")
+    found = verbatim.union(agreeing).select(F.col("doc_id").alias("held_id")).distinct()
     return docs.join(found, F.col("doc_id") == F.col("held_id"), "left_anti")
 
 

@@ -74,6 +74,16 @@ def test_reparameterised(spark):
     assert set(rows) == {1}
 
 
+def test_verbatim_windows_are_dropped(spark):
+    item = "so the shop where Tom works sold 12 kg of apples and then Tom sold 7 kg of pears to the man"
+    numbers = "add 1 2 3 4 5 6 7 8 9 10 11 now"
+    edited = item.replace("Tom works", "Ann works").replace("12", "7")  # 13 tokens stay word for word
+    texts = [edited, f"x {numbers} y", numbers.replace("1", "3"), "clean " * 30, item.replace("Tom", "Ann").replace("12", "95")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame([(9, item), (8, numbers)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.drop_contaminated(df, benchmark).collect()} == {2, 3}
+
+
 def test_decontamination_sql(spark, docs, same_as_sql):
     same_as_sql(queries.QUERIES["op3_decontamination"](spark, SF), queries.ORACLES["op3_decontamination"])
 
