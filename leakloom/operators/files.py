@@ -40,10 +40,23 @@ def tags_of(path: Column, patterns: tuple[tuple[str, tuple[str, ...], str], ...]
     return F.filter(F.array(*named), lambda n: n.isNotNull())
 
 
-def tag_files(files: DataFrame, patterns: tuple = PATTERNS, excludes: tuple[str, ...] = DEFAULT_EXCLUDES, max_depth: int = 0, path: str = "path", home: str | None = None) -> DataFrame:
-    """A row for each file and pattern name that it matches (pattern_name). Excluded and too deep files are left out; 0 is any depth."""
+def tag_files(files: DataFrame, patterns: tuple = PATTERNS, excludes: tuple[str, ...] = DEFAULT_EXCLUDES, max_depth: int = 0, path: str = "path", home: str | None = None, first: bool = False) -> DataFrame:
+    """A row for each file and pattern name that it matches (pattern_name), or with first for each probe's first one. Excluded and too deep files are left out; 0 is any depth."""
     rows = max_depth_filter(exclude_tree(exclude_basename(files, excludes, path), excludes, path, home), max_depth, path)
-    return rows.withColumn("pattern_name", F.explode(tags_of(F.col(path), patterns)))
+    tags = tags_of(F.col(path), patterns)
+    if first:
+        rows = rows.withColumn("__tags", tags)
+        return rows.withColumn("pattern_name", F.explode(first_tags(F.col("__tags")))).drop("__tags")
+    return rows.withColumn("pattern_name", F.explode(tags))
+
+
+def first_tags(tags: Column, routes: tuple = ROUTES) -> Column:
+    """Of a row's pattern names, the first of each probe in the probe's order."""
+    of_probe = {}
+    for name, probe, _, order, *_ in sorted(routes, key=lambda r: (r[3], r[0])):
+        of_probe.setdefault(probe, []).append(name)
+    firsts = F.array(*(F.get(F.filter(F.array(*map(F.lit, names)), lambda n: F.array_contains(tags, n)), F.lit(0)) for names in of_probe.values()))
+    return F.array_distinct(F.filter(firsts, lambda n: n.isNotNull()))
 
 
 def pattern_catalog(spark: SparkSession, patterns: tuple = PATTERNS) -> DataFrame:

@@ -104,8 +104,8 @@ def scan(files: DataFrame, hosts: DataFrame, now: int = 0) -> DataFrame:
     with several tags of one probe is read under the first of them.
     """
     routes = fs.routes_table(files.sparkSession)
-    routed = fs.route_probes(fs.tag_files(files), routes)
     # Within the row: the first tag of each probe, so no text is shuffled.
+    routed = fs.route_probes(fs.tag_files(files, first=True), routes)
     routed = routed.where(F.col("size") <= F.col("size_cap"))
     routed = fs.drop_expired_cache(routed.where(F.col("pattern_name").isin("aws_sso_cache", "aws_cli_cache")), F.timestamp_seconds(F.lit(now))).unionByName(routed.where(~F.col("pattern_name").isin("aws_sso_cache", "aws_cli_cache")))
     lines = routed.where(F.col("route") == "line")

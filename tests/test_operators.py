@@ -5,15 +5,18 @@ from __future__ import annotations
 import hashlib
 import hmac
 
+import pytest
 from pyspark.sql import functions as F
 
 from leakloom.functions import scalars as sc
 from leakloom.functions.regexport import glob_regex
+from leakloom.operators import files as fs
 from leakloom.operators import findings as fd
 from leakloom.operators import text as tx
 from leakloom.operators.detect import detect, detect_all
 from leakloom.operators.redact import redact_all
 from leakloom.operators.registry import Registry
+from leakloom.plans import workflows
 
 
 def one(spark, column):
@@ -88,3 +91,23 @@ def test_registry_is_extended_in_order(spark):
     df = spark.createDataFrame([("a zz12 b",)], "text string")
     assert [r.finding_id for r in detect_all(df, specs=mine.detectors).collect()] == ["own-id"]
     assert redact_all(df, specs=mine.redactions).first().scrubbed == "a [REDACTED-own] b"
+
+
+def test_first_tag_of_each_probe(spark):
+    paths = [".claude/skills/a/AGENTS.md", ".aws/credentials", ".env", "plain.txt"]
+    df = spark.createDataFrame([("h", p, i) for i, p in enumerate(paths)], "host_id string, path string, doc_id int")
+    routes = fs.routes_table(spark)
+    every = fs.route_probes(fs.tag_files(df), routes)
+    assert every.where("doc_id = 0 AND probe = 'ai_context'").count() == 2
+    want = {(r.path, r.probe, r.pattern_name) for r in fs.dedup_paths(every).collect()}
+    got = [(r.path, r.probe, r.pattern_name) for r in fs.route_probes(fs.tag_files(df, first=True), routes).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_scan_reads_a_file_once_for_each_probe(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(workflows.fs, "route_probes", lambda tagged, routes: asked.append(tagged) or (_ for _ in ()).throw(StopAsyncIteration))
+    files = spark.createDataFrame([("h", ".claude/skills/a/AGENTS.md")], "host_id string, path string")
+    with pytest.raises(StopAsyncIteration):
+        workflows.scan(files, files)
+    assert asked[0].count() == 1
