@@ -153,7 +153,9 @@ def is_null_device(value: Column) -> Column:
 
 def mask_token(token: Column) -> Column:
     """The first eight bytes and the length in bytes."""
-    return F.concat(F.left(token, F.lit(8)), F.lit("…("), F.octet_length(token).cast("string"), F.lit(")"))
+    """The first eight bytes and the length in bytes."""
+    head = F.make_valid_utf8(F.substring(token.cast("binary"), 1, 8).cast("string"))
+    return F.concat(head, F.lit("…("), F.octet_length(token).cast("string"), F.lit(")"))
 
 
 def format_source(source: Column, line: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..functions.rows import exploded
 
 
 @dataclass(frozen=True)
@@ -63,7 +64,7 @@ def apply_config_rules(config: DataFrame, rules: tuple[Rule, ...] = RULES) -> Da
         return F.when((F.col("tool") == r.tool) & r.condition(k, v), F.struct(F.lit(r.finding_id).alias("finding_id"), F.lit(r.severity).alias("severity"), sc.fields_fingerprint(F.lit(r.finding_id), *beside).alias("fingerprint")))
 
     kept = config.columns
-    found = config.withColumn("__h", F.explode(F.filter(F.array(*map(hit, rules)), lambda h: h.isNotNull()).cast(HIT)))
+    found = exploded(config, F.filter(F.array(*map(hit, rules)), lambda h: h.isNotNull()).cast(HIT), "__h")
     return found.select(*kept, "__h.*")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..functions.rows import exploded
 from .registry import SCAN_SPECS, Detector
 
 HIT = "struct<detector string, rank int, finding_id string, token_type string, severity string, title string, at int, value string, metadata map<string,string>>"
@@ -56,8 +57,8 @@ def detect_all(texts: DataFrame, text: str = "text", specs: tuple[Detector, ...]
 
 
 def _exploded(texts: DataFrame, text: str, hits: list[Column]) -> DataFrame:
-    found = texts.withColumn("__hits", F.concat(*hits) if len(hits) > 1 else hits[0]).where(F.size("__hits") > 0).drop(text)
-    return found.withColumn("__hit", F.explode("__hits")).select(*[F.col(f"`{c}`") for c in found.columns if c != "__hits"], "__hit.*")
+    found = exploded(texts, F.concat(*hits) if len(hits) > 1 else hits[0], "__hit")
+    return found.select(*[F.col(f"`{c}`") for c in texts.columns if c != text], "__hit.*")
 
 
 def detect(texts: DataFrame, name: str, text: str = "text", specs: tuple[Detector, ...] = SCAN_SPECS, now: int = 0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.regexport import glob_regex
+from ..functions.rows import exploded
 from .catalogue import PATTERNS, ROUTES
 
 #: Names of directories, and trees, that are not scanned.
@@ -46,8 +47,8 @@ def tag_files(files: DataFrame, patterns: tuple = PATTERNS, excludes: tuple[str,
     tags = tags_of(F.col(path), patterns)
     if first:
         rows = rows.withColumn("__tags", tags)
-        return rows.withColumn("pattern_name", F.explode(first_tags(F.col("__tags")))).drop("__tags")
-    return rows.withColumn("pattern_name", F.explode(tags))
+        return exploded(rows, first_tags(F.col("__tags")), "pattern_name").drop("__tags")
+    return exploded(rows, tags, "pattern_name")
 
 
 def first_tags(tags: Column, routes: tuple = ROUTES) -> Column:
@@ -93,7 +94,7 @@ def expand_base_dirs(files: DataFrame, bases: list[str], home: str, path: str =
     roots = [b.replace("$HOME", home).replace("~", home, 1) if b.startswith(("~", "$HOME")) else b for b in bases]
     each = F.array(*(F.when(F.col(path).startswith(r.rstrip("/") + "/"), F.struct(F.lit(r).alias("base_dir"), F.substring(F.col(path), len(r.rstrip("/")) + 2, 1 << 30).alias("rel_path"))) for r in roots))
     kept = files.columns
-    return files.withColumn("__b", F.explode(F.filter(each, lambda b: b.isNotNull()))).select(*kept, "__b.*")
+    return exploded(files, F.filter(each, lambda b: b.isNotNull()), "__b").select(*kept, "__b.*")
 
 
 def index_counts(tagged: DataFrame) -> DataFrame:

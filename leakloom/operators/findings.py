@@ -99,8 +99,7 @@ def affected_files(findings: DataFrame, files: DataFrame) -> DataFrame:
     return out.select("host_id", F.when(F.col("__is"), F.col("short")).otherwise(F.col("full")).alias("path")).distinct()
 
 
-def scan_scrub_rescan(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("doc_id", "finding_id")) -> DataFrame:
-    """keys, n_before, n_after, n_gone of hits before and after a scrub."""
-    a, b = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)) for df, n in ((before, "n_before"), (after, "n_after")))
-    both = a.join(b, list(keys), "full_outer").na.fill(0, ["n_before", "n_after"])
+def gone(hits: DataFrame, after: str, keys: tuple[str, ...] = ("doc_id", "finding_id")) -> DataFrame:
+    """keys, n_before, n_after, n_gone of hits before and after a scrub, which the boolean column after tells apart."""
+    both = hits.groupBy(*keys).agg(F.count_if(~F.col(after)).alias("n_before"), F.count_if(F.col(after)).alias("n_after"))
     return both.withColumn("n_gone", F.col("n_before") - F.col("n_after"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..functions.rows import exploded
 from .text import trimmed
 
 
@@ -40,9 +41,8 @@ def _base64(c: Column) -> Column:
 
 
 def _exploded(df: DataFrame, rows: Column, text: str) -> DataFrame:
-    out = df.withColumn("__rows", rows).drop(text)
-    kept = [c for c in out.columns if c != "__rows"]
-    return out.withColumn("__r", F.explode("__rows")).select(*kept, "__r.*")
+    kept = [c for c in df.columns if c != text]
+    return exploded(df, rows, "__r").select(*kept, "__r.*")
 
 
 def docker_auths(files: DataFrame, text: str = "content") -> DataFrame:

@@ -50,9 +50,16 @@ def scrub_apply(redacted: DataFrame, text: str = "text") -> DataFrame:
     return changed.agg(F.count(F.lit(1)).alias("rows_modified"), F.coalesce(F.sum(_total(F.col("counts"))), F.lit(0)).alias("redactions"))
 
 
+def counts_by_label(redacted: DataFrame) -> DataFrame:
+    """label and n of each row's counts, beside its other columns but the texts."""
+    kept = [c for c in redacted.columns if c != "counts"]
+    # The outer form: for the plain one Spark would infer a filter that repeats the whole redaction.
+    return redacted.select(*kept, F.explode_outer("counts").alias("label", "n")).where("label IS NOT NULL")
+
+
 def redactions_by_type(redacted: DataFrame) -> DataFrame:
     """label, n over all rows, by label."""
-    return redacted.select(F.explode("counts").alias("label", "n")).groupBy("label").agg(F.sum("n").cast("long").alias("n")).orderBy("label")
+    return counts_by_label(redacted).groupBy("label").agg(F.sum("n").cast("long").alias("n")).orderBy("label")
 
 
 def scrub_targets(tagged: DataFrame, routes: DataFrame) -> DataFrame:

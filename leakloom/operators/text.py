@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..functions.rows import exploded
 from ..functions.regexport import UNICODE_SPACE
 
 MAX_LINE = 1 << 20
@@ -39,7 +40,8 @@ def to_lines(files: DataFrame, text: str = "content", max_line: int = MAX_LINE,
 
     out = files.withColumn("__lines", sc.bound(lines_of(F.col(text)), short)).drop(text)
     kept = [c for c in out.columns if c != "__lines"]
-    rows = out.select(*kept, F.posexplode("__lines").alias("__at", "line")).select(*kept, (F.col("__at") + 1).alias("line_number"), "line")
+    # The outer form: for the plain one Spark would infer a filter that cuts the lines a second time.
+    rows = out.select(*kept, F.posexplode_outer("__lines").alias("__at", "line")).where("__at IS NOT NULL").select(*kept, (F.col("__at") + 1).alias("line_number"), "line")
     return rows if keep_blank else rows.where(not_blank(F.col("line")))
 
 
@@ -64,13 +66,13 @@ def _key_values(files: DataFrame, text: str, pair_of) -> DataFrame:
     """key, value, line_number of each key's last line, worked out within the row."""
 
     def last_of(pairs: Column) -> Column:
-        last = lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)
-        return F.transform(F.array_distinct(F.transform(pairs, lambda p: p["key"])), last)
+        """Of pairs by key and line, those that another key follows."""
+        return F.filter(pairs, lambda p, i: ~F.coalesce(F.get(pairs, i + 1)["key"] == p["key"], F.lit(False)))
 
     pairs = F.filter(F.transform(lines_of(F.col(text)), pair_of), lambda p: p.isNotNull())
-    out = files.withColumn("__pairs", sc.bound(pairs, last_of)).drop(text)
-    kept = [c for c in out.columns if c != "__pairs"]
-    return out.withColumn("__p", F.explode("__pairs")).select(*kept, "__p.*")
+    by_key = F.array_sort(F.transform(pairs, lambda p: F.struct(p["key"], p["line_number"], p["value"])))
+    kept = [c for c in files.columns if c != text]
+    return exploded(files, sc.bound(by_key, last_of), "__p").select(*kept, "__p.key", "__p.value", "__p.line_number")
 
 
 def _pair(key: Column, value: Column, at: Column) -> Column:
@@ -120,9 +122,8 @@ def ssh_host_scope(files: DataFrame, text: str = "content") -> DataFrame:
         host = lambda r: F.element_at(F.concat(F.array(F.lit("*")), F.transform(F.filter(rows, lambda h: (h["key"] == "host") & (h["line_number"] <= r["line_number"])), lambda h: h["value"])), -1)
         return F.transform(rows, lambda r: F.struct(r["key"], r["value"], host(r).alias("host"), r["line_number"]))
 
-    out = files.withColumn("__rows", sc.bound(lines_of(F.col(text)), fold)).drop(text)
-    kept = [c for c in out.columns if c != "__rows"]
-    return out.withColumn("__r", F.explode("__rows")).select(*kept, "__r.*").where("key <> 'host'")
+    kept = [c for c in files.columns if c != text]
+    return exploded(files, sc.bound(lines_of(F.col(text)), fold), "__r").select(*kept, "__r.*").where("key <> 'host'")
 
 
 def split_env(env: DataFrame, entry: str = "entry") -> DataFrame:

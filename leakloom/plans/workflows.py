@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import exploded, materialised
 from ..operators import configs, files as fs, findings as fd, nested, text as tx
 from ..operators.detect import detect_all
 from ..operators.redact import redact_all
@@ -127,3 +128,13 @@ def scrub(files: DataFrame, minutes: int = 0, now: int = 0) -> DataFrame:
 def findings_of_texts(texts: DataFrame, hosts: DataFrame, now: int = 0) -> DataFrame:
     """Deduplicated findings of any texts (host_id, path, probe, line_number, env_var, text)."""
     return fd.dedup_findings(fd.to_findings(detect_all(texts, now=now), hosts))
+
+
+def scan_scrub_rescan(texts: DataFrame, key: str = "doc_id", now: int = 0) -> DataFrame:
+    """key, finding_id, n_before, n_after, n_gone of each text's hits before and after its redaction.
+
+    Both versions are written to the shared folder and detected in one pass; what was redacted is not worked out again.
+    """
+    versions = F.array(F.struct(F.lit(False).alias("after"), F.col("text").alias("text")), F.struct(F.lit(True).alias("after"), F.col("scrubbed").alias("text")))
+    both = materialised(exploded(redact_all(texts.select(key, "text")), versions, "v").select(key, "v.after", "v.text"), "scrubbed")
+    return fd.gone(detect_all(both, now=now), "after", (key, "finding_id"))

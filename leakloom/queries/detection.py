@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from ..operators import findings as fd
 from ..operators import redact as rd
-from ..operators.detect import detect, detect_all
+from ..operators.detect import detect
+from ..plans import workflows as wf
 from .plant import TOKENS, Letters, Part, quote, spark_text, sql_text
 
 NOW = 1_700_000_000
@@ -136,7 +136,7 @@ _EVERYTHING = f"t AS (SELECT doc_id, {sql_text(ALL_TOKENS)} AS text FROM documen
 
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rd.redact_all(everything(spark, sf_dir))
-    return rows.select("doc_id", sc.plain_fingerprint(F.col("scrubbed")).alias("scrubbed_hash"), F.explode("counts").alias("label", "n"))
+    return rd.counts_by_label(rows.select("doc_id", sc.plain_fingerprint(F.col("scrubbed")).alias("scrubbed_hash"), "counts"))
 
 
 def redactions_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,8 +152,7 @@ def scrub_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_scrub_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = everything(spark, sf_dir)
-    return fd.scan_scrub_rescan(detect_all(texts, now=NOW), detect_all(rd.redact_all(texts).select("doc_id", F.col("scrubbed").alias("text")), now=NOW))
+    return wf.scan_scrub_rescan(everything(spark, sf_dir), now=NOW)
 
 
 def _all_hits(source: str) -> str:

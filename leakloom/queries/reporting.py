@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..functions.rows import shared_path
 from ..operators import findings as fd
 from ..operators.detect import detect, detect_all, detect_vectorised
+from ..operators.redact import counts_by_label
 from ..plans import workflows as wf
 from ..sources.files import report_json
 from ..streaming.streams import dedup_stream, detect_stream, redact_stream
@@ -137,14 +137,9 @@ def vectorised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "finding_id", F.length("value").alias("n"))
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{root.rstrip('/')}/leakloom/{name}-{uuid.uuid4().hex}"
-
-
 def _through_stream(spark: SparkSession, sf_dir: str, table: str, step, name: str) -> DataFrame:
     """A whole table as a stream, through a step, into files of the shared folder."""
-    schema, out = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema, _scratch(spark, name)
+    schema, out = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema, shared_path(spark, name)
     stream = step(spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parquet*"))
     stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{out}-state").format("parquet").start(out).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
@@ -185,7 +180,7 @@ def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scrub_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole scrub: chats and histories with a finding, rewritten."""
-    return wf.scrub(_snapshot(spark, sf_dir), 0, NOW).select("host_id", "path", F.explode("counts").alias("label", "n"))
+    return wf.scrub(_snapshot(spark, sf_dir), 0, NOW).transform(counts_by_label).select("host_id", "path", "label", "n")
 
 
 QUERIES = {
