@@ -4,6 +4,13 @@ from __future__ import annotations
 
 #: An ASCII word boundary: Java's own \b knows all of Unicode.
 B = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+
+
+def before(letters: str) -> str:
+    """The boundary before a match that begins with one of these word characters; the letter is looked at first, as it rules out most places."""
+    return f"(?=[{letters}])(?<![0-9A-Za-z_])"
+
+
 #: White space without the vertical tab.
 S = r"[\t\n\f\r ]"
 #: What may follow a token: a quote, backtick, white space or semicolon, an escaped line end, or the end of the text.

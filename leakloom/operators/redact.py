@@ -18,10 +18,9 @@ def redact_all(df: DataFrame, text: str = "text", specs: tuple[Redaction, ...] =
         """One rule. Patterns stay literals, and the plan names each rule twice however long the list is."""
         s, n, t = state["s"], F, F
         for k, rule in enumerate(specs):
-            mine = (i == k) & _any_of(s, rule.gate, False)
-            n, t = n.when(mine, F.regexp_count(s, F.lit(rule.pattern))), t.when(mine, F.regexp_replace(s, rule.pattern, rule.replacement))
-        n, t = n.otherwise(0), t.otherwise(s)
-        return F.struct(t.alias("s"), F.array_append(state["n"], n).alias("n"))
+            n, t = n.when((i == k) & _any_of(s, rule.gate, False), F.regexp_count(s, F.lit(rule.pattern))), t.when(i == k, F.regexp_replace(s, rule.pattern, rule.replacement))
+        # Texts without a match, which are most, are searched but not replaced.
+        return bound(n.otherwise(0), lambda found: F.struct(F.when(found > 0, t).otherwise(s).alias("s"), F.array_append(state["n"], found).alias("n")))
 
     start = F.struct(F.col(text).alias("s"), F.array().cast("array<int>").alias("n"))
 
