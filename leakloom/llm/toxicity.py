@@ -21,6 +21,8 @@ from .common import fold_of
 
 SIZES, BITS = (3, 4, 5, 6), 20
 BLOCK = 1 << 15
+#: Entries of the training matrix that are worked on at a time.
+CHUNK = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -97,33 +99,53 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, alpha: float
                 found = [place[distinct(ngram_buckets(t or "", SIZES, BITS))] for t in texts]
                 yield pa.RecordBatch.from_arrays([labels_.cast(pa.int32()), pa.array([np.sort(x[x >= 0]) for x in found], pa.list_(pa.int32()))], ["label", "has"])
 
-        matrix = rows.mapInArrow(narrow, "label int, has array<int>").toArrow()
-        has, label = matrix.column("has").combine_chunks(), (matrix.column("label").to_numpy() > 0).astype(np.float64)
-        row = np.repeat(np.arange(len(label)), np.diff(has.offsets.to_numpy()))
         # The sums below depend on the order of rows: sort them by what they hold.
-        w, bias = descend(row, has.values.to_numpy(), ratio, label, penalty, steps)
+        matrix = rows.mapInArrow(narrow, "label int, has array<int>").orderBy("label", "has").toArrow()
+        has = matrix.column("has").combine_chunks()
+        starts, columns, label = has.offsets.to_numpy().astype(np.int64), has.values.to_numpy(), matrix.column("label").to_numpy() > 0
+        del matrix
+        w, bias = descend(starts, columns, ratio, label, penalty, steps)
         weight[ids] = w * ratio
         return Model(weight, bias)
     finally:
         rows.unpersist()
 
 
-def descend(row: np.ndarray, column: np.ndarray, ratio: np.ndarray, label: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
-    """Logistic regression by accelerated gradient descent with diagonal scaling."""
+def descend(starts: np.ndarray, columns: np.ndarray, ratio: np.ndarray, label: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
+    """Logistic regression by accelerated gradient descent with diagonal scaling.
+
+    Row i has the features columns[starts[i]:starts[i + 1]], each worth its ratio. Rows are taken in chunks of about
+    CHUNK entries, so that temporary arrays stay small whatever the number of rows.
+    """
     n, k = len(label), len(ratio)
-    value = ratio[column]
-    per_row = np.bincount(row, np.abs(value), n).max(initial=1.0)
-    scale = 0.25 * np.bincount(column, np.abs(value) * per_row, k) + penalty
+    cuts = np.unique(np.concatenate((np.searchsorted(starts, np.arange(0, int(starts[-1]) + CHUNK, CHUNK)).clip(0, n), [0, n])))
+    chunks = [(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def row_sums(of_feature: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        for a, b in chunks:
+            total = np.concatenate(([0.0], np.cumsum(of_feature[columns[starts[a] : starts[b]]])))
+            at = starts[a : b + 1] - starts[a]
+            out[a:b] = total[at[1:]] - total[at[:-1]]
+        return out
+
+    def feature_sums(of_row: np.ndarray) -> np.ndarray:
+        out = np.zeros(k)
+        for a, b in chunks:
+            out += np.bincount(columns[starts[a] : starts[b]], np.repeat(of_row[a:b], np.diff(starts[a : b + 1])), k)
+        return out
+
+    per_row = row_sums(np.abs(ratio)).max(initial=1.0)
+    scale = 0.25 * np.abs(ratio) * per_row * feature_sums(np.ones(n)) + penalty
     w, bias = np.zeros(k), float(np.log((label.sum() + 0.5) / (n - label.sum() + 0.5)))
     before, bias_before = w.copy(), bias
     for step in range(steps):
         m = step / (step + 3)
         v, b = w + m * (w - before), bias + m * (bias - bias_before)
-        p = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, value * v[column], n), -40, 40)))
-        gap = p - label
+        gap = 1 / (1 + np.exp(-np.clip(b + row_sums(v * ratio), -40, 40))) - label
         before, bias_before = w, bias
-        w = v - (np.bincount(column, value * gap[row], k) + penalty * v) / scale
-        bias = b - gap.sum() / (0.25 * n * 4)
+        w = v - (ratio * feature_sums(gap) + penalty * v) / scale
+        bias = b - gap.sum() / n
     return w, float(bias)
 
 
@@ -145,12 +167,17 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
+    """doc_id, held_out, score, predicted of each row, learnt outside the held-out fold; odd rows as in score_toxicity."""
     scored = score_toxicity(docs, fit(docs, labels))
     return scored.select("doc_id", (fold_of(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs whose text scores under a half; all columns stay."""
+    """The rows of docs whose text scores under a half; all columns stay, whatever their names.
+
+    Null and empty texts score as a text without features; rows with a null doc_id are scored like others; repeated rows
+    stay or go together; an empty table gives none.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     @F.pandas_udf("double")
