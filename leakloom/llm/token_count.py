@@ -6,8 +6,10 @@ Python worker that asks the tokenizer once for a pre-token it has not met. No pr
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,6 +40,9 @@ def pre_tokens(text: str) -> list[str]:
     return (_LATIN_PRE_TOKEN if is_latin(text) else PRE_TOKEN).findall(text)
 
 
+#: The normaliser and the split that PRE_TOKEN stands for.
+BYTE_LEVEL_RULES = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
+
 #: A worker keeps so many pre-tokens besides the frequent ones; later ones are encoded each time.
 CACHE_ENTRIES = 800_000
 
@@ -54,6 +59,15 @@ def load_tokenizer(path: str):
     return _loaded[path]
 
 
+def refuse_others(path: str, rules: dict) -> None:
+    """Raise unless the tokenizer file has exactly these parts, as this module splits texts by rules of its own."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)
+    for part, rule in rules.items():
+        if found.get(part) != rule:
+            raise ValueError(f"{path}: this {part} is not known here: {found.get(part)}")
+
+
 class Lengths(dict):
     """Token counts by pre-token: the frequent ones, and what the tokenizer said of the others."""
 
@@ -105,15 +119,20 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, sample
     """doc_id, n_bytes, n_tokens, over_limit of each row with a byte-level BPE tokenizer.
 
     Null and empty texts have 0 bytes and tokens; a null doc_id stays null; repeated rows each give a row; an empty
-    table gives none; other columns, whatever their names, are not read. Texts are never cut.
+    table gives none; other columns, whatever their names, are not read. Texts are never cut. A tokenizer with other
+    rules than BYTE_LEVEL_RULES is refused.
     """
-    spark = docs.sparkSession
+    refuse_others(tokenizer_path, BYTE_LEVEL_RULES)
+    spark, key = docs.sparkSession, ("lengths", uuid.uuid4().hex)
     frequent = spark.sparkContext.broadcast(frequent_lengths(docs.select("doc_id", "text"), tokenizer_path, sample_rows))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load_tokenizer(tokenizer_path)
-        key = ("lengths", tokenizer_path, id(frequent.value))
-        lengths = _loaded.setdefault(key, Lengths(tokenizer, frequent.value))
+        if key not in _loaded:
+            for old in [k for k in _loaded if isinstance(k, tuple)]:
+                del _loaded[old]  # a reused worker keeps the cache of one query
+            _loaded[key] = Lengths(tokenizer, frequent.value)
+        lengths = _loaded[key]
         special, pieces, get = special_pattern(tokenizer), pre_tokens, lengths.__getitem__
         for batch in batches:
             for start in range(0, batch.num_rows, 500):

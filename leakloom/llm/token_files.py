@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,15 +17,26 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import pre_tokenizers
 
 from .common import shared_path
-from .token_count import LATIN_LETTER, LATIN_NUMBER, LATIN_SPACE, SPACE, is_latin, load_tokenizer, special_pattern
+from .token_count import LATIN_LETTER, LATIN_NUMBER, LATIN_SPACE, SPACE, is_latin, load_tokenizer, refuse_others, special_pattern
 
 #: The word split, after the tokenizer's normalisation.
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 _LATIN_WORD = re.compile(rf"[{LATIN_LETTER}]+|'(?:[stmd]|re|ve|ll)|[{LATIN_NUMBER}]|[^{LATIN_SPACE}{LATIN_LETTER}{LATIN_NUMBER}]+")
 
+#: The normaliser and the split that normalised and WORD stand for.
+WORD_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
 ORC_OPTIONS = {
     "compression": "zstd",
     "orc.stripe.size": str(16 << 20),
@@ -42,40 +54,34 @@ FILE_SCHEMA = "shard int, doc_id long, start_in_shard long, n_tokens long, ids a
 _caches: dict[str, WordIds] = {}
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte: printable ones for themselves, the others for letters from U+0100 on, in order."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (x for x in range(256) if x not in own)
+    return {byte: 0x100 + i for i, byte in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+
+
 class WordIds(dict):
-    """Ids of a word as little-endian 32-bit bytes; new words go to the tokenizer together, and a bounded number is kept."""
+    """Ids of a word as little-endian 32-bit bytes; a bounded number of words is kept, and others go to the tokenizer's model each time."""
 
     def __init__(self, tokenizer, entries: int = 800_000):
         super().__init__()
         self.tokenizer, self.room = tokenizer, entries
-        self.last = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
-        self.last[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        # Words come here normalised and split, so their own tokenizer does neither again.
-        self.bare = type(tokenizer)(tokenizer.model)
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-
-    def learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of new words. Each word ends in a token of its own kind, which parts the ids of words encoded together."""
-        ids = np.asarray(self.bare.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) == len(new):
-            data, cuts = ids.tobytes(), [0, *(ends * 4).tolist()]
-            found = {w: data[a:b] for w, a, b in zip(new, cuts, cuts[1:], strict=False)}
-        else:
-            found = {w: np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in new}
-        if len(self) + len(found) <= self.room:
-            self.update(found)
-        return found
-
-    def encode(self, texts: list[list[str]]) -> list[bytes]:
-        """The ids of each list of words."""
-        known = [list(map(self.get, words)) for words in texts]
-        gaps = [(i, j) for i, ids in enumerate(known) if None in ids for j, x in enumerate(ids) if x is None]
-        if gaps:
-            found = self.learn(list({texts[i][j] for i, j in gaps}))
-            for i, j in gaps:
-                known[i][j] = found[texts[i][j]]
-        return list(map(b"".join, known))
+        self.tokenize = tokenizer.model.tokenize
+
+    def __missing__(self, word: str) -> bytes:
+        # Words come here normalised and split, so only the model's own step is left: its letters are bytes.
+        letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(_LETTERS)
+        ids = array("I", [token.id for token in self.tokenize(letters)]).tobytes()
+        if len(self) < self.room:
+            self[word] = ids
+        return ids
+
+    def encode(self, words: list[str]) -> bytes:
+        return b"".join(map(self.__getitem__, words))
 
 
 def normalised(text: str) -> str:
@@ -92,35 +98,24 @@ def words_of(text: str) -> list[str]:
     return (_LATIN_WORD if is_latin(text) else WORD).findall(text)
 
 
-def text_ids(texts: list[str], words: WordIds, special) -> list[bytes]:
-    """Ids of whole texts, as bytes; special strings give their own id."""
-    pieces, owner, marks = [], [], []
-    for i, text in enumerate(texts):
-        at = 0
-        if "<|" in text:
-            for m in special.finditer(text):
-                pieces.append(words_of(text[at : m.start()]))
-                owner.append(i)
-                marks.append(np.uint32(words.tokenizer.token_to_id(m[0])).tobytes())
-                at = m.end()
-        pieces.append(words_of(text[at:]))
-        owner.append(i)
-        marks.append(b"")
-    encoded = words.encode(pieces)
-    if len(pieces) == len(texts):
-        return encoded
-    out: list[list[bytes]] = [[] for _ in texts]
-    for i, ids, mark in zip(owner, encoded, marks, strict=True):
-        out[i] += (ids, mark)
-    return [b"".join(x) for x in out]
+def text_ids(text: str, words: WordIds, special) -> bytes:
+    """Ids of a whole text, as bytes; special strings give their own id."""
+    if "<|" not in text:
+        return words.encode(words_of(text))
+    out, at = [], 0
+    for m in special.finditer(text):
+        out += (words.encode(words_of(text[at : m.start()])), np.uint32(words.tokenizer.token_to_id(m[0])).tobytes())
+        at = m.end()
+    return b"".join((*out, words.encode(words_of(text[at:]))))
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2) -> None:
     """Encode each whole text, append end_id, and write ids as ORC in ascending (doc_id, text) order, null ids first.
 
     A null or empty text is end_id alone; repeated rows are each written; an empty table leaves files without rows;
-    other columns, whatever their names, are not read.
+    other columns, whatever their names, are not read. A tokenizer with other rules than WORD_RULES is refused.
     """
+    refuse_others(tokenizer_path, WORD_RULES)
     placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("shard", F.spark_partition_id())
     end = np.uint32(end_id).tobytes()
 
@@ -131,7 +126,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                each = [x + end for x in text_ids(part.column(1).to_pylist(), words, special)]
+                each = [text_ids(x, words, special) + end for x in part.column(1).to_pylist()]
                 n = np.fromiter(map(len, each), np.int64, len(each)) // 4
                 offsets = np.concatenate(([0], np.cumsum(n)))
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(each))]))
