@@ -6,13 +6,13 @@ a temperature fitted on texts kept apart from training makes the scores probabil
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +20,8 @@ from .char_ngrams import ngram_buckets
 from .common import fold_of
 
 SIZES, BITS = (1, 2, 3), 16
-LETTER = re.compile(r"[^\W\d_]")
+#: The one test for a letter, the same for learning and prediction.
+LETTER = regex.compile(r"\p{L}")
 SHARDS = 4
 
 
@@ -81,12 +82,14 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: int, epochs:
 def fit(docs: DataFrame, max_rows: int = 6000, folds: int = 3, held: int = 1) -> Model:
     """Fit on about max_rows documents outside the held-out fold that have a language and a letter, drawn by a hash of doc_id.
 
-    A fifth of them sets the temperature. Without any such document the model knows no language.
+    Each language gives an equal share of them, or all it has if that is less, so that a rare language is learned too. A
+    fifth of them sets the temperature. Without any such document the model knows no language.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (fold_of(F.col("doc_id"), folds) != held))
-    n_known = known.select("lang").count()
-    share = min(1.0, max_rows / max(1, n_known))
-    rows = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("doc_id", "text", "lang")
+    have = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
+    quota = max_rows / max(1, len(have))
+    share = F.create_map(*(x for lang, n in have.items() for x in (F.lit(lang), F.lit(int(min(1.0, quota / n) * (1 << 30)))))) if have else F.create_map().cast("map<string,int>")
+    rows = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")]).select("doc_id", "text", "lang")
     rows = rows.withColumn("test", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0).repartition(SHARDS, F.xxhash64("doc_id")).sortWithinPartitions(F.xxhash64("doc_id"), "text", "lang").persist()
     try:
         languages = tuple(sorted(r.lang for r in rows.select("lang").distinct().collect()))
@@ -155,5 +158,6 @@ def identify_language(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def language_digest(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of each row, learnt outside the held-out fold; odd rows as in identify_language."""
     found = identify_language(docs, fit(docs, folds=folds, held=held))
     return found.select("doc_id", (fold_of(F.col("doc_id"), folds) == held).alias("held_out"), "lang_pred", "score")
