@@ -146,15 +146,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark item's window; all columns stay, and so do rows with a null id.
+    """docs without those that hold a benchmark item's window; all columns stay, whatever their names, and so do rows with a null id.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty table gives none.
 
     A window that is word for word an item's counts whatever the values around it and however many placeholders it has.
     """
     pairs = materialise(_pairs(docs, materialise(benchmark_windows(benchmark, all_windows=True), "benchmark")), "pairs")
     verbatim = pairs.where("doc_tokens = item_tokens").select("doc_id")
     agreeing = _agreeing(pairs.where(_wordy(F.col("item_template")))).select("doc_id")
-    found = verbatim.union(agreeing).select(F.col("doc_id").alias("held_id")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("held_id"), "left_anti")
+    found = verbatim.union(agreeing).distinct()
+    return docs.alias("d").join(found.alias("f"), F.col("d.doc_id") == F.col("f.doc_id"), "left_anti")
 
 
 _TOKENS_SQL = r"""list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''),

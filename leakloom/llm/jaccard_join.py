@@ -387,6 +387,10 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs without those that link, directly or not, to a document of a smaller id; rows of the kept id stay as they are."""
-    linked = jaccard_components(docs, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(linked, F.col("doc_id") == F.col("dropped_id"), "left_anti")
+    """docs without those that link, directly or not, to a document of a smaller id; all columns stay, whatever their names.
+
+    Rows of the kept id stay as they are, repeated ones too; so do rows with a null id, and null, empty and blank texts,
+    which link with nothing; an empty table gives none.
+    """
+    linked = jaccard_components(docs, **options).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.alias("d").join(linked.alias("l"), F.col("d.doc_id") == F.col("l.doc_id"), "left_anti")

@@ -28,6 +28,9 @@ RANGES = 4096
 #: Words, about, of a partition of the mix.
 PARTITION_WORDS = 4_000_000
 
+#: Facts of up to so many sources (about 100 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
+
 PIECE = "array<struct<copy int, block long, first long, n long>>"
 
 
@@ -51,6 +54,26 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1)
     return out
 
 
+#: The generator draws exactly from fewer things than this; from more, the rounded normal law of the same mean and spread.
+EXACT_BELOW = 10**9
+
+
+def drawn(rng: np.random.Generator, counts: np.ndarray, take: int) -> np.ndarray:
+    """How many of each kind are among `take` things drawn from counts of them, kind by kind. The sum is exact."""
+    if counts.sum() < EXACT_BELOW:
+        return rng.multivariate_hypergeometric(counts, take, method="marginals")
+    out, left = np.zeros(len(counts), np.int64), int(counts.sum())
+    for i, n in enumerate(map(int, counts)):
+        if left < EXACT_BELOW:
+            out[i:] = rng.multivariate_hypergeometric(counts[i:], take, method="marginals")
+            break
+        share = n / left
+        x = round(rng.normal(take * share, math.sqrt(take * share * (1 - share) * (left - take) / (left - 1))))
+        out[i] = min(max(x, 0, take - (left - n)), n, take)
+        left, take = left - n, take - int(out[i])
+    return out
+
+
 @dataclass(frozen=True)
 class SplitTree:
     """Which shard gets the block of a given rank among a source's drawn blocks. quotas: drawn blocks by source."""
@@ -63,10 +86,7 @@ class SplitTree:
         """How many of a node's blocks, by source, go to its left half of shards."""
         total, mid = int(counts.sum()), (lo + hi) // 2
         take = total * (mid - lo) // (hi - lo)
-        rng = np.random.default_rng([self.seed, lo, hi])
-        if total >= 10**9:
-            raise ValueError("more than 10**9 blocks: choose longer blocks")
-        return rng.multivariate_hypergeometric(counts, take, method="marginals") if total else counts * 0
+        return drawn(np.random.default_rng([self.seed, lo, hi]), counts, take) if total else counts * 0
 
     def shard_of(self, source: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """All blocks of a batch walk down the tree together; a node is split once for all that pass it."""
@@ -117,21 +137,21 @@ def drawn_blocks(size: int, rest: int, block_words: int, seed: int) -> tuple[int
 
 
 def plan_mix(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, pieces, shards, position (and the columns named in carry) of each row.
+    """doc_id, source, size, source_size, target, taken, pieces, shards, position of each row.
 
     pieces: the stretches of the document that the mix takes (copy, block, first word, number of words), shards: the
     output shard of each. Null texts have size 0 and take no piece; a null source is a source of its own; rows that tie
-    in everything are interchangeable, and each gives a row; an empty table gives none. The driver holds one number a
-    source, as the weights are given for each source.
+    in everything are interchangeable, and each gives a row; an empty table gives none; other columns, whatever their
+    names, are not read. The driver holds one number a source, as the weights are given for each source.
     """
     return _plan(docs, **options)[0]
 
 
-def _plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = 1024, shards: int = 16, seed: int = 17, carry: tuple[str, ...] = ()) -> tuple[DataFrame, float]:
-    """plan_mix, and the words that the mix takes."""
+def _plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = 1024, shards: int = 16, seed: int = 17, carry: bool = False) -> tuple[DataFrame, float]:
+    """plan_mix, with carry also the whole row as one struct (row), which no other column can clash with; and the words that the mix takes."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), *carry)
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []))
     sized = sized.withColumn("at", F.xxhash64("doc_id", F.lit(seed))).withColumn("range", F.shiftrightunsigned("at", 52).cast("int"))
     totals = sized.groupBy("source", "range").agg(F.sum("size").alias("words"))
     sizes = {r.source: r.words for r in totals.groupBy("source").agg(F.sum("words").alias("words")).collect()}
@@ -149,13 +169,14 @@ def _plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
         "source string, source_at int, source_size long, target double, whole int, blocks long, factor long, more long, quota long, last_words long",
     )
 
+    few = F.broadcast if len(order) <= BROADCAST_SOURCES else (lambda df: df)
     # The window of ranges has at most RANGES rows a source, that of rows a RANGESth part of a source.
     by_range = Window.partitionBy("source").orderBy("range")
     begins = totals.select("source", "range", (F.sum("words").over(by_range) - F.col("words")).alias("range_start"))
     by_row = Window.partitionBy("source", "range").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = sized.withColumn("local", F.sum("size").over(by_row) - F.col("size"))
     keyed = local.join(begins.withColumnsRenamed({"source": "s", "range": "r"}), F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).drop("s", "r")
-    keyed = keyed.join(F.broadcast(facts.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("start", F.col("range_start") + F.col("local"))
+    keyed = keyed.join(few(facts.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("start", F.col("range_start") + F.col("local"))
 
     rank = lambda b: (F.col("factor") * b + F.col("more")) % F.col("blocks")
 
@@ -196,13 +217,13 @@ def _plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
         drawn.withColumn("shards", shard_of("source_at", "pieces"))
         .withColumn("taken", F.aggregate("pieces", F.lit(0).cast("long"), lambda total, p: total + p["n"]))
         .withColumn("position", F.xxhash64("start", "source", F.lit(seed + 1)))
-        .select("doc_id", "source", "size", "source_size", "target", "taken", "pieces", "shards", "position", *carry)
+        .select("doc_id", "source", "size", "source_size", "target", "taken", "pieces", "shards", "position", *(["row"] if carry else []))
     )
     return plan, sum(want.values())
 
 
 def mix_digest(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken, n_pieces and first_shard of each row."""
+    """doc_id, size, source_size, target, taken, n_pieces and first_shard of each row; odd rows as in plan_mix."""
     return plan_mix(docs, **options).select("doc_id", "size", "source_size", "target", "taken", F.size("pieces").cast("long").alias("n_pieces"), F.when(F.size("shards") > 0, F.array_min("shards")).alias("first_shard"))
 
 
@@ -210,11 +231,12 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents, by shard and place: a row for each piece of a document that it takes.
 
     A copy taken whole into one shard is one row and keeps its text; of other copies each block's words are a row, parted
-    by spaces. The columns of docs stay, with n_chars (where present) set to the new text's; shard and position follow.
-    Rows lie in partitions by shard and ranges of position, ascending within.
+    by spaces. The columns of docs stay, whatever their names, with n_chars (where present) set to the new text's; shard
+    and position follow, as mix_shard and mix_position if docs has columns of those names. Rows lie in partitions by
+    shard and ranges of position, ascending within. Null and empty texts have no words and so no place in the mix; a null
+    source is a source of its own; a null doc_id is kept; repeated rows are each mixed; an empty table gives none.
     """
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "source", "size", "source_size", "target", "taken", "pieces", "shards", "position"))
-    plan, words_taken = _plan(docs, carry=carry, **options)
+    plan, words_taken = _plan(docs, carry=True, **options)
     row = lambda copy, shard, first, n: F.struct(copy.alias("copy"), shard.alias("shard"), first.cast("long").alias("first"), n.cast("long").alias("n"))
 
     def of_copy(copy):
@@ -226,15 +248,17 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     parts = plan.withColumn("parts", F.flatten(F.transform(F.array_distinct(F.transform("pieces", lambda p: p["copy"])), of_copy)))
     cut = F.exists("parts", lambda p: p["n"] < F.col("size"))
     # The words are found once for each row; a piece's text is null if it is the document's.
-    words = F.when(cut, F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    words = F.when(cut, F.regexp_extract_all("row.text", F.lit(WORD_PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     text = lambda w, p: F.when(p["n"] < F.col("size"), F.array_join(F.slice(w, (p["first"] + 1).cast("int"), p["n"].cast("int")), " "))
     texts = F.get(F.transform(F.array(words), lambda w: F.transform("parts", lambda p: F.struct(*(p[c].alias(c) for c in ("copy", "shard", "first")), text(w, p).alias("own")))), F.lit(0))
-    rows = parts.withColumn("part", F.explode(texts)).withColumn("text", F.coalesce("part.own", "text"))
-    if "n_chars" in carry:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    rows = rows.withColumn("shard", F.col("part.shard")).withColumn("position", F.xxhash64("position", "part.copy", "part.first")).select(*docs.columns, "shard", "position")
+    # The outer form: for the plain one Spark would infer a filter that cuts the texts a second time.
+    rows = parts.withColumn("part", F.explode_outer(texts)).where("part IS NOT NULL").withColumn("text", F.coalesce("part.own", "row.text"))
+    changed = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    own = [changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in docs.columns]
+    shard, position = (n if n not in docs.columns else f"mix_{n}" for n in ("shard", "position"))
+    rows = rows.select(*own, F.col("part.shard").alias(shard), F.xxhash64("position", "part.copy", "part.first").alias(position))
     # Each shard's rows go to as many partitions, by ranges of position, as its share of the words asks for.
     shards = options.get("shards", 16)
     levels = max(0, math.ceil(math.log2(max(1, words_taken / shards / PARTITION_WORDS))))
-    place = F.shiftrightunsigned(F.col("position").bitwiseXOR(F.lit(-(1 << 63))), 64 - levels).cast("int") if levels else F.lit(0)
-    return rows.repartitionById(shards << levels, (F.col("shard") * (1 << levels) + place).cast("int")).sortWithinPartitions("shard", "position")
+    place = F.shiftrightunsigned(F.col(position).bitwiseXOR(F.lit(-(1 << 63))), 64 - levels).cast("int") if levels else F.lit(0)
+    return rows.repartitionById(shards << levels, (F.col(shard) * (1 << levels) + place).cast("int")).sortWithinPartitions(shard, position)

@@ -288,3 +288,44 @@ def test_pipeline(spark, docs, labels):
     leaked = {r.doc_id for r in decontaminate.contaminated(kept, benchmark).collect()}
     clean = kept.where(F.col("doc_id").isin([*(first - leaked)]))
     assert collections.Counter(r.doc_id for r in rows) == collections.Counter(r.doc_id for r in mixing.mix_documents(clean).collect())
+
+
+def test_stages_keep_odd_rows_and_clashing_columns(spark, labels):
+    rows = odd_rows(spark)
+    for name in ("s", "r", "at", "range", "start", "local", "copy", "row", "target", "shards", "position", "pieces", "held_id", "dropped_id", "component_id", "part", "words", "whole", "rest"):
+        rows = rows.withColumn(name, F.lit(f"user {name}"))
+    benchmark = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
+    stages = {"toxicity": lambda d: toxicity.drop_toxic(d, labels), "jaccard": jaccard_join.keep_one_of_each, "decontamination": lambda d: decontaminate.drop_contaminated(d, benchmark), "mixing": mixing.mix_documents}
+    for name, stage in stages.items():
+        out = stage(rows)
+        got = out.collect()
+        assert out.columns[: len(rows.columns)] == rows.columns and got, name
+        for r in got:
+            assert all(r[c] == f"user {c}" for c in ("s", "r", "at", "range", "row", "target", "shards", "position", "held_id", "dropped_id", "part")) and (r["size"], r["n"], r["shard"]) == (1, 2, "y"), name
+        assert stage(rows.limit(0)).collect() == [], name
+    out = mixing.mix_documents(rows)
+    assert out.columns[len(rows.columns) :] == ["mix_shard", "mix_position"]
+    assert {r.doc_id for r in out.collect()} >= {3, 4, 7, None} and not {0, 1, 2} & {r.doc_id for r in out.collect()}
+
+
+def test_draws_from_many_blocks_are_exact():
+    counts = np.array([3 * 10**12, 10**11, 5, 0, 7 * 10**9])
+    tree = mixing.SplitTree(tuple(counts.tolist()), 8, 3)
+    left = tree.split(0, 8, counts)
+    assert left.sum() == counts.sum() // 2 and (left >= 0).all() and (left <= counts).all()
+    assert abs(left[0] / counts[0] - 0.5) < 1e-4
+
+
+def test_rare_language_is_learned_and_numerals_are_no_letters(spark, docs):
+    rare = spark.createDataFrame([(10**6 + i, "ωδε λογος και " * 8, "xx") for i in range(9)], "doc_id long, text string, lang string")
+    both = docs.select("doc_id", "text", "lang").union(rare)
+    model = language_id.fit(both, max_rows=100)
+    assert "xx" in model.languages and model.predict("λογος και ωδε")[0] == "xx"
+    assert [model.predict(t)[0] for t in ("²", "½", "Ⅷ", "12 .", "", None)] == ["und"] * 6
+
+
+def test_other_tokenizers_are_refused(spark, docs):
+    with pytest.raises(ValueError, match="not known"):
+        token_count.count_tokens(docs, queries.tokenizer_path("word_bpe_49k.json"))
+    with pytest.raises(ValueError, match="not known"):
+        token_files.token_file_digest(docs, queries.tokenizer_path("byte_bpe_50k.json"))
