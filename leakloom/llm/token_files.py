@@ -65,18 +65,22 @@ _LETTERS = _byte_letters()
 
 
 class WordIds(dict):
-    """Ids of a word as little-endian 32-bit bytes; a bounded number of words is kept, and others go to the tokenizer's model each time."""
+    """Ids of a word as little-endian 32-bit bytes. A word met again (by its hash) is kept, up to a bounded number; others go to the tokenizer's model each time."""
 
-    def __init__(self, tokenizer, entries: int = 800_000):
+    def __init__(self, tokenizer, entries: int = 200_000, met_bits: int = 22):
         super().__init__()
-        self.tokenizer, self.room = tokenizer, entries
+        self.tokenizer, self.room, self.mask = tokenizer, entries, (1 << met_bits) - 1
+        self.met = bytearray(1 << met_bits)
         self.tokenize = tokenizer.model.tokenize
 
     def __missing__(self, word: str) -> bytes:
         # Words come here normalised and split, so only the model's own step is left: its letters are bytes.
         letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(_LETTERS)
         ids = array("I", [token.id for token in self.tokenize(letters)]).tobytes()
-        if len(self) < self.room:
+        at = hash(word) & self.mask
+        if not self.met[at]:
+            self.met[at] = 1
+        elif len(self) < self.room:
             self[word] = ids
         return ids
 
