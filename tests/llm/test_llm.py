@@ -181,7 +181,7 @@ def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, most in ((1, 1), (5, 3), (3000, 3000), (20_000, 10**9)):
         values = np.sort(rng.integers(0, most + 1, n)).astype(np.uint64)
-        coded = EliasFano.of(values)
+        coded = EliasFano(*(np.asarray(x) for x in EliasFano.of(values).arrays()))
         assert (coded.get(np.arange(n)) == values).all()
         asked = np.concatenate((rng.integers(0, most + 5, 500).astype(np.uint64), values[:500]))
         assert (coded.successor(asked) == np.searchsorted(values, asked)).all()
@@ -202,6 +202,75 @@ def test_lm_base_scores(spark, docs):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def model_by_hand(texts, least):
+    """Unquantised probabilities of pairs and triples, and back-off weights, from plain counts."""
+    tokens = [[*re.findall(r"[^\x20\x09-\x0D]+", t.lower()), "</s>"] for t in texts]
+    one = collections.Counter(t for x in tokens for t in x)
+    base = sum(one.values()) + 0.5 * (len(one) + 1)
+    p1 = lambda w: (one[w] + 0.5) / base
+    pairs, triples = collections.Counter(), collections.Counter()
+    for x in tokens:
+        y = ["<s>", *x]
+        pairs.update(zip(y, y[1:]))
+        triples.update(zip(y, y[1:], y[2:]))
+    context = collections.Counter()
+    for (a, _), n in pairs.items():
+        context[a] += n
+    p2 = {k: (n - 0.75) / context[k[0]] for k, n in pairs.items() if n >= least}
+    p3 = {k: (n - 0.75) / pairs[k[:2]] for k, n in triples.items() if n >= least}
+
+    def weights(table, lower):
+        kept, below = collections.Counter(), collections.Counter()
+        for k, p in table.items():
+            kept[k[:-1]] += p
+            below[k[:-1]] += lower(k[1:])
+        return {k: (1 - kept[k]) / (1 - below[k]) for k in kept}
+
+    w2 = weights(p2, lambda k: p1(k[0]))
+    bigram = lambda a, b: p2.get((a, b), w2.get((a,), 1) * p1(b))
+    w3 = weights(p3, lambda k: p2[k])
+    trigram = lambda a, b, c: p3.get((a, b, c), w3.get((a, b), 1) * bigram(b, c))
+
+    def score(text):
+        y = ["<s>", *re.findall(r"[^\x20\x09-\x0D]+", text.lower()), "</s>"]
+        return sum(math.log10(bigram(y[0], y[1]) if i == 1 else trigram(*y[i - 2 : i + 1])) for i in range(1, len(y)))
+
+    return score
+
+
+@pytest.mark.parametrize(("least", "wide_at"), [(2, 1 << 26), (1, 1 << 26), (2, 40)])
+def test_lm_scores_by_hand(spark, docs, least, wide_at):
+    texts = sorted(r.text for r in docs.where("text <> ''").collect() if r.text.isascii())[:120]
+    score = model_by_hand(texts, least)
+    model = ngram_lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), least, wide_at)
+    assert (len(model.pairs.wide[0]) > 3) == (wide_at == 40)
+    asked = [*texts[:60], "unknown words here", texts[3][:200] + " odd", ""]
+    got = []
+    for t in asked:
+        h, rows = ngram_lm.token_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+        got.append(model.log10(h, rows, model.singles(h)[1]).sum())
+    want = np.array([score(t) for t in asked])
+    # Eight-bit codes move single tokens by a few hundredths, and a context whose words leave little over by more.
+    off = np.abs(np.array(got) - want) / np.array([len(t.split()) + 1 for t in asked])
+    assert off.max() < 0.05 and off.mean() < 0.01, (off.max(), off.mean())
+
+
+def test_lm_probabilities_sum_to_one(spark, docs):
+    texts = docs.where("text <> ''").select("text")
+    model = ngram_lm.train(texts)
+    words = sorted({w for r in texts.collect() for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text))})
+    head = texts.orderBy("text").first().text.split()
+    for context in ([], head[:1], head[:2], ["never", "seen"]):
+        data = "\n".join(" ".join([*context, w]) for w in [*words, "neverseenword"]).encode()
+        cuts = np.cumsum([0] + [len(x) + 1 for x in data.split(b"\n")])
+        h, rows = ngram_lm.token_hashes(np.frombuffer(data + b"\n", np.uint8), cuts)
+        logp = model.log10(h, rows, model.singles(h)[1])
+        at = np.flatnonzero(np.diff(rows, append=-1) != 0) - 1  # the word before each end
+        end_h, end_rows = ngram_lm.token_hashes(np.frombuffer(" ".join(context).encode(), np.uint8), np.array([0, len(" ".join(context).encode())]))
+        end = model.log10(end_h, end_rows, model.singles(end_h)[1])[-1]
+        assert abs((10 ** logp[at]).sum() + 10**end - 1) < 0.03
+
+
 def test_edited_texts(spark, docs, monkeypatch):
     monkeypatch.setattr(syncmers, "TOGETHER", 30)
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()), reverse=True)
