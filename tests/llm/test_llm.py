@@ -138,6 +138,26 @@ def test_license_notices_in_a_row():
     assert spans("gnu generl publc license " * 3000) == [(4 * i, 4 * i + 3, 2) for i in range(3000)]
 
 
+def test_other_licences_are_not_taken_for_these():
+    for text in ("apache license version 1", "apache license version 1.1", "mozilla public license version 1", "creative commons attribution commercial", "under the kit license", "under the bsx license"):
+        assert license_scan.scan_text(text)[1] == [], text
+    for text, label in (("apache licence version 2", "apache-2"), ("creative commons atribution non commercial", "cc-by-nc"), ("mozila public license version 2", "mpl-2"), ("undr the mit licence", "mit")):
+        assert {s["label"] for s in license_scan.scan_text(text)[1]} == {label}, text
+
+
+def test_license_base_by_hand(spark, docs):
+    phrases = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
+    extra = spark.createDataFrame([(10**6, "x Under THE mit-license. Apache License, Version 2; cc by nc by-nc CC by NC")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in license_scan.license_digest(docs.select("doc_id", "text").union(extra)).collect()}
+    for r in docs.select("doc_id", "text").union(extra).collect():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        found = [(i, k) for k, p in phrases.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        starts, got = [i for i, _ in found], rows[r.doc_id]
+        assert (got.n_words, got.n_base, got.first_word, got.last_word, got.base_labels) == (len(w), len(found), min(starts, default=None), max(starts, default=None), ",".join(sorted({k for _, k in found})))
+        assert set(filter(None, got.base_labels.split(","))) <= set(got.labels.split(","))
+    assert rows[10**6].n_base == 4
+
+
 def brute_components(rows, k, percent):
     sets = {}
     for i, t in rows:
