@@ -30,12 +30,12 @@ def salted_fingerprint(df: DataFrame, value: str, hosts: DataFrame, to: str = "f
 
 
 def to_findings(hits: DataFrame, hosts: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Hits with host_id, path, probe, line_number, env_var as findings. The value leaves with its fingerprint; columns in extra go to metadata, over a detector's own."""
+    """Hits with host_id, path, probe, line_number, env_var as findings. The value leaves with its fingerprint; columns in extra, and entries of a map column place, go to metadata, over a detector's own."""
     rows = salted_fingerprint(hits, "value", hosts)
     own = F.create_map(F.lit("detector_name"), F.col("detector"), F.lit("token_type"), F.col("token_type"))
     placed = F.filter(F.array(F.struct(F.lit("line_number").alias("key"), F.when(F.col("line_number") > 0, F.col("line_number").cast("string")).alias("value")), F.struct(F.lit("env_var").alias("key"), F.when(F.col("env_var") != "", F.col("env_var")).alias("value")), *(F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in extra)), lambda e: e["value"].isNotNull())
     source = sc.format_source(F.col("path"), F.col("line_number"))
-    return rows.withColumn("metadata", merge_maps(own, F.col("metadata"), F.map_from_entries(placed))).select(
+    return rows.withColumn("metadata", merge_maps(own, F.col("metadata"), *([F.col("place")] if "place" in hits.columns else []), F.map_from_entries(placed))).select(
         "host_id", "finding_id", F.lit("secret").alias("type"), "fingerprint", "probe", "severity", "title", F.concat("title", F.lit(" in "), source, F.lit(".")).alias("message"), "path", "line_number", "env_var", "metadata", "rank", "at",
         F.col("fingerprint").alias("value_order"),
     )

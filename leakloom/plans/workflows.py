@@ -11,13 +11,17 @@ from ..operators.detect import detect_all
 from ..operators.redact import redact_all
 
 _CONTEXT = ("host_id", "path", "probe", "line_number", "env_var")
+#: What a nested value's place is told by, beside its file; it goes to its findings' metadata.
+_PLACES = ("server", "command", "location", "registry_host", "config_name", "user_name", "field")
 
 
 def _texts(df: DataFrame, text: str = "text") -> DataFrame:
-    """host_id, path, probe, line_number, env_var, text; what is missing is empty."""
+    """host_id, path, probe, line_number, env_var, place (a map), text; what is missing is empty."""
     given = set(df.columns)
     fill = {"line_number": F.lit(0), "env_var": F.lit("")}
-    return df.select(*(F.col(c).cast("int" if c == "line_number" else "string").alias(c) if c in given else fill[c].alias(c) for c in _CONTEXT), F.col(text).alias("text"))
+    place = [F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in _PLACES if c in given]
+    entries = F.filter(F.array(*place), lambda e: e["value"].isNotNull()) if place else F.array().cast("array<struct<key string, value string>>")
+    return df.select(*(F.col(c).cast("int" if c == "line_number" else "string").alias(c) if c in given else fill[c].alias(c) for c in _CONTEXT), F.map_from_entries(entries).alias("place"), F.col(text).alias("text"))
 
 
 def scan_env_table(env: DataFrame) -> DataFrame:
@@ -98,22 +102,35 @@ def _shaped(df: DataFrame, kind: str) -> DataFrame:
     return df.select("host_id", "finding_id", F.lit(kind).alias("type"), "fingerprint", "probe", "severity", F.col("finding_id").alias("title"), F.concat("finding_id", F.lit(" in "), "path").alias("message"), path.alias("path"), line.alias("line_number"), F.lit("").alias("env_var"), empty.alias("metadata"), F.lit(0).alias("rank"), F.lit(0).alias("at"), F.col("fingerprint").alias("value_order"))
 
 
-def scan(files: DataFrame, hosts: DataFrame, now: int = 0) -> DataFrame:
-    """All deduplicated findings of a snapshot (host_id, path, content, size, mtime, mode, os) with its hosts.
+#: Probes whose files are cut by their size alone, so none of their lines is too long.
+_SIZED = ("ai_chats", "ai_context", "ai_credentials", "ai_mcp", "kube", "iac")
 
-    One narrow pass tags, routes, cuts and detects; the only shuffle of findings is that of their fingerprints. A file
-    with several tags of one probe is read under the first of them.
+
+def scan(files: DataFrame, hosts: DataFrame, now: int = 0, env: DataFrame | None = None) -> DataFrame:
+    """All deduplicated findings of a snapshot (host_id, path, content, size, mtime, mode, os) with its hosts, and of their environments (host_id, entry).
+
+    The snapshot is read once: the files that a probe reads are written to the shared folder, a file with several tags
+    of one probe under the first of them. All texts in them are written there too, and detected in one pass, so that
+    detection is planned once, not for each kind of file. The only shuffle is that of findings by fingerprint.
     """
-    routes = fs.routes_table(files.sparkSession)
     # Within the row: the first tag of each probe, so no text is shuffled.
-    routed = fs.route_probes(fs.tag_files(files, first=True), routes)
-    routed = routed.where(F.col("size") <= F.col("size_cap"))
-    routed = fs.drop_expired_cache(routed.where(F.col("pattern_name").isin("aws_sso_cache", "aws_cli_cache")), F.timestamp_seconds(F.lit(now))).unionByName(routed.where(~F.col("pattern_name").isin("aws_sso_cache", "aws_cli_cache")))
-    lines = routed.where(F.col("route") == "line")
-    texts = fd.union_findings(scan_keyed_lines(lines), scan_history(routed.where(F.col("route") == "history")), scan_whole(routed.where(F.col("route") == "whole")), nested_texts(routed.where(F.col("route") == "nested")), scan_config_values(routed.where(F.col("pattern_name") == "gitconfig")), scan_keyed_lines(routed.where(F.col("pattern_name").isin("npmrc", "yarnrc", "pypirc", "pip_config"))))
-    texts = texts.withColumn("path", F.when(F.col("path").startswith("git-config:") | F.col("path").startswith("env:"), F.col("path")).otherwise(F.concat(F.lit("file:"), "path")))
-    secrets = fd.to_findings(detect_all(texts, now=now), hosts)
-    return fd.dedup_findings(fd.union_findings(secrets, structural_findings(routed), config_findings(routed)))
+    routed = fs.route_probes(fs.tag_files(files, first=True), fs.routes_table(files.sparkSession))
+    routed = materialised(routed.where(F.col("size") <= F.col("size_cap")), "routed")
+    cached = F.col("pattern_name").isin("aws_sso_cache", "aws_cli_cache")
+    routed = fs.drop_expired_cache(routed.where(cached), F.timestamp_seconds(F.lit(now))).unionByName(routed.where(~cached))
+    of = lambda route: routed.where(F.col("route") == route)
+    sized = F.col("probe").isin(*_SIZED)
+    parts = [
+        scan_keyed_lines(of("line").where(~sized)), scan_keyed_lines(of("line").where(sized), 1 << 30), scan_history(of("history")), scan_whole(of("whole").where(~F.col("path").endswith(".pub"))), nested_texts(of("nested")),
+        scan_config_values(routed.where(F.col("pattern_name") == "gitconfig")), scan_keyed_lines(routed.where(F.col("pattern_name").isin("npmrc", "yarnrc", "pypirc", "pip_config") & (F.col("route") != "line"))),
+    ]
+    if env is not None:
+        parts.append(scan_env_table(env))
+    own = F.col("path").startswith("git-config:") | F.col("path").startswith("env:")
+    texts = fd.union_findings(*parts).withColumn("path", F.when(own, F.col("path")).otherwise(F.concat(F.lit("file:"), "path")))
+    secrets = fd.to_findings(detect_all(materialised(texts, "texts"), now=now), hosts)
+    tokens = configs.service_account_tokens(files.select("host_id", "path").withColumn("probe", F.lit("cloud")))
+    return fd.dedup_findings(fd.union_findings(secrets, structural_findings(routed), config_findings(routed), _shaped(tokens, "misconfiguration")))
 
 
 def scrub(files: DataFrame, minutes: int = 0, now: int = 0) -> DataFrame:

@@ -71,7 +71,7 @@ def index_counts(spark, sf_dir):
 
 def route_probes(spark, sf_dir):
     routed = fs.route_probes(fs.tag_files(files(spark, sf_dir)), fs.routes_table(spark), ("cloud", "env", "ai_chats", "shell_history", "git"))
-    return fs.cap_size(fs.dedup_paths(routed.drop("size_cap")), {"ai_chats": 4000, "env": 0}, 8000).select("host_id", "path", "probe", "pattern_name")
+    return fs.cap_size(fs.dedup_paths(routed.drop("size_cap")), {"ai_chats": 1 << 20, "env": 0}).select("host_id", "path", "probe", "pattern_name")
 
 
 def expand_base_dirs(spark, sf_dir):
@@ -108,13 +108,13 @@ _LINES = "l0 AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a F
 
 
 def lines(spark, sf_dir):
-    return tx.to_lines(documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("content")), max_line=2000).select("doc_id", "line_number", sc.plain_fingerprint(F.col("line")).alias("line_hash"))
+    return tx.to_lines(documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("content"))).select("doc_id", "line_number", sc.plain_fingerprint(F.col("line")).alias("line_hash"))
 
 
 def _history(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     kind = (F.col("conv_id") + F.col("turn")) % 5
-    first = F.regexp_replace(F.left("text", F.lit(60)), "[\n\r]", " ")
+    first = F.regexp_replace("text", "[\n\r]", " ")
     line = F.when(kind == 0, F.concat(F.lit(": 1700000000:0;"), first)).when(kind == 1, F.concat(F.lit("- cmd: "), first, F.lit("\\n\\\\x\\t end\\"))).when(kind == 2, "  when: 17").when(kind == 3, F.concat(F.lit("\tcmd:"), first)).otherwise(first)
     return c.select("conv_id", "turn", F.when(F.col("conv_id") % 2 == 0, ".local/share/fish/fish_history").otherwise(".zsh_history").alias("path"), line.alias("line"))
 
@@ -123,7 +123,7 @@ def history(spark, sf_dir):
     return tx.parse_history(_history(spark, sf_dir)).select("conv_id", "turn", "line")
 
 
-_HISTORY = r"""WITH h AS (SELECT conv_id, turn, conv_id % 2 = 0 AS fish, (conv_id + turn) % 5 AS kind, regexp_replace(left(text, 60), '[\n\r]', ' ', 'g') AS f FROM conversations),
+_HISTORY = r"""WITH h AS (SELECT conv_id, turn, conv_id % 2 = 0 AS fish, (conv_id + turn) % 5 AS kind, regexp_replace(text, '[\n\r]', ' ', 'g') AS f FROM conversations),
 g AS (SELECT *, CASE kind WHEN 0 THEN ': 1700000000:0;' || f WHEN 1 THEN '- cmd: ' || f || '\n\\x\t end\' WHEN 2 THEN '  when: 17' WHEN 3 THEN chr(9) || 'cmd:' || f ELSE f END AS raw FROM h),
 z AS (SELECT *, CASE WHEN starts_with(raw, ':') AND contains(raw, ';') THEN substr(raw, instr(raw, ';') + 1) ELSE raw END AS p FROM g),
 c AS (SELECT conv_id, turn, CASE WHEN fish THEN regexp_extract(p, '^[ \t]*(?:- )?cmd:[ \t]*((?s:.*))$', 1) ELSE p END AS x, fish FROM z WHERE NOT fish OR regexp_matches(p, '^[ \t]*(?:- )?cmd:'))
@@ -214,18 +214,18 @@ def split_env(spark, sf_dir):
 
 def scalars(spark, sf_dir):
     t = F.coalesce("text", F.lit(""))
-    a = F.left(F.regexp_replace(t, "[^A-Za-z0-9]", ""), F.lit(24))
+    a = F.regexp_replace(t, "[^A-Za-z0-9]", "")
     return documents(spark, sf_dir).select(
         "doc_id", F.round(sc.shannon_entropy(t), 6).alias("entropy"), sc.is_placeholder(a).alias("placeholder"), sc.mask_token(a).alias("masked"), sc.format_source(F.col("source"), F.col("doc_id") % 3).alias("place"), sc.plain_fingerprint(t).alias("fingerprint"),
-        sc.fields_fingerprint(F.col("source"), F.lit("<&>"), F.left(F.regexp_replace(t, r'["\\\x00-\x1f]', ""), F.lit(40))).alias("fields"), sc.value_line(F.substring(t, 101, F.lit(12)), t).alias("line"),
+        sc.fields_fingerprint(F.col("source"), F.lit("<&>"), F.regexp_replace(t, r'["\\\x00-\x1f]', "")).alias("fields"), sc.value_line(F.substring(t, 101, F.lit(12)), t).alias("line"),
         sc.is_null_device(F.concat(F.lit("C:\\x\\"), F.when(F.col("doc_id") % 2 == 0, "NUL").otherwise("n"))).alias("null_device"), sc.type_name(F.when(F.col("doc_id") % 2 == 0, "secret").otherwise("odd")).alias("type_name"),
     )
 
 
-_SCALARS = r"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, left(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]', '', 'g'), 24) AS a FROM documents),
+_SCALARS = r"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]', '', 'g') AS a FROM documents),
 ch AS (SELECT doc_id, unnest(string_split(t, '')) AS c FROM d WHERE t <> ''), n AS (SELECT doc_id, c, count(*) AS n FROM ch GROUP BY ALL), e AS (SELECT doc_id, -sum(n / strlen(t) * log2(n / strlen(t))) AS e FROM n JOIN d USING (doc_id) GROUP BY ALL)
 SELECT doc_id, round(coalesce(e, 0), 6) AS entropy, strlen(a) < 10 OR regexp_matches(a, '(?i)^(xxx|yyy|zzz|abc|123)') OR regexp_matches(a, '(?i)^x{5,}$') AS placeholder, substr(a, 1, 8) || '…(' || strlen(a) || ')' AS masked,
-source || CASE WHEN doc_id % 3 > 0 THEN ':' || doc_id % 3 ELSE '' END AS place, sha256(t) AS fingerprint, sha256('["' || source || '","\u003c\u0026\u003e","' || replace(replace(replace(left(regexp_replace(t, '["\\\x00-\x1f]', '', 'g'), 40), '&', '\u0026'), '<', '\u003c'), '>', '\u003e') || '"]') AS fields,
+source || CASE WHEN doc_id % 3 > 0 THEN ':' || doc_id % 3 ELSE '' END AS place, sha256(t) AS fingerprint, sha256('["' || source || '","\u003c\u0026\u003e","' || replace(replace(replace(regexp_replace(t, '["\\\x00-\x1f]', '', 'g'), '&', '\u0026'), '<', '\u003c'), '>', '\u003e') || '"]') AS fields,
 CASE WHEN substr(t, 101, 12) = '' OR regexp_matches(substr(t, 101, 12), '[&<>"'']') THEN 0 ELSE len(left(t, instr(t, substr(t, 101, 12)) - 1)) - len(replace(left(t, instr(t, substr(t, 101, 12)) - 1), chr(10), '')) + 1 END::INT AS line,
 doc_id % 2 = 0 AS null_device, CASE WHEN doc_id % 2 = 0 THEN 'Secret' ELSE 'odd' END AS type_name FROM d LEFT JOIN e USING (doc_id)"""
 
@@ -310,14 +310,14 @@ ORACLES = {
     "tag_files": f"WITH {_TAGGED} SELECT doc_id, pattern_name FROM tags",
     "max_depth": f"WITH {_FILES} SELECT doc_id, path FROM f WHERE len(string_split(path, '/')) <= 3",
     "index_counts": f"WITH {_TAGGED} SELECT pattern_name, count(*) AS n FROM tags GROUP BY ROLLUP (pattern_name)",
-    "route_probes": f"WITH {_TAGGED}, q AS (SELECT * FROM tags JOIN {_ENABLED} USING (pattern_name) QUALIFY row_number() OVER (PARTITION BY host_id, probe, path ORDER BY ord, size, doc_id) = 1) SELECT host_id, path, probe, pattern_name FROM q WHERE size <= CASE WHEN probe = 'ai_chats' THEN 4000 ELSE 8000 END",
+    "route_probes": f"WITH {_TAGGED}, q AS (SELECT * FROM tags JOIN {_ENABLED} USING (pattern_name) QUALIFY row_number() OVER (PARTITION BY host_id, probe, path ORDER BY ord, size, doc_id) = 1) SELECT host_id, path, probe, pattern_name FROM q WHERE size <= 1048576",
     "expand_base_dirs": f"WITH {_FILES}, b AS (SELECT * FROM (VALUES ('/home/u'), ('/home/u/work'), ('/home/u/.ssh')) AS v(base_dir)) SELECT doc_id, base_dir, substr('/home/u/' || path, len(base_dir) + 2) AS rel_path FROM f, b WHERE starts_with('/home/u/' || path, base_dir || '/')",
     "exact_match": f"WITH {_FILES} SELECT doc_id, path FROM f WHERE regexp_matches(path, '(^|/)[.]env$') OR path = 'src/CLAUDE.md'",
     "drop_expired_cache": "SELECT event_id FROM events WHERE event_id % 4 > 1 OR date_trunc('second', ts) + INTERVAL 60 SECOND >= TIMESTAMP '2024-01-15'",
     "grace_filter": "SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-15' - INTERVAL 90 MINUTE",
     "changed_since": "WITH o AS (SELECT o_custkey % 10 AS host_id, o_orderkey::VARCHAR AS path, o_orderkey AS k FROM orders) SELECT host_id, path, CASE WHEN k % 5 = 2 THEN 'missing' WHEN k % 7 = 1 THEN 'new' ELSE 'modified' END AS status FROM o WHERE (k % 5 = 2) <> (k % 7 = 1) OR (k % 5 <> 2 AND k % 7 <> 1 AND k % 3 = 0)",
     "even_sample": f"WITH {_FILES}, s AS (SELECT host_id, path || '#' || lpad(doc_id::VARCHAR, 9, '0') AS path FROM f), n AS (SELECT *, row_number() OVER (PARTITION BY host_id ORDER BY path) - 1 AS i, count(*) OVER (PARTITION BY host_id) AS n FROM s) SELECT host_id, path FROM n WHERE n <= 7 OR i IN (SELECT floor(k * n / 7.0::DOUBLE) FROM range(7) AS r(k))",
-    "to_lines": f"WITH {_LINES}, s AS (SELECT *, max(strlen(line) >= 2000) OVER (PARTITION BY doc_id ORDER BY line_number) AS stopped FROM l) SELECT doc_id, line_number, sha256(line) AS line_hash FROM s WHERE NOT stopped AND trim(line, chr(32) || chr(9) || chr(13)) <> ''",
+    "to_lines": f"WITH {_LINES}, s AS (SELECT *, max(strlen(line) >= 1048576) OVER (PARTITION BY doc_id ORDER BY line_number) AS stopped FROM l) SELECT doc_id, line_number, sha256(line) AS line_hash FROM s WHERE NOT stopped AND trim(line, chr(32) || chr(9) || chr(13)) <> ''",
     "parse_history": _HISTORY,
     "parse_configs": f"WITH {_CONFIG} SELECT path, key, value, line_number FROM kv",
     "config_rules": f"WITH {_CONFIG}, {_RULES}",

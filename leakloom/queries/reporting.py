@@ -16,7 +16,7 @@ from ..sources.files import report_json
 from ..streaming.streams import dedup_stream, detect_stream, redact_stream
 from .detection import NOW, SQL_RULES, documents, hits_sql, redaction_ctes
 from .plant import Part, quote, spark_text, spark_token, sql_text, sql_token
-from .preparation import _PATH, _path
+from .preparation import _PATH, _TAGGED, _path
 
 #: Payloads by doc_id; {k} is the id.
 PAYLOADS = (
@@ -183,8 +183,15 @@ def scrub_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wf.scrub(_snapshot(spark, sf_dir), 0, NOW).transform(counts_by_label).select("host_id", "path", "label", "n")
 
 
+def scan_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole scan, with an environment entry for each document: findings of the planted token, and in how many places each stands."""
+    entries = documents(spark, sf_dir).select(F.col("source").alias("host_id"), F.concat(F.lit("K"), F.col("doc_id").cast("string"), F.lit("="), spark_token(_SHARED, F.col("doc_id") + 7)).alias("entry"))
+    found = wf.scan(_snapshot(spark, sf_dir), hosts(spark, sf_dir), NOW, entries).where("finding_id = 'github-token-classic-pat'")
+    return found.select("host_id", "fingerprint", "severity", F.coalesce(F.size("locations"), F.lit(1)).alias("n_places"))
+
+
 QUERIES = {
-    "scrub_snapshot": scrub_snapshot,
+    "scrub_snapshot": scrub_snapshot, "scan_snapshot": scan_snapshot,
     "report_documents": flagship, "detect_jwt": jwt_claims, "dedup_findings": dedup_findings, "report_table": report_table, "strict_gate": strict_gate, "affected_files": affected_files, "report_json": findings_json, "vectorised_detector": vectorised,
     "stream_detect": stream_detect, "stream_redact": stream_redact, "stream_dedup": stream_dedup, "scan_chats": scan_chats,
 }
@@ -195,8 +202,20 @@ _STREAM_HITS = f"h AS (SELECT r, finding_id, v FROM ({' UNION ALL '.join(f'SELEC
 _SCRUB = f"""WITH t AS (SELECT doc_id, source, doc_id || '/' || {_PATH} AS path, coalesce(text, '') || chr(10) || {sql_token(_SHARED, "doc_id")} || ' k' AS text FROM documents WHERE regexp_matches({_PATH}, '^([.]claude/projects/|[.]codex/sessions/|[.]bash_history$)')),
 {redaction_ctes('t')}, x AS (SELECT doc_id, unnest(counts) AS u FROM redacted) SELECT source AS host_id, path, u.label AS label, sum(u.n)::INT AS n FROM x JOIN t USING (doc_id) GROUP BY ALL"""
 
+
+def _scan_sql() -> str:
+    """Every routed file has its token in a line of its own, once for each probe that reads lines or whole files; every environment entry has one."""
+    from ..operators.catalogue import ROUTES
+
+    reads = ", ".join(f"({quote(name)}, {quote(probe)})" for name, probe, route, *_ in ROUTES if route in ("line", "history", "whole") or name in ("kubeconfig", "terraform_vars", "terraform_state", "npmrc", "yarnrc", "pypirc", "pip_config"))
+    tagged = _TAGGED.replace(f"{_PATH} AS path", f"doc_id || '/' || {_PATH} AS path")
+    return f"""WITH {tagged}, reads AS (SELECT * FROM (VALUES {reads}) AS v(pattern_name, probe)), n AS (SELECT doc_id, count(DISTINCT probe) AS n FROM tags JOIN reads USING (pattern_name) WHERE NOT ends_with(path, 'fish_history') GROUP BY ALL),
+t AS (SELECT source AS host_id, {sql_token(_SHARED, "doc_id")} AS v, n FROM documents JOIN n USING (doc_id) UNION ALL SELECT source, {sql_token(_SHARED, "(doc_id + 7)")}, 1 FROM documents)
+SELECT host_id, {_hmac("v")} AS fingerprint, 'critical' AS severity, sum(n)::INT AS n_places FROM t GROUP BY ALL"""
+
+
 ORACLES = {
-    "scrub_snapshot": _SCRUB,
+    "scrub_snapshot": _SCRUB, "scan_snapshot": _scan_sql(),
     "detect_jwt": _JWT_SQL,
     "dedup_findings": _DEDUP,
     "report_table": _REPORT,

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import hmac
 
-import pytest
 from pyspark.sql import functions as F
 
 from leakloom.functions import scalars as sc
@@ -14,7 +13,7 @@ from leakloom.operators import files as fs
 from leakloom.operators import findings as fd
 from leakloom.operators import text as tx
 from leakloom.operators.detect import detect, detect_all
-from leakloom.operators.redact import redact_all
+from leakloom.operators.redact import redact_all, redactions_by_type
 from leakloom.operators.registry import Registry
 from leakloom.plans import workflows
 
@@ -104,10 +103,32 @@ def test_first_tag_of_each_probe(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_scan_reads_a_file_once_for_each_probe(spark, monkeypatch):
-    asked = []
-    monkeypatch.setattr(workflows.fs, "route_probes", lambda tagged, routes: asked.append(tagged) or (_ for _ in ()).throw(StopAsyncIteration))
-    files = spark.createDataFrame([("h", ".claude/skills/a/AGENTS.md")], "host_id string, path string")
-    with pytest.raises(StopAsyncIteration):
-        workflows.scan(files, files)
-    assert asked[0].count() == 1
+def test_scan_reads_a_file_once_for_each_probe(spark):
+    token = "gh" + "p_" + "a1" * 18
+    mcp = '{"mcpServers":{"s":{"command":"run","args":["x"],"env":{"K":"' + token.replace("a", "b") + '"}}}}'
+    rows = [(".claude/skills/a/AGENTS.md", f"x\n{token} "), (".ssh/id_a.pub", token.replace("a", "c")), ("p/.mcp.json", mcp)]
+    files = spark.createDataFrame([("h", p, c, len(c)) for p, c in rows], "host_id string, path string, content string, size long").withColumn("mtime", F.current_timestamp()).withColumn("mode", F.lit(0o600)).withColumn("os", F.lit("linux"))
+    hosts = spark.createDataFrame([("h", "linux", "amd64", "h", "")], "host_id string, os string, arch string, hostname string, username string")
+    env = spark.createDataFrame([("h", "NAME=" + token.replace("a", "d"))], "host_id string, entry string")
+    found = {r.path: r for r in workflows.scan(files, hosts, env=env).collect() if r.finding_id == "github-token-classic-pat"}
+    assert set(found) == {"file:.claude/skills/a/AGENTS.md", "file:p/.mcp.json", "env:NAME"}
+    assert found["file:.claude/skills/a/AGENTS.md"].locations is None and found["file:.claude/skills/a/AGENTS.md"].line_number == 2
+    assert (found["file:p/.mcp.json"].metadata["server"], found["file:p/.mcp.json"].metadata["location"]) == ("s", 'mcpServers["s"].env["K"]')
+    assert found["env:NAME"].env_var == "NAME"
+
+
+def test_each_pattern_stands_once_in_the_plan(spark):
+    df = spark.range(1).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("text"))
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(detect(df, "npm-token").groupBy("finding_id").count()).count("regexp_extract_all") == 1
+    labels = plan(redactions_by_type(redact_all(df)))
+    assert labels.count("AIza") <= 3  # its gate, its count and its replacement
+
+
+def test_small_caps(spark):
+    df = spark.createDataFrame([("p", "ai_chats", 5), ("q", "ai_chats", 4), ("r", "env", 9), ("s", "env", 8)], "path string, probe string, size long")
+    assert {r.path for r in fs.cap_size(df, {"ai_chats": 4, "env": 0}, 8).collect()} == {"q", "s"}
+
+
+def test_mask_takes_bytes(spark):
+    assert one(spark, sc.mask_token(F.lit("abcdefgéxyz"))) == "abcdefg\ufffd…(12)"
