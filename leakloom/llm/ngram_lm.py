@@ -35,7 +35,7 @@ DISCOUNT = 0.75
 #: The hashes of the end and of the beginning of a text.
 END, BEGIN = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 #: Occurrences that a task holds before it merges and sends them on.
-FLUSH = 2_000_000
+FLUSH = 1_250_000
 #: Training tokens, about, of a shard of pairs or triples, and documents of a shard of words.
 SHARD_TOKENS, SHARD_DOCS = 1 << 22, 1 << 12
 #: A context of so many occurrences is wide.
