@@ -6,7 +6,8 @@ prefix-tree order: the walk keeps the overlap with the other set at each depth,
 the last one's path, and a subtree goes when what is left of either set cannot reach the overlap that a link needs.
 
 Equal sets are one class before any join. Candidates are first one pair for each index entry (with the least set that
-shares it); only sets that are then in different components, and still share an index entry, are compared in full.
+shares it), then the nearest by bitmaps; only sets that are then in different components, and still share an index
+entry, are compared in full.
 Links between sets that earlier links join already change no component, so no group of copies becomes all its pairs.
 """
 
@@ -277,10 +278,11 @@ def folded(bits: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def rest_pairs(entries: DataFrame, labels: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+def rest_pairs(entries: DataFrame, labels: DataFrame, rows: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
     """Distinct pairs of sets that share an index entry, aren't known to be in one component, and may link by their lengths and bitmaps.
 
-    An entry's sets are compared in blocks, so that none is gathered whole. rows: doc_id, bits.
+    An entry's sets are compared in blocks, so that none is gathered whole. With nearest, a set that leads gives of each
+    block only the pair whose bitmaps differ least. rows: doc_id, bits.
     """
     known = entries.select("key", "node", "n", "leads").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = known.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
@@ -304,7 +306,10 @@ def rest_pairs(entries: DataFrame, labels: DataFrame, rows: DataFrame, percent:
                     matrix, place = bits[len(held[k][8]) // 8]
                     differ = np.bitwise_count(matrix[place[others]] ^ matrix[place[k]]).sum(axis=1)
                     most = n[others] + n[k] - 2 * -(-percent * (n[others] + n[k]) // (100 + percent))
-                    seen.update((int(x), int(node[k])) for x in node[others[differ <= most]])
+                    near = others[differ <= most]
+                    if nearest and len(near):
+                        near = others[[int(np.where(differ <= most, differ, np.iinfo(np.int64).max).argmin())]]
+                    seen.update((int(x), int(node[k])) for x in node[near])
 
         def flush() -> pa.RecordBatch:
             out = list(seen)
@@ -374,13 +379,15 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
 
     near = entries.where((F.col("node") != F.col("pivot")) & (100 * F.col("pivot_n") >= percent * F.col("n"))).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     first = linked(may_link(near, rows, percent))
-    second = linked(rest_pairs(entries, components(first), rows, percent))
+    # Nearest pairs first: they join most of a group of near copies, whose many other pairs then need no look.
+    joined = first.union(linked(rest_pairs(entries, components(first), rows, percent, nearest=True)))
+    second = joined.union(linked(rest_pairs(entries, components(joined), rows, percent)))
     # A document with several texts stands in several classes: its own id joins their nodes.
     classes = same.agg(F.min("doc_id").alias("node"))
     belongs = rows.select("doc_id", "n", "one", "two").join(classes, ["n", "one", "two"]).where("doc_id IS NOT NULL").select("doc_id", "node")
     twice = rows.where("n > 0").groupBy("doc_id").agg(F.min("one").alias("lo"), F.max("one").alias("hi")).where("lo <> hi").select("doc_id")
     bridges = belongs.join(twice, "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    labels = materialise(components(first.union(second).union(bridges)), "labels")
+    labels = materialise(components(second.union(bridges)), "labels")
     with_node = rows.select("doc_id", "n", "one", "two").join(classes.where("n > 0"), ["n", "one", "two"], "left")
     out = with_node.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.least(F.coalesce("label", "node"), "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
