@@ -1,8 +1,10 @@
 """Document fingerprints from closed syncmers, with Spark's own functions only.
 
-Words are the letters of the k-mers: of each run of K words, hashed in pairs, the least pair is looked for, and runs
-where it is the first or the last pair are anchors. Whether a run is an anchor depends on its own words alone, so an
-edit elsewhere moves no anchor. A fingerprint is the least hashes of a text's distinct anchors.
+Words are the letters of the k-mers, and so is each character of a word of more than LONG_WORD characters (text without
+white space): of each run of K letters, hashed in pairs, the least pair is looked for, and runs where it is the first or
+the last pair are anchors. Whether a run is an anchor depends on its own letters alone, so an edit elsewhere moves no
+anchor. A fingerprint is the least hashes of a text's distinct anchors, each with the place where it first stands; two
+fingerprints match in the anchors that both have, in the same order as a neighbour.
 """
 
 from __future__ import annotations
@@ -13,9 +15,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words of a run, of which neighbours are paired: K - 1 pairs. The code below is written for these six words.
+#: Letters of a run, of which neighbours are paired: K - 1 pairs. The code below is written for these six.
 K = 6
-#: Hashes in a fingerprint.
+#: The characters of a longer word are letters of their own.
+LONG_WORD = 24
+#: Anchors in a fingerprint.
 KEPT = 64
 #: Rows of neighbouring doc_id that are dealt out together.
 TOGETHER = 20_000
@@ -26,19 +30,22 @@ def _lesser(a: Column, b: Column) -> Column:
     return F.least(a, b)
 
 
-def word_hashes(text: Column) -> Column:
-    """Hash of each word [^\\x20\\x09-\\x0D]+; null and empty texts have none."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
-
-
 def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is worked out once for each row, however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def letter_hashes(text: Column) -> Column:
+    """Hash of each letter: a word [^\\x20\\x09-\\x0D]+, or each character of a long one; null and empty texts have none."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    is_long = lambda w: F.length(w) > LONG_WORD
+    parts = lambda ws: F.flatten(F.transform(ws, lambda w: F.when(is_long(w), F.split(w, "")).otherwise(F.array(w))))
+    letters = _bound(words, lambda ws: F.when(F.exists(ws, is_long), parts(ws)).otherwise(ws))
+    return F.transform(letters, lambda w: F.xxhash64(w))
+
+
 def anchors_of(text: Column) -> Column:
-    """The anchors (position in words, hash) of a text; fewer than K words are one anchor at 0."""
+    """The anchors (position in letters, hash) of a text; fewer than K letters are one anchor at 0."""
 
     def of_pairs(pair: Column) -> Column:
         runs = F.size(pair) - (K - 2)
@@ -50,27 +57,43 @@ def anchors_of(text: Column) -> Column:
         placed = F.transform(F.arrays_zip(marks.alias("mark"), hashes.alias("hash")), lambda x, i: F.struct(x["mark"].alias("mark"), i.alias("position"), x["hash"].alias("hash")))
         return F.transform(F.filter(placed, lambda x: x["mark"]), lambda x: F.struct(x["position"], x["hash"]))
 
-    def of_words(w: Column) -> Column:
+    def of_letters(w: Column) -> Column:
         pair = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.xxhash64(a, b))
         short = F.slice(F.array(F.struct(F.lit(0).alias("position"), F.xxhash64(w).alias("hash"))), 1, F.least(F.size(w), F.lit(1)))
         return F.when(F.size(w) >= K, _bound(pair, of_pairs)).otherwise(short)
 
-    return _bound(word_hashes(text), of_words)
+    return _bound(letter_hashes(text), of_letters)
 
 
 def sketch(anchors: Column) -> Column:
-    """The least KEPT hashes of distinct anchors, ascending."""
-    return F.slice(F.array_sort(F.array_distinct(F.transform(anchors, lambda a: a["hash"]))), 1, KEPT)
+    """The least KEPT hashes of distinct anchors, ascending, each with its first position."""
+    by_hash = F.array_sort(F.transform(anchors, lambda a: F.struct(a["hash"], a["position"])))
+    return F.slice(_bound(by_hash, lambda s: F.filter(s, lambda a, i: (i == 0) | (F.get(s, i - 1)["hash"] != a["hash"]))), 1, KEPT)
+
+
+def matches(a: Column, b: Column) -> Column:
+    """(here, there): positions of the anchors that both sketches have and that stand in the same order as a neighbour; one alone counts."""
+    places = F.map_from_entries(b)
+    both = _bound(places, lambda m: F.array_sort(F.filter(F.transform(a, lambda x: F.struct(x["position"].alias("here"), F.try_element_at(m, x["hash"]).alias("there"))), lambda x: x["there"].isNotNull())))
+
+    def in_order(pairs: Column) -> Column:
+        follows = lambda x, y: F.coalesce(x["there"] < y["there"], F.lit(False))
+        return F.filter(pairs, lambda x, i: (F.size(pairs) == 1) | follows(F.get(pairs, i - 1), x) | follows(x, F.get(pairs, i + 1)))
+
+    return _bound(both, in_order)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the least KEPT hashes of both sketches together that both have; 1 if both are empty."""
-    least = F.slice(F.array_sort(F.array_union(a, b)), 1, KEPT)
-    return _bound(least, lambda union: F.when(F.size(union) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(union, F.array_intersect(a, b))) / F.size(union)))
+    """Share of the least KEPT hashes of both sketches together that match by place; 1 if both are empty."""
+    hashes = lambda s: F.transform(s, lambda x: x["hash"])
+    within = lambda s, union: F.filter(s, lambda x: x["hash"] <= F.get(union, F.size(union) - 1))
+    least = F.slice(F.array_sort(F.array_union(hashes(a), hashes(b))), 1, KEPT)
+    return _bound(least, lambda union: F.when(F.size(union) == 0, F.lit(1.0)).otherwise(F.size(matches(within(a, union), within(b, union))) / F.size(union)))
 
 
 def as_text(found: Column) -> Column:
-    return F.array_join(F.transform(found, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+    """24 hexadecimal digits for each anchor: 16 of its hash, 8 of its position."""
+    return F.array_join(F.transform(found, lambda a: F.concat(F.lpad(F.lower(F.hex(a["hash"])), 16, "0"), F.lpad(F.lower(F.hex(a["position"])), 8, "0"))), "")
 
 
 def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:

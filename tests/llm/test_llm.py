@@ -308,6 +308,42 @@ def test_anchors_are_context_free(spark):
     assert len(a - b) <= syncmers.K and len(a) > 50
 
 
+def test_fingerprints_by_hand(spark, docs, monkeypatch):
+    """From anchors on: distinct least hashes with first places, and likeness by places, against plain Python."""
+    monkeypatch.setattr(syncmers, "KEPT", 20)
+    cjk = "".join(chr(0x4E00 + i * 37 % 5000) for i in range(400))
+    extra = spark.createDataFrame([(10**6, cjk), (10**6 + 1, cjk[:200] + "一" + cjk[200:]), (10**6 + 2, None), (10**6 + 3, ""), (10**6 + 4, "a b")], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").union(extra)
+    base = {r.doc_id: r for r in syncmers.fingerprints(rows).collect()}
+
+    def kept(r):
+        first = {}
+        for x in r.anchors:
+            first.setdefault(x["hash"], x["position"])
+        return sorted(first.items())[:20]
+
+    def like(a, b):
+        union = sorted({*dict(a), *dict(b)})[:20]
+        both = sorted((dict(a)[h], dict(b)[h]) for h in union if h in dict(a) and h in dict(b))
+        n = sum(len(both) == 1 or (i > 0 and both[i - 1][1] < y) or (i + 1 < len(both) and y < both[i + 1][1]) for i, (_, y) in enumerate(both))
+        return n / len(union) if union else 1.0
+
+    ids = sorted(base, reverse=True)
+    following = dict(zip(ids, ids[1:] + ids[:1]))
+    got = {r.doc_id: r for r in syncmers.fingerprint_digest(rows).collect()}
+    for i in ids:
+        assert got[i].fingerprint == "".join(f"{h & (2**64 - 1):016x}{p:08x}" for h, p in kept(base[i])), i
+        assert math.isclose(got[i].near_next, like(kept(base[i]), kept(base[following[i]]))), i
+    # One character put into Chinese text leaves the other anchors.
+    assert got[10**6 + 1].near_next > 0.6
+
+
+def test_swapped_anchors_do_not_match(spark):
+    pairs = "array<struct<hash: long, position: int>>"
+    df = spark.createDataFrame([([(1, 0), (2, 5), (3, 9)], [(1, 20), (2, 5), (3, 1)]), ([(1, 0), (2, 5), (3, 9)], [(1, 3), (2, 8), (4, 0)])], f"a {pairs}, b {pairs}")
+    assert [r[0] for r in df.select(syncmers.likeness(F.col("a"), F.col("b"))).collect()] == [0.0, 0.5]
+
+
 def test_mixing_targets(spark, docs):
     docs = docs.withColumn("source", F.when(F.col("source") == "src3", None).otherwise(F.col("source")))
     rows = mixing.mix_digest(docs).collect()
