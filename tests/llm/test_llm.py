@@ -192,6 +192,21 @@ def test_jaccard_brute_force(spark, k, percent):
     assert {tuple(r) for r in jaccard_join.jaccard_components(df, words=k, percent=percent).collect()} == brute_components(rows, k, percent)
 
 
+def test_jaccard_brute_force_in_blocks(spark, monkeypatch):
+    """Several blocks of an index entry, node ids joined by a shuffle, near copies of one text."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
+    rng = random.Random(9)
+    base, rows = [f"w{i}" for i in range(40)], []
+    for i in range(150):
+        w = list(base) if i % 5 else [f"v{rng.randint(0, 30)}" for _ in range(12)]
+        for _ in range(rng.choice((0, 1, 1, 2, 5))):
+            w[rng.randrange(len(w))] = f"e{rng.randint(0, 40)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in jaccard_join.jaccard_components(df, words=2, percent=80).collect()} == brute_components(rows, 2, 80)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 99), (7, 7)], "a long, b long")
     assert {(r.node, r.label) for r in components(edges).collect()} == {(i, 0) for i in range(41)} | {(99, 99), (100, 99)}
