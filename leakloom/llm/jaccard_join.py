@@ -30,6 +30,8 @@ FREQUENT_PARTS = 1 << 20
 FREQUENT_LEAST = 16
 #: Sets of an index entry are compared in blocks of about so many.
 BLOCK = 512
+#: So many n-grams at a set's start tell whether a pair has met in an earlier index entry.
+HEAD = 32
 #: Node ids up to so many (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -134,6 +136,11 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def lead_length(n: int, percent: int) -> int:
+    """A set of n n-grams shares one of its first so many with any longer or equal set that it links with."""
+    return -(-(100 - percent) * n // (100 + percent))
+
+
 class Walk:
     """Walk one set's prefix tree of others; they come in the tree's order."""
 
@@ -220,7 +227,7 @@ def may_link(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 
 
 def index_entries(classes: DataFrame, percent: int) -> DataFrame:
-    """key, node, n, leads, pivot, pivot_n of the index entries where sets may link by their lengths.
+    """key, gram, node, n, leads, pivot, pivot_n of the index entries where sets may link by their lengths.
 
     Of two sets that link, the shorter has a shared n-gram among its first lead_length ones; such a row leads, and only
     longer sets that could still link follow it. pivot is the first to lead of an unbroken chain of lengths, and key
@@ -261,9 +268,9 @@ def index_entries(classes: DataFrame, percent: int) -> DataFrame:
                 pivot = (int(key[start[-1]]), int(n[start[-1]]), int(node[start[-1]]))
                 shown = bool(start[-1] < len(key) - 1)
             chain = mix(out[0].view(np.uint64) ^ mix(out[3].view(np.uint64))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (chain, out[2], out[1], out[5].astype(bool), out[3], out[4])], ["key", "node", "n", "leads", "pivot", "pivot_n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (chain, out[0], out[2], out[1], out[5].astype(bool), out[3], out[4])], ["key", "gram", "node", "n", "leads", "pivot", "pivot_n"])
 
-    return rows.mapInArrow(chains, "key long, node long, n long, leads boolean, pivot long, pivot_n long")
+    return rows.mapInArrow(chains, "key long, gram long, node long, n long, leads boolean, pivot long, pivot_n long")
 
 
 def folded(bits: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -282,13 +289,14 @@ def rest_pairs(entries: DataFrame, labels: DataFrame, rows: DataFrame, percent:
     """Distinct pairs of sets that share an index entry, aren't known to be in one component, and may link by their lengths and bitmaps.
 
     An entry's sets are compared in blocks, so that none is gathered whole. With nearest, a set that leads gives of each
-    block only the pair whose bitmaps differ least. rows: doc_id, bits.
+    block only the pair whose bitmaps differ least; without, a pair stands in the first entry that the heads of both show
+    them to share: as both lead there, neither lengths nor bitmaps nor blocks can part them. rows: doc_id, bits, head.
     """
-    known = entries.select("key", "node", "n", "leads").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known = entries.select("key", "gram", "node", "n", "leads").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = known.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
-    rows_of = known.join(mixed, "key").join(rows.select(F.col("doc_id").alias("node"), "bits"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows_of = known.join(mixed, "key").join(rows.select(F.col("doc_id").alias("node"), "bits", F.lit(b"").alias("head") if nearest else "head"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows_of = rows_of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = rows_of.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "leads", "label", "bits")
+    dealt = rows_of.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "leads", "label", "bits", "gram", "head")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", F.desc("leads"), "node")
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,6 +306,13 @@ def rest_pairs(entries: DataFrame, labels: DataFrame, rows: DataFrame, percent:
         def pairs() -> None:
             i, j, block, node, n, leads, label = (np.array(x) for x in zip(*(r[1:8] for r in held), strict=True))
             bits = folded([r[8] for r in held])
+            heads: dict[int, frozenset[int]] = {}
+
+            def head(at: int) -> frozenset[int]:
+                if at not in heads:
+                    heads[at] = frozenset(x for x in np.frombuffer(held[at][10], np.int64).tolist() if x < held[at][9])
+                return heads[at]
+
             last = np.searchsorted(n * percent, n * 100, "right")  # rows up to here are short enough to link
             for k in np.flatnonzero(leads):
                 others = np.arange(k + 1, last[k])
@@ -309,7 +324,7 @@ def rest_pairs(entries: DataFrame, labels: DataFrame, rows: DataFrame, percent:
                     near = others[differ <= most]
                     if nearest and len(near):
                         near = others[[int(np.where(differ <= most, differ, np.iinfo(np.int64).max).argmin())]]
-                    seen.update((int(x), int(node[k])) for x in node[near])
+                    seen.update((int(node[x]), int(node[k])) for x in near.tolist() if head(k).isdisjoint(head(x)))
 
         def flush() -> pa.RecordBatch:
             out = list(seen)
@@ -351,13 +366,15 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
                 n, one, two = (np.zeros(b - a, t) for t in (np.int64, np.uint64, np.uint64))
                 prefix: list = [None] * (b - a)
                 bits: list = [None] * (b - a)
+                heads: list = [None] * (b - a)
                 for row, keys in sets_of(data, offsets, words, frequent.value):
                     n[row], one[row], two[row] = len(keys), mix(keys ^ _ONE).sum(), mix(keys ^ _TWO).sum()
                     prefix[row], bits[row] = keys[: prefix_length(len(keys), percent)].astype(np.int64), bitmap(keys)
+                    heads[row] = keys[: min(HEAD, lead_length(len(keys), percent))].astype(np.int64).tobytes()
                 ids = batch.column(0).slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "n", "one", "two", "prefix", "bits"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(heads, pa.binary())], ["doc_id", "n", "one", "two", "prefix", "bits", "head"])
 
-    rows = materialise(docs.mapInArrow(summarise, "doc_id long, n long, one long, two long, prefix array<long>, bits binary"), "sets")
+    rows = materialise(docs.mapInArrow(summarise, "doc_id long, n long, one long, two long, prefix array<long>, bits binary, head binary"), "sets")
     same = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "one", "two")
     entries = materialise(index_entries(same.agg(F.min_by("prefix", "doc_id").alias("prefix"), F.min("doc_id").alias("node")).select("node", "n", "prefix"), percent), "entries")
 
@@ -381,11 +398,13 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     first = linked(may_link(near, rows, percent))
     # Nearest pairs first: they join most of a group of near copies, whose many other pairs then need no look.
     joined = first.union(linked(rest_pairs(entries, components(first), rows, percent, nearest=True)))
-    second = joined.union(linked(rest_pairs(entries, components(joined), rows, percent)))
-    # A document with several texts stands in several classes: its own id joins their nodes.
+    # A document with several texts stands in several classes, so no head tells what its entries are.
+    twice = rows.where("n > 0").groupBy("doc_id").agg(F.min("one").alias("lo"), F.max("one").alias("hi")).where("lo <> hi").select("doc_id")
+    headed = rows.join(twice.withColumn("several", F.lit(True)), "doc_id", "left").withColumn("head", F.when(F.col("several"), F.lit(b"")).otherwise(F.col("head")))
+    second = joined.union(linked(rest_pairs(entries, components(joined), headed, percent)))
+    # The own id of a document with several texts joins the nodes of their classes.
     classes = same.agg(F.min("doc_id").alias("node"))
     belongs = rows.select("doc_id", "n", "one", "two").join(classes, ["n", "one", "two"]).where("doc_id IS NOT NULL").select("doc_id", "node")
-    twice = rows.where("n > 0").groupBy("doc_id").agg(F.min("one").alias("lo"), F.max("one").alias("hi")).where("lo <> hi").select("doc_id")
     bridges = belongs.join(twice, "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     labels = materialise(components(second.union(bridges)), "labels")
     with_node = rows.select("doc_id", "n", "one", "two").join(classes.where("n > 0"), ["n", "one", "two"], "left")

@@ -207,6 +207,32 @@ def test_jaccard_brute_force_in_blocks(spark, monkeypatch):
     assert {tuple(r) for r in jaccard_join.jaccard_components(df, words=2, percent=80).collect()} == brute_components(rows, 2, 80)
 
 
+def test_jaccard_pairs_stand_in_their_first_shared_entry(spark, monkeypatch):
+    """Heads lose no pair; a document of several texts has none to go by."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "HEAD", 3)
+    real, seen = jaccard_join.rest_pairs, []
+
+    def both(entries, labels, rows, percent, nearest=False):
+        if not nearest:
+            headed, plain = (collections.Counter((min(p), max(p)) for p in real(entries, labels.limit(0), r, percent).collect()) for r in (rows, rows.withColumn("head", F.lit(b""))))
+            seen.append((headed, plain))
+        return real(entries, labels, rows, percent, nearest)
+
+    monkeypatch.setattr(jaccard_join, "rest_pairs", both)
+    rng, rows = random.Random(4), []
+    for i in range(90):
+        w = [f"w{j}" for j in range(60 + rng.randint(0, 3))]
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = f"x{rng.randint(0, 99)}"
+        rows.append((i % 80, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    jaccard_join.jaccard_components(df, words=3, percent=60).collect()
+    (headed, plain), = seen
+    assert set(headed) == set(plain) and len(plain) > 500
+    assert headed.total() <= plain.total()
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 99), (7, 7)], "a long, b long")
     assert {(r.node, r.label) for r in components(edges).collect()} == {(i, 0) for i in range(41)} | {(99, 99), (100, 99)}
