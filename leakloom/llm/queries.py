@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import ORACLE as COLLOCATION_SQL
 from .decontaminate import ORACLE as DECONTAMINATION_SQL
 
 TOKENIZERS = "/opt/tokenizers"
@@ -84,6 +85,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import conversation_digest
+
+    return conversation_digest(table(spark, sf_dir, "conversations"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -95,8 +114,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_token_files": op9_token_files,
     "op10_mixing": op10_mixing,
+    "op11_collocations": op11_collocations,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_url_filter": op13_url_filter,
 }
 
 ORACLES: dict[str, str] = {
     "op3_decontamination": DECONTAMINATION_SQL,
+    "op11_collocations": COLLOCATION_SQL,
 }
