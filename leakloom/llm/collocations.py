@@ -54,6 +54,8 @@ def numbered_words(docs: DataFrame, shards: int) -> DataFrame:
     A null text is empty, a null language `und`. The shard comes from doc_id; any dealing gives the same result.
     """
 
+    most = KNOWN
+
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
         for batch in batches:
@@ -73,6 +75,8 @@ def numbered_words(docs: DataFrame, shards: int) -> DataFrame:
                 words_before = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=b - a))))
                 gaps_before = np.concatenate(([0], np.cumsum(gap)))[words_before]
                 lists = pa.ListArray.from_arrays(pa.array((words_before + gaps_before).astype(np.int32)), pa.array(flat.view(np.int64)))
+                if len(given) > most:
+                    given.clear()
                 texts = _new_words(data, starts, ends, ids, rows, given)
                 known = pa.array([[]] * (b - a), _KNOWN) if not texts else pa.array([[{"id": i, "word": w} for i, r, w in texts if r == row] for row in range(b - a)], _KNOWN)
                 yield pa.RecordBatch.from_arrays([shard.slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(words_before)), lists, known], ["shard", "lang", "n_words", "words", "known"])
@@ -90,8 +94,6 @@ def _salt(lang: str) -> int:
 
 def _new_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: np.ndarray, rows: np.ndarray, given: set[int]) -> list[tuple[int, int, str]]:
     """id, row and text of the words that aren't in given yet."""
-    if len(given) > KNOWN:
-        given.clear()
     once, at = np.unique(ids.view(np.int64), return_index=True)
     new = [(i, j) for i, j in zip(once.tolist(), at.tolist(), strict=True) if i not in given]
     given.update(i for i, _ in new)
@@ -126,11 +128,11 @@ class Maps:
 
 
 class Tally:
-    """Counts of phrases told apart by both subphrases, merged now and then."""
+    """Counts of phrases told apart by both subphrases, merged now and then; full when most distinct ones are gathered."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int) -> None:
         self.parts: list[tuple[np.ndarray, ...]] = []
-        self.size = 0
+        self.size, self.most = 0, most
 
     def add(self, length: int, left: np.ndarray, right: np.ndarray) -> None:
         if len(left):
@@ -138,11 +140,10 @@ class Tally:
             self.size += len(self.parts[-1][0])
 
     def full(self) -> bool:
-        """Whether over TALLY distinct phrases remain after merging."""
-        if self.size > 2 * TALLY:
+        if self.size > 2 * self.most:
             self.parts = [_merged(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))]
             self.size = len(self.parts[0][0])
-        return self.size > TALLY
+        return self.size > self.most
 
     def batch(self) -> pa.RecordBatch:
         left, right, length, n = _merged(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))
@@ -160,8 +161,10 @@ def _merged(left: np.ndarray, right: np.ndarray, length: np.ndarray, n: np.ndarr
 def scanned(shard: DataFrame, maps: Broadcast | None, words: bool) -> DataFrame:
     """hp, hs, len, n of the active phrases in one shard: partial sums of tasks. hp and hs are the numbers of both subphrases; a word has its own and 0."""
 
+    most = TALLY
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
+        tally = Tally(most)
         for batch in batches:
             lists = batch.column(0)
             for a in range(0, len(lists), 256):

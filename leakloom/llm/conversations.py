@@ -172,7 +172,7 @@ def damaged(conversations: DataFrame) -> DataFrame:
 
 
 def with_faults(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, fault: a turn's first fault (blank, duplicate, truncated) or an empty text.
+    """conv_id, turn, role, text, nth (among equal roles and texts), fault: a turn's first fault (blank, duplicate, truncated) or an empty text.
 
     A duplicate has the role and text of an earlier turn; they are told apart by their SHA-256, so that a conversation of
     any size is dealt to many tasks here. Equal turns are copies of each other, whichever comes first.
@@ -183,7 +183,7 @@ def with_faults(turns: DataFrame) -> DataFrame:
     rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text")).withColumn("digest", digest)
     rows = rows.withColumn("nth", F.row_number().over(seen))
     fault = F.when(last == "", "blank").when(F.col("nth") > 1, "duplicate").when(~last.isin(".", "!", "?"), "truncated").otherwise("")
-    return rows.select("conv_id", "turn", "role", "text", fault.alias("fault"))
+    return rows.select("conv_id", "turn", "role", "text", "nth", fault.alias("fault"))
 
 
 EDIT_SCHEMA = "conv_id long, edit string, turn long, role_was string, role string, text string, fault string"
@@ -221,9 +221,9 @@ def repaired(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
             take(current, repair.end())
             yield _batch(out)
 
-    rows = with_faults(turns).select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text", "fault")
-    order = (F.col("conv_id"), F.asc_nulls_first("turn"), F.col("role"), F.col("text"))
-    return rows.repartition("conv_id").sortWithinPartitions(*order).mapInArrow(run, EDIT_SCHEMA)
+    rows = with_faults(turns).select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text", "fault", "nth")
+    order = (F.col("conv_id"), F.asc_nulls_first("turn"), F.col("role"), F.col("text"), F.col("nth"))
+    return rows.repartition("conv_id").sortWithinPartitions(*order).drop("nth").mapInArrow(run, EDIT_SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -304,3 +304,22 @@ def conversation_digest(conversations: DataFrame) -> DataFrame:
     rows = ids.join(found, F.col("conv_id").eqNullSafe(F.col("found_id")), "left")
     zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return rows.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
+
+
+#: The same by a recursive query over (cost, audit) pairs.
+ORACLE = r"""WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, n)) AS t),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ord(c)::BIGINT), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8), 4294967295), 4294967295) % 20 AS kind FROM conversations, tab),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM k, (SELECT unnest([1, 2]) AS c) WHERE kind <> 0 AND (c = 1 OR kind = 3)),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth) AS i FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM d)),
+r AS (SELECT *, role[1] AS x, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS before, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM n),
+ins(q, m, c, l) AS (VALUES (0, 0, 0, ''), (0, 2, 5, 'I'), (0, 3, 10, 'II'), (1, 1, 0, ''), (1, 2, 5, 'I'), (1, 3, 10, 'II'), (2, 2, 0, ''), (2, 3, 5, 'I'), (2, 2, 10, 'II'), (3, 3, 0, ''), (3, 2, 5, 'I'), (3, 3, 10, 'II')),
+act(m, q2, x, c, l) AS (VALUES (0, 0, NULL, 2, 'D'), (1, 1, NULL, 2, 'D'), (2, 2, NULL, 2, 'D'), (3, 3, NULL, 2, 'D'), (0, 1, 's', 0, 'K'), (0, 2, 'u', 0, 'K'), (1, 2, 'u', 0, 'K'), (2, 3, 'a', 0, 'K'), (3, 2, 'u', 0, 'K'), (0, 2, NULL, 1, 'R'), (1, 2, NULL, 1, 'R'), (2, 3, NULL, 1, 'R'), (3, 2, NULL, 1, 'R')),
+dp AS (SELECT conv_id, 0::BIGINT AS i, 0 AS q, {'c': 0, 'a': ''} AS v FROM r GROUP BY conv_id
+ UNION ALL SELECT dp.conv_id, dp.i + 1, act.q2, min({'c': dp.v.c + ins.c + act.c + CASE WHEN act.l <> 'D' AND r.fault = 'truncated' THEN 5 ELSE 0 END, 'a': dp.v.a || ins.l || act.l})
+ FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.i = dp.i + 1 JOIN ins ON ins.q = dp.q JOIN act ON act.m = ins.m AND (act.x IS NULL OR act.x = r.x) WHERE act.l = 'D' OR r.fault NOT IN ('blank', 'duplicate') GROUP BY dp.conv_id, dp.i + 1, act.q2),
+s AS (SELECT conv_id, max(i) AS n, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND before || x NOT IN ('su', 'ua', 'au')) AS illegal, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM r GROUP BY conv_id),
+best AS (SELECT dp.conv_id, min({'c': v.c + ins.c, 'a': v.a || ins.l}) AS v FROM dp JOIN s ON s.conv_id IS NOT DISTINCT FROM dp.conv_id AND s.n = dp.i JOIN ins ON ins.q = dp.q AND ins.m IN (0, 3) GROUP BY dp.conv_id),
+e AS (SELECT r.conv_id, r.i, r.role, r.text, substr(v.a, r.i, 1) AS l, row_number() OVER (PARTITION BY r.conv_id ORDER BY r.i) AS p, first_value(r.x || substr(v.a, r.i, 1)) OVER (PARTITION BY r.conv_id ORDER BY r.i) = 'sK' AS s FROM r JOIN best ON best.conv_id IS NOT DISTINCT FROM r.conv_id WHERE substr(v.a, r.i, 1) <> 'D'),
+h AS (SELECT conv_id, sha256(string_agg(CASE WHEN l = 'K' THEN role WHEN (p - s::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY i)) AS h FROM e GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(v.c, 0)::BIGINT AS cost, coalesce(v.a, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM o.conv_id"""

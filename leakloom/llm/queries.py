@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .collocations import ORACLE as COLLOCATION_SQL
+from .conversations import ORACLE as CONVERSATION_SQL
 from .decontaminate import ORACLE as DECONTAMINATION_SQL
 
 TOKENIZERS = "/opt/tokenizers"
@@ -122,4 +123,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op3_decontamination": DECONTAMINATION_SQL,
     "op11_collocations": COLLOCATION_SQL,
+    "op12_conversation_repair": CONVERSATION_SQL,
 }
