@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.regexport import glob_regex
 from ..functions.rows import exploded
 from .catalogue import PATTERNS, ROUTES
+from .ranks import ranked
 
-#: Names of directories, and trees, that are not scanned.
+#: Names of directories, and trees, that are not scanned.
 DEFAULT_EXCLUDES = (
     "node_modules", "__pycache__", ".tox", "~/Library/Caches", "~/Library/Logs", "~/Library/Developer/Xcode/DerivedData", "~/.Trash", "~/.cache", "~/go/pkg/mod", "~/.gradle/caches", "~/.m2/repository", "~/.npm/_cacache",
 )
@@ -41,10 +42,18 @@ def tags_of(path: Column, patterns: tuple[tuple[str, tuple[str, ...], str], ...]
     return F.filter(F.array(*named), lambda n: n.isNotNull())
 
 
-def tag_files(files: DataFrame, patterns: tuple = PATTERNS, excludes: tuple[str, ...] = DEFAULT_EXCLUDES, max_depth: int = 0, path: str = "path", home: str | None = None, first: bool = False) -> DataFrame:
-    """A row for each file and pattern name that it matches (pattern_name), or with first for each probe's first one. Excluded and too deep files are left out; 0 is any depth."""
-    rows = max_depth_filter(exclude_tree(exclude_basename(files, excludes, path), excludes, path, home), max_depth, path)
+def tag_files(files: DataFrame, patterns: tuple = PATTERNS, excludes: tuple[str, ...] = DEFAULT_EXCLUDES, max_depth: int = 0, path: str = "path", home: str | None = None, first: bool = False, also: Column | None = None) -> DataFrame:
+    """A row for each file and pattern name that it matches (pattern_name), or with first for each probe's first one. Excluded and too deep files are left out; 0 is any depth.
+
+    also: a pattern name (or null) that a file has whatever its path, even where it is excluded.
+    """
+    keep = ~(_below_named(path, excludes) | _below_tree(path, excludes, home) | _deeper(path, max_depth))
     tags = tags_of(F.col(path), patterns)
+    if also is not None:
+        none = F.array().cast("array<string>")
+        tags = F.array_distinct(F.concat(F.when(keep, tags).otherwise(none), F.when(also.isNotNull(), F.array(also)).otherwise(none)))
+        keep = keep | also.isNotNull()
+    rows = files.where(keep)
     if first:
         rows = rows.withColumn("__tags", tags)
         return exploded(rows, first_tags(F.col("__tags")), "pattern_name").drop("__tags")
@@ -68,25 +77,36 @@ def routes_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([tuple(r) for r in ROUTES], "pattern_name string, probe string, route string, ord int, size_cap long, scrub_ok boolean")
 
 
-def exclude_basename(files: DataFrame, excludes: tuple[str, ...] = DEFAULT_EXCLUDES, path: str = "path") -> DataFrame:
-    """Files below no directory of an excluded name."""
+def _below_named(path: str, excludes: tuple[str, ...]) -> Column:
     names = [x for x in excludes if "/" not in x and not x.startswith("~")]
-    if not names:
-        return files
     parts = F.split(F.col(path), "/")
-    return files.where(~F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, names))))
+    return F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, names))) if names else F.lit(False)
 
 
-def exclude_tree(files: DataFrame, excludes: tuple[str, ...] = DEFAULT_EXCLUDES, path: str = "path", home: str | None = None) -> DataFrame:
-    """Files below no excluded tree. Trees under `~` are taken relative to the home folder, as paths are, unless home is given."""
+def _below_tree(path: str, excludes: tuple[str, ...], home: str | None) -> Column:
+    below = F.lit(False)
     for tree in (x for x in excludes if "/" in x or x.startswith("~")):
         root = tree.replace("~", home, 1) if home else tree.removeprefix("~/")
-        files = files.where((F.col(path) != root) & ~F.col(path).startswith(root.rstrip("/") + "/"))
-    return files
+        below = below | (F.col(path) == root) | F.col(path).startswith(root.rstrip("/") + "/")
+    return below
+
+
+def _deeper(path: str, max_depth: int) -> Column:
+    return F.size(F.split(F.col(path), "/")) - 1 > max_depth if max_depth else F.lit(False)
+
+
+def exclude_basename(files: DataFrame, excludes: tuple[str, ...] = DEFAULT_EXCLUDES, path: str = "path") -> DataFrame:
+    """Files below no directory of an excluded name."""
+    return files.where(~_below_named(path, excludes))
+
+
+def exclude_tree(files: DataFrame, excludes: tuple[str, ...] = DEFAULT_EXCLUDES, path: str = "path", home: str | None = None) -> DataFrame:
+    """Files below no excluded tree. Trees under `~` are taken relative to the home folder, as paths are, unless home is given."""
+    return files.where(~_below_tree(path, excludes, home))
 
 
 def max_depth_filter(files: DataFrame, max_depth: int, path: str = "path") -> DataFrame:
-    return files.where(F.size(F.split(F.col(path), "/")) - 1 <= max_depth) if max_depth else files
+    return files.where(~_deeper(path, max_depth))
 
 
 def expand_base_dirs(files: DataFrame, bases: list[str], home: str, path: str = "path") -> DataFrame:
@@ -141,9 +161,13 @@ def changed_since(prev: DataFrame, cur: DataFrame, keys: tuple[str, ...] = ("hos
 
 
 def even_sample(files: DataFrame, n: int, by: str = "host_id", path: str = "path") -> DataFrame:
-    """n evenly spaced files of each host in path order, or all if there are no more: those at floor(i * count / n)."""
-    rows = files.withColumn("__at", F.row_number().over(Window.partitionBy(by).orderBy(path)) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(by)))
-    step = F.col("__n") / F.lit(float(n))
-    near = F.ceil(F.col("__at") / step)
-    hit = F.exists(F.array(near - 1, near, near + 1), lambda i: (i >= 0) & (i < n) & (F.floor(i * step) == F.col("__at")))
-    return rows.where((F.col("__n") <= n) | hit).drop("__at", "__n")
+    """n evenly spaced files of each host in path order, or all if there are no more: those at floor(i * count / n).
+
+    Each host's picks are rows of their own (host, place), which meet the ranked files by both, so no task takes a
+    whole host. A null host is a host of its own.
+    """
+    rows = ranked(files, (path,), (by,), "__n")
+    counts = files.groupBy(F.col(by).alias("__by")).agg(F.count(F.lit(1)).alias("__count"))
+    picks = F.when(F.col("__count") <= n, F.sequence(F.lit(1).cast("long"), F.col("__count"))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * (F.col("__count") / F.lit(float(n)))) + 1)))
+    wanted = counts.select("__by", F.explode(picks).alias("__pick"))
+    return rows.join(wanted, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__n") == F.col("__pick")), "left_semi").drop("__n")

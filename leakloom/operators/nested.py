@@ -1,6 +1,7 @@
 """Credentials inside JSON, YAML, HCL and XML documents: structural findings, and the values to detect in.
 
-A document that doesn't parse, or has another type in a field that is read, gives nothing.
+A document that doesn't parse, or has another type in a field that is read, gives nothing; other documents of its batch
+are read all the same.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..functions.regexport import UNICODE_SPACE
 from ..functions.rows import exploded
+from ..functions.yamldoc import Unfit, fields
 from .text import trimmed
 
 
@@ -60,8 +63,9 @@ def docker_inline_auth(auths: DataFrame) -> DataFrame:
     return _finding(out.drop("__d", "auth", "identitytoken"), "docker-registry-inline-auth", "registry_host").withColumn("location", F.concat(F.lit("auths["), _quoted(F.col("registry_host")), F.lit("].auth")))
 
 
-def docker_identity_token(auths: DataFrame) -> DataFrame:
-    out = _finding(auths.where("identitytoken <> ''").drop("auth"), "docker-registry-inline-identity-token", "registry_host")
+def docker_identity_token(auths: DataFrame, keep_token: bool = False) -> DataFrame:
+    """Findings of identity tokens; the token itself stays for detection only."""
+    out = _finding(auths.where("identitytoken <> ''").drop("auth", *([] if keep_token else ["identitytoken"])), "docker-registry-inline-identity-token", "registry_host")
     return out.withColumn("location", F.concat(F.lit("auths["), _quoted(F.col("registry_host")), F.lit("].identitytoken")))
 
 
@@ -125,21 +129,19 @@ def ide_values(files: DataFrame, text: str = "content") -> DataFrame:
     return _exploded(files, placed, text).where(trimmed(F.col("text")) != "")
 
 
-def _yaml_rows(files: DataFrame, text: str, rows_of, schema: str, columns: list[str]) -> DataFrame:
-    """Rows of small YAML documents, parsed in the Arrow batches of their partition."""
+def _yaml_rows(files: DataFrame, text: str, shape, rows_of, schema: str, columns: list[str]) -> DataFrame:
+    """Rows of small YAML documents, read by events in the Arrow batches of their partition. A document that doesn't fit the shape gives none, whatever it holds."""
     keys = [c for c in files.columns if c != text]
     kept = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in keys)
 
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import yaml
-
         for part in parts:
             out = []
             for row in part.itertuples(index=False):
                 values = dict(zip(part.columns, row, strict=True))
                 try:
-                    found = rows_of(yaml.safe_load(values[text] or ""))
-                except (yaml.YAMLError, TypeError, AttributeError, KeyError, ValueError):
+                    found = rows_of(fields(values[text] or "", shape))
+                except Unfit:
                     continue
                 out += [[*(values[k] for k in keys), *r] for r in found]
             yield pd.DataFrame(out, columns=[*keys, *columns])
@@ -147,28 +149,25 @@ def _yaml_rows(files: DataFrame, text: str, rows_of, schema: str, columns: list[
     return files.mapInPandas(parse, f"{kept}, {schema}" if kept else schema)
 
 
-def _text(value) -> str:
-    if value is None:
-        return ""
-    if not isinstance(value, str):
-        raise TypeError("not a text")
-    return value
+_ENCODED = ("client-key-data", "token-data")
 
 
-def _kube_users(doc) -> list[list]:
-    users = (doc or {}).get("users") or []
-    return [[i, _text(u.get("name")), field, _text((u.get("user") or {}).get(field))] for i, u in enumerate(users) for field in ("client-key-data", "token-data") if _text((u.get("user") or {}).get(field))]
+def _kube_users(doc: dict) -> list[list]:
+    return [[i, u.get("name", ""), field, u.get("user", {}).get(field)] for i, u in enumerate(doc.get("users", [])) for field in _ENCODED if u.get("user", {}).get(field)]
 
 
 def kube_values(files: DataFrame, text: str = "content") -> DataFrame:
     """user_name, field, location and decoded text of base64 keys and tokens of a kubeconfig."""
-    rows = _yaml_rows(files, text, _kube_users, "user_index int, user_name string, field string, encoded string", ["user_index", "user_name", "field", "encoded"])
-    out = rows.withColumn("text", _base64(F.regexp_replace("encoded", r"\s", ""))).where("text IS NOT NULL AND text <> ''")
+    shape = {"users": [{"name": str, "user": dict.fromkeys(_ENCODED, str)}]}
+    rows = _yaml_rows(files, text, shape, _kube_users, "user_index int, user_name string, field string, encoded string", ["user_index", "user_name", "field", "encoded"])
+    out = rows.withColumn("text", _base64(F.regexp_replace("encoded", f"[{UNICODE_SPACE}]", ""))).where("text IS NOT NULL AND text <> ''")
     return out.withColumn("location", F.concat(F.lit("users["), F.col("user_index").cast("string"), F.lit("].user."), "field")).drop("encoded", "user_index")
 
 
 def helm_repo_creds(files: DataFrame, text: str = "content") -> DataFrame:
     """Findings of chart repositories with a password: repo_name, repo_url, username."""
-    rows_of = lambda doc: [[_text(r.get("name")), _text(r.get("url")), _text(r.get("username"))] for r in (doc or {}).get("repositories") or [] if _text(r.get("password"))]
-    rows = _yaml_rows(files, text, rows_of, "repo_name string, repo_url string, username string", ["repo_name", "repo_url", "username"])
+    names = ("name", "url", "username")
+    shape = {"repositories": [dict.fromkeys((*names, "password"), str)]}
+    rows_of = lambda doc: [[r.get(n, "") for n in names] for r in doc.get("repositories", []) if r.get("password")]
+    rows = _yaml_rows(files, text, shape, rows_of, "repo_name string, repo_url string, username string", ["repo_name", "repo_url", "username"])
     return _finding(rows, "helm-repository-credential", "repo_name").withColumn("username_present", F.col("username") != "").withColumn("location", F.concat(F.lit("repositories["), _quoted(F.col("repo_name")), F.lit("]")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
@@ -281,22 +281,64 @@ def ide(spark, sf_dir):
 _IDE = """WITH c AS (SELECT '/n/' || c_custkey AS path, c_custkey AS k FROM customer) SELECT path, 'c' || k AS config_name, '' AS env_var, 4 AS line_number, '--t ' || k AS text FROM c UNION ALL SELECT path, 'c' || k, 'A', 0, 'x&y' FROM c UNION ALL SELECT path, 'c' || k, 'B', 7, 'z' || k FROM c"""
 
 
-def kube(spark, sf_dir):
-    k = F.col("c_custkey").cast("string")
-    doc = F.concat(F.lit("users:\n- name: u"), k, F.lit("\n  user:\n    client-key-data: "), F.base64(F.encode(F.concat(F.lit("key"), k), "UTF-8")), F.lit("\n    token-data: '!'\n- name: v\n  user: {}\n"))
-    return nested.kube_values(_customers(spark, sf_dir, F.when(F.col("c_custkey") % 6 == 0, "users: [").otherwise(doc))).select("path", "user_name", "field", "location", "text")
+def _cases(spark, sf_dir, docs: tuple) -> DataFrame:
+    """path, content: documents of several shapes by doc_id, each with its text's base64 in it."""
+    k, n = F.col("doc_id").cast("string"), F.col("doc_id") % len(docs)
+    coded = F.regexp_replace(F.base64(F.encode(F.coalesce("text", F.lit("")), "UTF-8")), "[\r\n]", "")
+    content = F.lit(None).cast("string")
+    for i, doc in enumerate(docs):
+        content = F.when(n == i, doc(k, coded)).otherwise(content)
+    return documents(spark, sf_dir).select(F.concat(F.lit("/n/"), k).alias("path"), content.alias("content"))
+
+
+def _said(*parts) -> Column:
+    return F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+
+
+_DEEP = "[" * 3000
+_KUBE_DOCS = (
+    lambda k, b: _said("users:\n- name: u", k, "\n  user:\n    client-key-data: ", b, "\n    token-data: '!'\n- name: v\n  user: {}\n"),
+    lambda k, b: _said("users:\n- name: u", k, "\n  user:\n    client-key-data: |\n      ", F.regexp_replace(b, "(.{60})", "$1\n      "), "\n"),
+    lambda k, b: _said("users:\r\n- user: {token-data: '", F.regexp_replace(b, "=+$", ""), "', client-key-data: ~}\r\n  name: 2020-01-02\r\n---\r\n: : ["),
+    lambda k, b: _said("users:\n- name: u", k, "\n  user:\n-\n"),
+    lambda k, b: _said("users: {name: u", k, ", user: {token-data: ", b, "}}"),
+    lambda k, b: _said("users: ", _DEEP),
+    lambda k, b: _said("users: [{name: 7, user: {token-data: 1234}}, {name: 'n', user: {token-data: [x]}}]"),
+    lambda k, b: _said("users: [{name: ~, user: {token-data: 1234}}]\nclusters: ", _DEEP, "]" * 3000, "\n"),
+    lambda k, b: _said("one: &u {token-data: ", b, "}\nusers:\n- name: u", k, "\n  user: {<<: *u, other: [1, 2]}\n"),
+    lambda k, b: _said("users: [{name: u, name: w, user: {token-data: ", b, "}}]"),
+)
 
 
-_KUBE = "SELECT '/n/' || c_custkey AS path, 'u' || c_custkey AS user_name, 'client-key-data' AS field, 'users[0].user.client-key-data' AS location, 'key' || c_custkey AS text FROM customer WHERE c_custkey % 6 <> 0"
+def kube(spark, sf_dir):
+    return nested.kube_values(_cases(spark, sf_dir, _KUBE_DOCS)).select("path", "user_name", "field", "location", F.sha2("text", 256).alias("text_hash"))
+
+
+_KUBE = """WITH d AS (SELECT '/n/' || doc_id AS path, doc_id % 10 AS c, doc_id::VARCHAR AS k, coalesce(text, '') AS t FROM documents)
+SELECT path, CASE c WHEN 2 THEN '2020-01-02' WHEN 7 THEN '' ELSE 'u' || k END AS user_name, CASE WHEN c < 2 THEN 'client-key-data' ELSE 'token-data' END AS field, 'users[0].user.' || CASE WHEN c < 2 THEN 'client-key-data' ELSE 'token-data' END AS location,
+sha256(CASE c WHEN 7 THEN chr(65533) || 'm' || chr(65533) ELSE t END) AS text_hash FROM d WHERE c = 7 OR c IN (0, 1, 2, 8) AND t <> ''"""
+
+_HELM_DOCS = (
+    lambda k, b: _said("repositories:\n- {name: r", k, ", url: 'https://c', username: '", b, "', password: p}\n- {name: open, url: 'https://o'}\n"),
+    lambda k, b: _said("repositories:\n- name: 2020-01-01\n  url: 1e3\n  username: ", b, "\n  password: 123456\n"),
+    lambda k, b: _said("repositories: [{name: r", k, ", username: '", b, "', password: ~}, {name: s, password: ''}]"),
+    lambda k, b: _said("repositories: [{name: r", k, ", username: '", b, "', password: {a: 1}}]"),
+    lambda k, b: _said("repositories: [{name: r", k, ", name: s, password: p}]"),
+    lambda k, b: _said("repositories:\r\n- name: null\r\n  username: '", b, "'\r\n  password: true\r\n"),
+    lambda k, b: _said("base: &b {url: 'u", k, "', password: 0x1F}\nrepositories: [{<<: *b, name: m, username: '", b, "'}]"),
+    lambda k, b: _said("generated: ", _DEEP, "]" * 3000, "\nrepositories: [{name: d, username: '", b, "', password: p}]"),
+    lambda k, b: _said("repositories: ", _DEEP),
+    lambda k, b: _said("repositories: [{name: x, username: '", b, "', password: p, extra: {a: 1, a: 2}}]\n---\n]"),
+)
 
 
 def helm(spark, sf_dir):
-    k = F.col("c_custkey").cast("string")
-    doc = F.concat(F.lit("repositories:\n- {name: r"), k, F.lit(", url: 'https://c', username: u, password: p}\n- {name: open, url: 'https://o'}\n"))
-    return nested.helm_repo_creds(_customers(spark, sf_dir, doc)).select("path", "repo_name", "repo_url", "username", "username_present", "location", "fingerprint")
+    return nested.helm_repo_creds(_cases(spark, sf_dir, _HELM_DOCS)).select("path", "repo_name", "repo_url", "username", "username_present", "location", "fingerprint")
 
 
-_HELM = """SELECT '/n/' || c_custkey AS path, 'r' || c_custkey AS repo_name, 'https://c' AS repo_url, 'u' AS username, true AS username_present, 'repositories["r' || c_custkey || '"]' AS location, sha256('["helm-repository-credential","/n/' || c_custkey || '","r' || c_custkey || '"]') AS fingerprint FROM customer"""
+_HELM = """WITH d AS (SELECT '/n/' || doc_id AS path, doc_id % 10 AS c, doc_id::VARCHAR AS k, base64(encode(coalesce(text, ''))) AS username FROM documents),
+r AS (SELECT path, CASE c WHEN 0 THEN 'r' || k WHEN 1 THEN '2020-01-01' WHEN 5 THEN '' WHEN 6 THEN 'm' WHEN 7 THEN 'd' ELSE 'x' END AS repo_name, CASE c WHEN 0 THEN 'https://c' WHEN 1 THEN '1e3' WHEN 6 THEN 'u' || k ELSE '' END AS repo_url, username FROM d WHERE c IN (0, 1, 5, 6, 7, 9))
+SELECT *, username <> '' AS username_present, 'repositories["' || repo_name || '"]' AS location, sha256('["helm-repository-credential","' || path || '","' || repo_name || '"]') AS fingerprint FROM r"""
 
 QUERIES = {
     "tag_files": tag_files, "max_depth": max_depth, "index_counts": index_counts, "route_probes": route_probes, "expand_base_dirs": expand_base_dirs, "exact_match": exact_match, "drop_expired_cache": drop_expired, "grace_filter": grace, "changed_since": changed_since, "even_sample": even_sample,
