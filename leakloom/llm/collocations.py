@@ -36,7 +36,7 @@ BITS_EACH, MOST_BITS = 32, 1 << 28
 #: Bytes of a map that travel as one row.
 BLOCK = 1 << 16
 #: Distinct phrases that a task gathers before it hands them on, and words whose text it remembers to have given.
-TALLY, KNOWN = 1 << 20, 1 << 19
+TALLY, KNOWN = 1 << 19, 1 << 19
 #: Salts by which a language's best are found before they meet.
 SALTS = 64
 
@@ -77,28 +77,27 @@ def numbered_words(docs: DataFrame, shards: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array((words_before + gaps_before).astype(np.int32)), pa.array(flat.view(np.int64)))
                 if len(given) > most:
                     given.clear()
-                texts = _new_words(data, starts, ends, ids, rows, given)
-                known = pa.array([[]] * (b - a), _KNOWN) if not texts else pa.array([[{"id": i, "word": w} for i, r, w in texts if r == row] for row in range(b - a)], _KNOWN)
+                known = _new_words(data, starts, ends, ids, rows, b - a, given)
                 yield pa.RecordBatch.from_arrays([shard.slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(words_before)), lists, known], ["shard", "lang", "n_words", "words", "known"])
 
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
     return rows.mapInArrow(number, "shard int, lang string, n_words long, words array<long>, known array<struct<id: long, word: string>>")
 
 
-_KNOWN = pa.list_(pa.struct([("id", pa.int64()), ("word", pa.string())]))
-
-
 def _salt(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
-def _new_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: np.ndarray, rows: np.ndarray, given: set[int]) -> list[tuple[int, int, str]]:
-    """id, row and text of the words that aren't in given yet."""
+def _new_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: np.ndarray, rows: np.ndarray, n_rows: int, given: set[int]) -> pa.ListArray:
+    """A list for each row: id and word of the words that first stand there and aren't in given yet."""
     once, at = np.unique(ids.view(np.int64), return_index=True)
-    new = [(i, j) for i, j in zip(once.tolist(), at.tolist(), strict=True) if i not in given]
-    given.update(i for i, _ in new)
+    new = np.array([i not in given for i in once.tolist()], bool)
+    given.update(once[new].tolist())
+    at = np.sort(at[new])  # in the order of rows
     raw = data.tobytes()
-    return sorted(((i, int(rows[j]), raw[starts[j] : ends[j]].lower().decode("utf-8", "replace")) for i, j in new), key=lambda x: x[1])
+    words = [raw[a:b].lower().decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(rows[at], minlength=n_rows)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(ids[at].view(np.int64)), pa.array(words, pa.string())], ["id", "word"]))
 
 
 @dataclass(frozen=True)
