@@ -32,3 +32,18 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a table with fewer bytes than a split for each core evenly over the cores; a larger one stays as it is.
+
+    Files that are one row group are one task however many cores there are, and patterns take far longer than reading.
+    A stream stays as it is too.
+    """
+    spark = df.sparkSession
+    if df.isStreaming:
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    split = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size < cores * split else df

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..functions.rows import exploded
-from .registry import SCAN_SPECS, Detector
+from .registry import SCAN_SPECS, Detector, Vectorised
 
 HIT = "struct<detector string, rank int, finding_id string, token_type string, severity string, title string, at int, value string, metadata map<string,string>>"
 
@@ -47,31 +47,34 @@ def _jwt_metadata(token: Column, now: Column) -> Column:
     return sc.bound(sc.jwt_claims(token), of)
 
 
-def detect_all(texts: DataFrame, text: str = "text", specs: tuple[Detector, ...] = SCAN_SPECS, now: int = 0) -> DataFrame:
+def _found(text: Column, d: Vectorised, column: Column) -> Column:
+    """The hits of a vectorised detector, worked out in a column of their own."""
+
+    def of(hit: Column, at: Column) -> Column:
+        fields = {"detector": F.lit(d.name), "rank": F.lit(d.rank), "finding_id": F.lit(d.finding_id or d.name), "token_type": F.lit(d.token_type or d.name), "severity": F.lit(d.severity), "title": F.lit(d.title or d.name), "at": at, "value": hit["value"], "metadata": hit["metadata"]}
+        return F.struct(*(c.alias(n) for n, c in fields.items()))
+
+    return F.transform(F.coalesce(column, F.array().cast("array<struct<value string, metadata map<string,string>>>")), of).cast(f"array<{HIT}>")
+
+
+def detect_all(texts: DataFrame, text: str = "text", specs: tuple[Detector | Vectorised, ...] = SCAN_SPECS, now: int = 0) -> DataFrame:
     """One row for each hit, with all columns of texts but the text itself, and the hit's own.
 
     Null and empty texts have none. now (in seconds) tells expired tokens. A text that holds no detector's literal costs
-    a few substring searches and no pattern.
+    a few substring searches and no pattern. Vectorised detectors work in the same pass, each on the texts that its gate
+    lets through; hits keep the order of specs.
     """
-    return _exploded(texts, text, [_hits(F.col(text), d, F.lit(now)) for d in specs])
-
-
-def _exploded(texts: DataFrame, text: str, hits: list[Column]) -> DataFrame:
-    found = exploded(texts, F.concat(*hits) if len(hits) > 1 else hits[0], "__hit")
+    rows, hits = texts, []
+    for i, d in enumerate(specs):
+        if isinstance(d, Vectorised):
+            rows = rows.withColumn(f"__found{i}", d.find(F.when(_any_of(F.col(text), d.gate, d.any_case), F.col(text))))
+            hits.append(_found(F.col(text), d, F.col(f"__found{i}")))
+        else:
+            hits.append(_hits(F.col(text), d, F.lit(now)))
+    found = exploded(rows, F.concat(*hits) if len(hits) > 1 else hits[0], "__hit")
     return found.select(*[F.col(f"`{c}`") for c in texts.columns if c != text], "__hit.*")
 
 
-def detect(texts: DataFrame, name: str, text: str = "text", specs: tuple[Detector, ...] = SCAN_SPECS, now: int = 0) -> DataFrame:
+def detect(texts: DataFrame, name: str, text: str = "text", specs: tuple[Detector | Vectorised, ...] = SCAN_SPECS, now: int = 0) -> DataFrame:
     """detect_all with the detectors of one name."""
     return detect_all(texts, text, tuple(d for d in specs if d.name == name), now)
-
-
-def detect_vectorised(texts: DataFrame, find, name: str, rank: int = 99, text: str = "text", severity: str = "high") -> DataFrame:
-    """Hits of a detector that no pattern expresses. find: a pandas UDF from text to array<struct<value string, metadata map<string,string>>>."""
-
-    def of(hit: Column, at: Column) -> Column:
-        fields = {"detector": F.lit(name), "rank": F.lit(rank), "finding_id": F.lit(name), "token_type": F.lit(name), "severity": F.lit(severity), "title": F.lit(name), "at": at, "value": hit["value"], "metadata": hit["metadata"]}
-        return F.struct(*(c.alias(n) for n, c in fields.items()))
-
-    found = texts.withColumn("__found", find(F.coalesce(F.col(text), F.lit(""))))
-    return _exploded(found, text, [F.transform("__found", of).cast(f"array<{HIT}>")]).drop("__found")

@@ -2,35 +2,59 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import exploded
 from ..functions.scalars import bound
 from .detect import _any_of
 from .registry import REDACT_SPECS, Redaction
 
 
+def _makes(replacement: str, literal: str) -> bool:
+    """Whether putting in a replacement can make a literal that its text didn't hold: one inside it, or across either end."""
+    fixed = re.split(r"\$[0-9]", replacement)
+    inside = any(literal in x for x in fixed)
+    across = any(x.startswith(literal[i:]) or x.endswith(literal[:i]) for x in fixed if x for i in range(1, len(literal)))
+    return inside or across
+
+
+def _may_match(text: Column, specs: tuple[Redaction, ...]) -> Column:
+    """The numbers of the rules that have to run on a text: those a literal of whose gate it holds, those without a gate, and those whose literal an earlier rule's replacement can make."""
+    numbers = []
+    for k, rule in enumerate(specs):
+        made = any(_makes(r.replacement, x) for r in specs[:k] for x in rule.gate)
+        numbers.append(F.lit(k) if made or not rule.gate else F.when(_any_of(text, rule.gate, False), F.lit(k)))
+    return F.filter(F.array(*numbers), lambda k: k.isNotNull())
+
+
 def redact_all(df: DataFrame, text: str = "text", specs: tuple[Redaction, ...] = REDACT_SPECS) -> DataFrame:
-    """Add scrubbed and counts (label to number of matches, labels without any left out). A null text stays null."""
+    """Add scrubbed and counts (label to number of matches, labels without any left out). A null text stays null.
+
+    One look at a text's literals tells which rules may match; only these run, in order, each on what the one before left.
+    """
     columns = df.columns
 
     def step(state: Column, i: Column) -> Column:
         """One rule. Patterns stay literals, and the plan names each rule twice however long the list is."""
-        s, n, t = state["s"], F, F
+        s, n, t, label = state["s"], F, F, F
         for k, rule in enumerate(specs):
-            n, t = n.when((i == k) & _any_of(s, rule.gate, False), F.regexp_count(s, F.lit(rule.pattern))), t.when(i == k, F.regexp_replace(s, rule.pattern, rule.replacement))
+            n, t, label = n.when((i == k) & _any_of(s, rule.gate, False), F.regexp_count(s, F.lit(rule.pattern))), t.when(i == k, F.regexp_replace(s, rule.pattern, rule.replacement)), label.when(i == k, F.lit(rule.label))
         # Texts without a match, which are most, are searched but not replaced.
-        return bound(n.otherwise(0), lambda found: F.struct(F.when(found > 0, t).otherwise(s).alias("s"), F.array_append(state["n"], found).alias("n")))
+        return bound(n.otherwise(0), lambda found: F.struct(F.when(found > 0, t).otherwise(s).alias("s"), F.when(found > 0, F.array_append(state["n"], F.struct(label.alias("label"), found.alias("n")))).otherwise(state["n"]).alias("n")))
 
-    start = F.struct(F.col(text).alias("s"), F.array().cast("array<int>").alias("n"))
+    start = F.struct(F.col(text).alias("s"), F.array().cast("array<struct<label: string, n: int>>").alias("n"))
 
     def outcome(state: Column) -> Column:
-        total = {x: sum((F.get(state["n"], F.lit(i)) for i, r in enumerate(specs) if r.label == x), F.lit(0)) for x in dict.fromkeys(r.label for r in specs)}
-        entries = F.filter(F.array(*(F.struct(F.lit(x).alias("key"), n.cast("int").alias("value")) for x, n in total.items())), lambda e: e["value"] > 0)
-        return F.struct(state["s"].alias("scrubbed"), F.map_from_entries(entries).alias("counts"))
+        labels = F.array_distinct(F.transform(state["n"], lambda x: x["label"]))
+        total = lambda label: F.aggregate(state["n"], F.lit(0), lambda a, x: a + F.when(x["label"] == label, x["n"]).otherwise(0))
+        return F.struct(state["s"].alias("scrubbed"), F.map_from_arrays(labels, F.transform(labels, total)).alias("counts"))
 
-    done = bound(F.aggregate(F.sequence(F.lit(0), F.lit(len(specs) - 1)), start, step), outcome)
-    return df.withColumn("__done", done).select(*columns, "__done.scrubbed", "__done.counts")
+    done = bound(F.aggregate(_may_match(F.col(text), specs), start, step), outcome)
+    # As the one element of an array, so that nothing that uses either part works the chain out once more.
+    return exploded(df, F.array(done), "__done").select(*columns, "__done.scrubbed", "__done.counts")
 
 
 def _total(counts) -> F.Column:
@@ -45,8 +69,9 @@ def scrub_preview(redacted: DataFrame) -> DataFrame:
 
 def scrub_apply(redacted: DataFrame, text: str = "text") -> DataFrame:
     """rows_modified and their redactions: a row counts when its text differs."""
-    changed = redacted.where(F.col("scrubbed") != F.col(text))
-    return changed.agg(F.count(F.lit(1)).alias("rows_modified"), F.coalesce(F.sum(_total(F.col("counts"))), F.lit(0)).alias("redactions"))
+    # A sum of what holds, not a filter: Spark would push that below, with the whole redaction once more.
+    changed = F.col("scrubbed") != F.col(text)
+    return redacted.agg(F.count_if(changed).alias("rows_modified"), F.coalesce(F.sum(F.when(changed, _total(F.col("counts")))), F.lit(0)).alias("redactions"))
 
 
 def counts_by_label(redacted: DataFrame) -> DataFrame:

@@ -43,6 +43,21 @@ class Detector:
         return given(value) if callable(given) else F.lit(given)
 
 
+@dataclass(frozen=True)
+class Vectorised:
+    """A detector that no pattern expresses. find: a pandas UDF from text to array<struct<value string, metadata map<string,string>>>; texts that hold no literal of the gate come to it as null."""
+
+    name: str
+    rank: int
+    find: Callable[[Column], Column]
+    finding_id: str = ""
+    severity: str = "high"
+    token_type: str = ""
+    title: str = ""
+    gate: tuple[str, ...] = ()
+    any_case: bool = False
+
+
 @dataclass(frozen=True)
 class Redaction:
     """Replace each match; label counts them. gate: as for a detector, never changes a result."""
@@ -185,12 +200,12 @@ REDACT_SPECS: tuple[Redaction, ...] = (
 
 
 class Registry:
-    """An ordered list of rules that a user may extend; later ones run after earlier ones."""
+    """An ordered list of rules that a user may extend; later ones run after earlier ones. Detectors by pattern and vectorised ones share one order, and one pass over the texts."""
 
-    def __init__(self, detectors: tuple[Detector, ...] = SCAN_SPECS, redactions: tuple[Redaction, ...] = REDACT_SPECS):
+    def __init__(self, detectors: tuple[Detector | Vectorised, ...] = SCAN_SPECS, redactions: tuple[Redaction, ...] = REDACT_SPECS):
         self.detectors, self.redactions = detectors, redactions
 
-    def register_detector(self, detector: Detector) -> Registry:
+    def register_detector(self, detector: Detector | Vectorised) -> Registry:
         return Registry((*self.detectors, detector), self.redactions)
 
     def register_redactor(self, redaction: Redaction) -> Registry:

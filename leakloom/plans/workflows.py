@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rows import exploded, materialised
+from ..functions.rows import exploded, materialised, spread
 from ..operators import configs, files as fs, findings as fd, nested, text as tx
 from ..operators.catalogue import RUNTIMES, SYSTEM_KUBECONFIGS, TITLES
 from ..operators.detect import detect_all
@@ -148,7 +148,7 @@ def routed_files(files: DataFrame, hosts: DataFrame, now: int = 0, env: DataFram
     it is small, so no text is shuffled.
     """
     others = materialised(named_kubeconfigs(files, hosts, env).withColumn("__named", F.lit("kubeconfig")), "kubeconfigs")
-    tagged = fs.tag_files(files.join(others, ["host_id", "path"], "left"), first=True, also=F.col("__named")).drop("__named")
+    tagged = fs.tag_files(spread(files).join(others, ["host_id", "path"], "left"), first=True, also=F.col("__named")).drop("__named")
     routed = fs.route_probes(tagged, fs.routes_table(files.sparkSession))
     routed = materialised(routed.where(F.col("size") <= F.col("size_cap")), "routed")
     cached = F.col("pattern_name").isin("aws_sso_cache", "aws_cli_cache")
@@ -202,7 +202,7 @@ def incremental_findings(content: Callable[[DataFrame], DataFrame], listing: Dat
 
 def scrub(files: DataFrame, minutes: int = 0, now: int = 0) -> DataFrame:
     """Chats and histories in which a detector finds something, with scrubbed content and counts."""
-    tagged = fs.route_probes(fs.tag_files(files), fs.routes_table(files.sparkSession)).where("scrub_ok")
+    tagged = fs.route_probes(fs.tag_files(spread(files)), fs.routes_table(files.sparkSession)).where("scrub_ok")
     texts = fd.union_findings(scan_keyed_lines(tagged.where("route = 'line'")), scan_history(tagged.where("route = 'history'")))
     hit = detect_all(texts, now=now).select("host_id", "path").distinct()
     targets = fs.grace_filter(tagged, minutes, F.timestamp_seconds(F.lit(now))).drop("pattern_name", "probe", "route", "ord", "size_cap", "scrub_ok")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..functions.rows import spread
 from ..operators import redact as rd
 from ..operators.detect import detect
 from ..plans import workflows as wf
@@ -15,7 +16,7 @@ NOW = 1_700_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def planted(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +34,7 @@ def _detector_query(name: str):
 E = r"""(?:[\x60'"\s;]|\\[nr]|$)"""
 G = r"""(?i)[\w.-]{0,50}?(?:access|auth|(?-i:[Aa]pi|API)|credential|creds|key|passw(?:or)?d|secret|token)(?:[ \t\w.-]{0,20})[\s'"]{0,3}(?:=|>|:{1,3}=|\|\||:|=>|\?=|,)[\x60'"\s=]{0,5}([\w.=-]{10,150}|[a-z0-9][a-z0-9+/]{11,}={0,3})""" + E
 D = r"""(?i)\b(postgres(?:ql)?|mysql|mariadb|mongodb(?:\+srv)?|rediss?|amqps?|clickhouse|mssql)://([^:@/\s"'<>]*):([^@/\s"'<>]+)@([^/\s"'<>?#]+)"""
-#: By detector: (pattern, group, SQL of finding_id, of token_type, of severity, whether a text's equal values count once), in terms of v.
+#: The grammars, as RE2 has them. By detector: (pattern, group, SQL of finding_id, of token_type, of severity, whether a text's equal values count once), in terms of v.
 SQL_RULES: dict[str, list[tuple[str, int, str, str, str, bool]]] = {
     "github-pat": [(rf"{p}[A-Za-z0-9]{{36}}", 0, f"'github-token-{k}'", f"'{k}'", "'critical'", False) for p, k in (("ghp_", "classic-pat"), ("gho_", "oauth-token"), ("ghu_", "app-user-token"), ("ghs_", "app-server-token"), ("ghr_", "refresh-token"))]
     + [(r"github_pat_\w{82}", 0, "'github-token-fine-grained-pat'", "'fine-grained-pat'", "'critical'", False)],
@@ -108,7 +109,7 @@ def everything(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PK = r"(?:RSA\s+|EC\s+|OPENSSH\s+|DSA\s+)?PRIVATE KEY-----"
 _J = r"eyJ[\w-]{10,}\.eyJ[\w-]{10,}\.[\w-]{10,}"
-#: (label, pattern, replacement) in order.
+#: Fixed values: (label, pattern, replacement) in order.
 SQL_REDACTIONS: list[tuple[str, str, str]] = [
     ("ssh-private-key", rf"-----BEGIN\s+{_PK}[A-Za-z0-9+/=\s\\n]{{20,}}-----END\s+{_PK}", "[REDACTED-ssh-private-key]"), ("jwt", rf"Bearer\s+{_J}", "Bearer [REDACTED-jwt]"), ("bearer-token", r"Bearer\s+[\w.\-/+=]{20,}", "Bearer [REDACTED-bearer-token]"),
     ("basic-auth", r"Basic\s+[A-Za-z0-9+/=]{20,}", "Basic [REDACTED-basic-auth]"), ("basic-auth", r"""(https?://)[^:"\s\\]+:[^@"\s\\]+(@)""", r"\1[REDACTED-basic-auth]\2"), ("api-key-header", r"""(?:X-API-Key|x-api-key|Authorization)[":\s]+[\w.\-/+=]{30,}""", "[REDACTED-api-key-header]"),

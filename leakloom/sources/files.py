@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rows import materialised
+from ..functions.rows import exploded, materialised
 from ..functions.scalars import type_name
 
 
@@ -72,7 +72,8 @@ def write_back(spark: SparkSession, folder: str, scrubbed: Callable[[DataFrame],
     known = snapshot.columns
     placed = snapshot.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     rows = scrubbed(placed)
-    changes = materialised(rows.where(F.col("scrubbed") != F.col(text)).select("__file", "__row", "scrubbed"), "changes")
+    changed = exploded(rows, F.when(F.col("scrubbed") != F.col(text), F.array("scrubbed")), "__new")
+    changes = materialised(changed.select("__file", "__row", F.col("__new").alias("scrubbed")), "changes")
     touched = [r[0] for r in changes.select("__file").distinct().toLocalIterator()]  # no more than the folder has files
     if not touched:
         return 0
