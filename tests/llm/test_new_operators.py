@@ -14,7 +14,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from leakloom.llm import collocations, conversations, queries, url_filter
+from leakloom.llm import collocations, conversations, decontaminate, queries, url_filter
 
 # --- collocations
 
@@ -216,3 +216,27 @@ def test_url_classifier_on_rules_it_has_not_seen(spark):
     out = url_filter.filter_urls(other.select("page_id", "url"), rules=(), labelled=table).join(other.select("page_id", "ruled"), "page_id")
     right, n = out.agg(F.count_if(F.col("verdict") == F.col("ruled")), F.count(F.lit(1))).first()
     assert right / n > 0.97
+
+
+# --- decontamination: names at a sentence's start, short items
+
+
+def test_names_at_the_start_of_a_sentence(spark):
+    items = ["Tom has 12 apples and 7 pears", "Tom Smith paid 30 dollars for 5 kg of rice", "What is 12 + 7", "Yes", "There were 3 birds in a tree. Tom saw 9 of them fly away to the big lake near his town"]
+    texts = [
+        "Ann has 95 apples and 3 pears", "well. Ann Jones paid 41 dollars for 6 kg of rice!", "so What is 12 + 7 then", "yes", "Yes and so on", "What is 13 + 7", "clean words " * 20, "Ann has 7 apples and 7 pears",
+        "There were 5 birds in a tree. Ann saw 8 of them fly away to the big lake near his town", "the small lake. Ann saw 8 of them fly away to the big lake near his town", None, "",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.kind for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert found == {(0, 0): "reparameterised", (1, 1): "reparameterised", (2, 2): "verbatim", (3, 3): "verbatim", (8, 4): "verbatim", (9, 4): "verbatim"}
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, benchmark).collect()} == {4, 5, 6, 7, 10, 11}
+
+
+@pytest.mark.parametrize("bound", ["BROADCAST_WINDOWS", "BROADCAST_IDS"])
+def test_decontamination_by_shuffle_joins(spark, monkeypatch, bound):
+    docs, benchmark = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = sorted(map(tuple, decontaminate.contaminated(docs, benchmark).collect()))
+    monkeypatch.setattr(decontaminate, bound, 0)
+    assert want and sorted(map(tuple, decontaminate.contaminated(docs, benchmark).collect())) == want
