@@ -2,10 +2,10 @@
 
 The documents of a source stand in a keyed random order and form one stream of words, cut into blocks of equal length.
 A source's target gives whole passes over its stream and an exact quota of blocks of one more, drawn from all of them by
-a keyed bijection; the last one drawn is cut to meet the target. A splitting tree parts
+a keyed permutation; the last one drawn is cut to meet the target. A splitting tree parts
 the quotas of all sources among the output shards by multivariate hypergeometric draws, each node seeded by its own
 range of shards, so that a task finds the shard of a block by walking down and no table of shards is shipped. The
-drawn blocks of a source are permuted by a keyed bijection, so shards hold disjoint blocks. A document that several
+drawn blocks of a source are permuted in the same way, so shards hold disjoint blocks. A document that several
 shards share is parted among them, and the rows of the mix are written by shard and by random places within it.
 """
 
@@ -20,10 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN
+from .common import WORD_PATTERN, mix
 
-#: Ranges of the random order in which running sums are taken; a source's running sum is that of ranges, then of rows.
-RANGES = 4096
+#: Rows, about, of a range of the random order in which running sums are taken; a source's running sum is that of ranges,
+#: then of rows. The number of ranges grows with the rows, between the two powers of two.
+RANGE_ROWS, LEAST_BITS, MOST_BITS = 20_000, 6, 24
+
+#: Rounds of a permutation: six for each bit of a source's blocks and more, up to 10**6 blocks (10**9 words); beyond, it is a little less mixed.
+ROUNDS = 128
 
 #: Words, about, of a partition of the mix.
 PARTITION_WORDS = 4_000_000
@@ -105,22 +109,27 @@ class SplitTree:
         return out
 
 
-def affine(n: int, seed: int) -> tuple[int, int]:
-    """Factor and summand of a keyed bijection of 0..n-1: an affine map whose factor shares no divisor with n."""
-    factor = int(np.random.default_rng([seed, n]).integers(1, max(2, n)))
-    while math.gcd(factor, n) != 1:
-        factor += 1
-    return factor, seed % n
+def permuted(block: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """A keyed permutation of 0..size-1 for each size, of any size below 2**63: the place of each block.
 
+    Swap or not: each round pairs every number with its reflection about a keyed one, and a keyed bit of the greater of
+    the two tells whether both change places. Only sums and differences below the size occur, so nothing overflows.
+    """
+    block, size = np.asarray(block, np.int64).copy(), np.asarray(size, np.int64)
+    if not len(block):
+        return block
+    key = mix(size.view(np.uint64) ^ mix(np.full(len(size), seed & (1 << 64) - 1, np.uint64)))
+    for i in range(ROUNDS):
+        own = mix(key + np.uint64((i + 1) * _STEP & (1 << 64) - 1))
+        other = (own % size.view(np.uint64)).view(np.int64) - block
+        other[other < 0] += size[other < 0]
+        swap = mix(np.maximum(block, other).view(np.uint64) ^ own) >> np.uint64(63) == 1
+        block[swap] = other[swap]
+    return block
 
-def permuted(block: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
-    """affine of each block, by its size."""
-    out = np.zeros(len(block), np.int64)
-    for n in np.unique(size):
-        rows = size == n
-        factor, more = affine(int(n), seed)
-        out[rows] = [(factor * int(b) + more) % int(n) for b in block[rows]]
-    return out
+
+#: An odd number that parts the keys of rounds.
+_STEP = 0x9E3779B97F4A7C15
 
 
 def drawn_blocks(size: int, rest: int, block_words: int, seed: int) -> tuple[int, int]:
@@ -128,8 +137,7 @@ def drawn_blocks(size: int, rest: int, block_words: int, seed: int) -> tuple[int
     n, short = -(-size // block_words), -size % block_words
     if not rest:
         return 0, 0
-    factor, more = affine(n, seed)
-    at = (factor * (n - 1) + more) % n  # the rank of the stream's last block, which lacks some words
+    at = int(permuted(np.array([n - 1]), np.array([n]), seed)[0])  # the rank of the stream's last block, which lacks some words
     words = lambda k: k * block_words - (short if at < k else 0)  # noqa: E731  of the first k ranks
     k = -(-rest // block_words)
     k += words(k) < rest
@@ -152,7 +160,8 @@ def _plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []))
-    sized = sized.withColumn("at", F.xxhash64("doc_id", F.lit(seed))).withColumn("range", F.shiftrightunsigned("at", 52).cast("int"))
+    bits = min(MOST_BITS, max(LEAST_BITS, (docs.count() // RANGE_ROWS).bit_length()))
+    sized = sized.withColumn("at", F.xxhash64("doc_id", F.lit(seed))).withColumn("range", F.shiftrightunsigned("at", 64 - bits).cast("int"))
     totals = sized.groupBy("source", "range").agg(F.sum("size").alias("words"))
     sizes = {r.source: r.words for r in totals.groupBy("source").agg(F.sum("words").alias("words")).collect()}
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
@@ -162,15 +171,15 @@ def _plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
         goal = round(want[s])
         whole[s], rest[s] = divmod(goal, sizes[s]) if sizes[s] else (0, 0)
     blocks = lambda n: -(-n // block_words)
-    draw = {s: (*affine(max(1, blocks(sizes[s])), seed + 2), *drawn_blocks(sizes[s], rest[s], block_words, seed + 2)) for s in order}
-    tree = SplitTree(tuple(whole[s] * blocks(sizes[s]) + draw[s][2] for s in order), shards, seed)
+    draw = {s: drawn_blocks(sizes[s], rest[s], block_words, seed + 2) for s in order}
+    tree = SplitTree(tuple(whole[s] * blocks(sizes[s]) + draw[s][0] for s in order), shards, seed)
     facts = spark.createDataFrame(
         [(s, i, sizes[s], want[s], whole[s], max(1, blocks(sizes[s])), *draw[s]) for i, s in enumerate(order)],
-        "source string, source_at int, source_size long, target double, whole int, blocks long, factor long, more long, quota long, last_words long",
+        "source string, source_at int, source_size long, target double, whole int, blocks long, quota long, last_words long",
     )
 
     few = F.broadcast if len(order) <= BROADCAST_SOURCES else (lambda df: df)
-    # The window of ranges has at most RANGES rows a source, that of rows a RANGESth part of a source.
+    # The window of ranges has a row for some RANGE_ROWS of a source, that of rows about so many rows.
     by_range = Window.partitionBy("source").orderBy("range")
     begins = totals.select("source", "range", (F.sum("words").over(by_range) - F.col("words")).alias("range_start"))
     by_row = Window.partitionBy("source", "range").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -178,7 +187,21 @@ def _plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
     keyed = local.join(begins.withColumnsRenamed({"source": "s", "range": "r"}), F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).drop("s", "r")
     keyed = keyed.join(few(facts.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("start", F.col("range_start") + F.col("local"))
 
-    rank = lambda b: (F.col("factor") * b + F.col("more")) % F.col("blocks")
+    first_block, last_block = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
+
+    @F.pandas_udf("array<long>")
+    def ranks_of(first: pd.Series, last: pd.Series, of: pd.Series) -> pd.Series:
+        """The ranks of a row's blocks, first to last, among those that a partial pass draws from."""
+        n = (last - first + 1).to_numpy(np.int64)
+        ends = np.cumsum(n)
+        block = np.repeat(first.to_numpy(np.int64) - (ends - n), n) + np.arange(int(n.sum()))
+        rank = permuted(block, np.repeat(of.to_numpy(np.int64), n), seed + 2)
+        return pd.Series([rank[e - k : e] for e, k in zip(ends, n, strict=True)], index=first.index, dtype=object)
+
+    # A row of no words has no block: first 0 to last -1.
+    some = F.col("size") > 0
+    keyed = keyed.withColumn("ranks", ranks_of(F.when(some, first_block).otherwise(0).cast("long"), F.when(some, last_block).otherwise(-1).cast("long"), F.greatest("blocks", F.lit(1)).cast("long")))
+    rank = lambda b: F.get("ranks", (b - first_block).cast("int"))
 
     def cuts(copy, most):
         """The pieces of one copy: of each block that the document reaches, what it has of the block's first most(block) words."""
@@ -186,7 +209,7 @@ def _plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
             copy.cast("int").alias("copy"), b.cast("long").alias("block"), (F.greatest(b * block_words, F.col("start")) - F.col("start")).cast("long").alias("first"),
             (F.least(b * block_words + most(b), F.col("start") + F.col("size")) - F.greatest(b * block_words, F.col("start"))).cast("long").alias("n"),
         )
-        reached = F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))
+        reached = F.sequence(first_block, last_block)
         return F.filter(F.transform(reached, piece), lambda p: p["n"] > 0)
 
     partial = lambda b: F.when(rank(b) < F.col("quota") - 1, block_words).when(rank(b) == F.col("quota") - 1, F.col("last_words")).otherwise(0)
@@ -195,7 +218,7 @@ def _plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
     over = F.when((F.col("quota") > 0) & (F.col("size") > 0), cuts(F.col("whole"), partial)).otherwise(none)
     drawn = keyed.withColumn("pieces", F.concat(full, over))
     per_copy, quotas = [blocks(sizes[s]) for s in order], tree.quotas
-    whole_of, draw_of = [int(whole[s]) for s in order], [draw[s][:2] for s in order]
+    whole_of = [int(whole[s]) for s in order]
 
     @F.pandas_udf("array<int>")
     def shard_of(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -207,8 +230,7 @@ def _plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
             block = np.fromiter((p["block"] for p in flat), np.int64, len(flat))
             quota, n_blocks = np.asarray(quotas, np.int64)[source], np.asarray(per_copy, np.int64)[source]
             # Blocks of the partial pass count by their rank, which is below its quota.
-            factor, more = np.asarray(draw_of, np.int64).reshape(-1, 2)[source].T
-            block = np.where(copy == np.asarray(whole_of, np.int64)[source], (factor * block + more) % np.maximum(n_blocks, 1), block)
+            block = np.where(copy == np.asarray(whole_of, np.int64)[source], permuted(block, np.maximum(n_blocks, 1), seed + 2), block)
             shard = tree.shard_of(source, permuted(copy * n_blocks + block, quota, seed) if len(flat) else block)
             ends = np.cumsum(n)
             yield pd.Series([shard[e - k : e].tolist() for e, k in zip(ends, n, strict=True)], index=pieces.index, dtype=object)

@@ -413,8 +413,8 @@ def test_partial_pass_draws_blocks_by_rank(spark):
     assert len(blocks) in (86, 87) and max(blocks) - min(blocks) > 120
     for size, rest in ((1200, 600), (1200, 1), (1200, 1199), (14, 13), (5, 3), (7, 6)):
         k, last = mixing.drawn_blocks(size, rest, 7, 19)
-        factor, more = mixing.affine(-(-size // 7), 19)
-        lengths = {(factor * b + more) % -(-size // 7): min(7, size - 7 * b) for b in range(-(-size // 7))}
+        n = -(-size // 7)
+        lengths = {r: min(7, size - 7 * b) for b, r in enumerate(mixing.permuted(np.arange(n), np.full(n, n), 19).tolist())}
         assert sum(lengths[r] for r in range(k - 1)) + last == rest and 0 < last <= lengths[k - 1]
 
 
