@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold_of, materialise, mix, shared_path, text_parts, word_hashes, word_spans
@@ -199,6 +199,8 @@ class Level:
     wide: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     wide_back: np.ndarray = field(default_factory=lambda: np.zeros(0))
     wide_at: int = WIDE
+    #: Ascending numbers of the shards that hold something: each has a file, and any other is empty. None before they are written.
+    written: np.ndarray | None = None
 
     def _is_wide(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.wide[0], context), max(len(self.wide[0]) - 1, 0))
@@ -222,13 +224,25 @@ class Level:
         return np.uint64(shard << (64 - self.bits))
 
     def open(self, shard: int):
-        """A shard as this process has it mapped, or None if it is empty."""
+        """A shard as this process has it mapped, or None if it is empty; raises if its file should be there and isn't.
+
+        A process keeps at most MOST_MAPPED shards mapped, those it asked last.
+        """
+        at = np.searchsorted(self.written, shard)
+        if at == len(self.written) or self.written[at] != shard:
+            return None
         key = (self.path, shard)
-        if key not in _mapped:
-            for old in [k for k in _mapped if k[0].rpartition("/")[0] != self.path.rpartition("/")[0]]:
-                del _mapped[old]  # a reused worker keeps one model
-            files = glob.glob(f"{local_folder(self.path)}/shard={shard}/*.txt")
-            _mapped[key] = self.kind(mapped(files[0])) if files else None
+        if key in _mapped:
+            _mapped[key] = _mapped.pop(key)
+            return _mapped[key]
+        for old in [k for k in _mapped if k[0].rpartition("/")[0] != self.path.rpartition("/")[0]]:
+            del _mapped[old]  # a reused worker keeps one model
+        while len(_mapped) >= MOST_MAPPED:
+            del _mapped[next(iter(_mapped))]
+        files = glob.glob(f"{local_folder(self.path)}/shard={shard}/*.txt")
+        if len(files) != 1:
+            raise FileNotFoundError(f"shard {shard} of {self.path} has {len(files)} files in {local_folder(self.path)}")
+        _mapped[key] = self.kind(mapped(files[0]))
         return _mapped[key]
 
     def parts(self, keys: np.ndarray) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
@@ -262,6 +276,8 @@ class Level:
 
 
 _mapped: dict[tuple[str, int], object] = {}
+#: Linux lets a process have some 65 000 maps.
+MOST_MAPPED = 8192
 
 
 def lane_keys(context: np.ndarray, lane: np.ndarray) -> np.ndarray:
@@ -276,12 +292,19 @@ def local_folder(path: str) -> str:
     return SparkFiles.get(path.rpartition("/")[2])
 
 
-def write_shards(shards: DataFrame, path: str) -> None:
-    """Each row's data as a file of its own below path, written by the tasks that hold it. The text writer writes bytes as they are."""
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the file system that Spark takes it for, which need not be a mounted one."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(there).toString()
+
+
+def write_shards(shards: DataFrame, level: Level) -> None:
+    """Each row's data as a file of its own below the level's path, written by the tasks that hold it, and their numbers to the level. The text writer writes bytes as they are."""
     spark = shards.sparkSession
-    shards.select("shard", F.col("data").cast("string")).write.partitionBy("shard").text(path)
-    if path.partition(":")[1] and not path.startswith("file:"):
-        spark.sparkContext.addFile(path, recursive=True)
+    shards.select("shard", F.col("data").cast("string")).write.partitionBy("shard").text(level.path)
+    level.written = np.sort(shards.select("shard").toArrow().column(0).to_numpy().astype(np.int64))  # one row a shard, 2 ** bits at most
+    if level.path.partition(":")[1] and not level.path.startswith("file:"):
+        spark.sparkContext.addFile(level.path, recursive=True)
 
 
 def _tally_words(batches: Iterator[pa.RecordBatch], level: Level) -> Iterator[pa.RecordBatch]:
@@ -432,7 +455,7 @@ def _level(texts: DataFrame, level: Level, found, least: int, name: str) -> tupl
     tallied = texts.mapInArrow(lambda batches: _tally_grams(batches, level, found), GRAMS)
     schema = "shard int, data binary, rows long, broad array<long>, kept array<double>, below array<double>, wide array<long>, wide_n array<long>"
     built = materialise(tallied.groupBy("shard").applyInArrow(_build_grams(least, level), schema), name)
-    write_shards(built, level.path)
+    write_shards(built, level)
     if len(level.wide[0]):
         rows = built.select(F.explode_outer(F.arrays_zip("broad", "kept", "below")).alias("b")).where("b IS NOT NULL").groupBy("b.broad").agg(F.sum("b.kept").alias("kept"), F.sum("b.below").alias("below")).toArrow()
         at = np.searchsorted(level.wide[0], rows.column(0).to_numpy().view(np.uint64))
@@ -444,11 +467,11 @@ def _level(texts: DataFrame, level: Level, found, least: int, name: str) -> tupl
 def train(texts: DataFrame, least: int = LEAST, wide_at: int = WIDE) -> Model:
     """A model of all texts (one text column) with all n-grams seen at least so often; 1 keeps every one. wide_at: occurrences of a wide context."""
     spark = texts.sparkSession
-    folder = shared_path(spark, f"trie-{uuid.uuid4().hex[:8]}")
+    folder = qualified(spark, shared_path(spark, f"trie-{uuid.uuid4().hex[:8]}"))
     bits = lambda n, each, lo: int(np.clip(np.ceil(np.log2(max(1, n / each))), lo, 20))
     words = Level(f"{folder}/words", bits(texts.count(), SHARD_DOCS, 3), Words, wide_at=wide_at)
     built = materialise(texts.mapInArrow(lambda b: _tally_words(b, words), "shard int, keys binary, n binary").groupBy("shard").applyInArrow(lambda part: _build_words(part, words), "shard int, data binary, total long, distinct long, wide array<long>, wide_n array<long>"), "words")
-    write_shards(built, words.path)
+    write_shards(built, words)
     total, distinct = built.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     size = bits(total, SHARD_TOKENS, 3)
     model = Model(words, Level(f"{folder}/pairs", size, Grams, _wide(built, wide_at), wide_at=wide_at), Level(f"{folder}/triples", size, Grams, wide_at=wide_at), int(total), int(distinct))

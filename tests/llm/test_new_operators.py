@@ -5,6 +5,8 @@ from __future__ import annotations
 import collections
 import hashlib
 import itertools
+import math
+import os
 import random
 import re
 import zlib
@@ -14,7 +16,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from leakloom.llm import collocations, conversations, decontaminate, queries, url_filter
+from leakloom.llm import collocations, conversations, decontaminate, mixing, ngram_lm, queries, url_filter
 
 # --- collocations
 
@@ -240,3 +242,91 @@ def test_decontamination_by_shuffle_joins(spark, monkeypatch, bound):
     want = sorted(map(tuple, decontaminate.contaminated(docs, benchmark).collect()))
     monkeypatch.setattr(decontaminate, bound, 0)
     assert want and sorted(map(tuple, decontaminate.contaminated(docs, benchmark).collect())) == want
+
+
+# --- mixing: the permutation, and each document's share by hand
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000])
+def test_permutations(n):
+    orders = {tuple(mixing.permuted(np.arange(n), np.full(n, n), seed).tolist()) for seed in range(60)}
+    assert all(sorted(x) == list(range(n)) for x in orders)
+    assert len(orders) > min(60, math.factorial(min(n, 8))) // 2
+    if n > 100:  # neighbours don't stay neighbours
+        assert all(sum(abs(a - b) == 1 for a, b in itertools.pairwise(x)) < 12 for x in orders)
+
+
+def test_permutations_of_huge_sources():
+    n = 10**18 + 7
+    some = np.concatenate((np.arange(5000), n - 1 - np.arange(5000)))
+    with np.errstate(over="raise"):
+        places = mixing.permuted(some, np.full(len(some), n), 5)
+    assert len(set(places.tolist())) == len(some) and (places >= 0).all() and (places < n).all()
+    assert abs(places.astype(float).mean() / n - 0.5) < 0.02
+    mixed = mixing.permuted(np.array([4, 4, 7]), np.array([9, 10**12, 9]), 5)
+    assert mixed.tolist() == [int(mixing.permuted(np.array([b]), np.array([s]), 5)[0]) for b, s in ((4, 9), (4, 10**12), (7, 9))]
+
+
+def test_words_taken_of_each_document_by_hand(spark):
+    """A plain list of each source's blocks, those drawn cut out of it, against taken."""
+    rng = random.Random(6)
+    rows = [(i, " ".join("w" * rng.randint(0, 90)), rng.choice(["a", "a", "b", None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.plan_mix(df, block_words=16, shards=4).collect()
+    at = {r.doc_id: r.at for r in df.select("doc_id", F.xxhash64("doc_id", F.lit(17)).alias("at")).collect()}
+    sizes = collections.Counter()
+    for _, text, source in rows:
+        sizes[source] += len(text.split())
+    want = mixing.targets(dict(sizes))
+    for source, size in sizes.items():
+        # The order of ranges is that of unsigned hashes, within a range that of signed ones.
+        own = sorted((r for r in rows if r[2] == source), key=lambda r: ((at[r[0]] & (1 << 64) - 1) >> 58, at[r[0]], r[0]))
+        stream = [d for d, text, _ in own for _ in text.split()]
+        whole, rest = divmod(round(want[source]), size)
+        blocks = [stream[i : i + 16] for i in range(0, size, 16)]
+        rank = mixing.permuted(np.arange(len(blocks)), np.full(len(blocks), len(blocks)), 19)
+        taken = collections.Counter(stream * whole)
+        for b in sorted(range(len(blocks)), key=lambda b: rank[b]):
+            taken.update(blocks[b][:rest])
+            rest -= len(blocks[b][:rest])
+        assert {r.doc_id: r.taken for r in out if r.source == source} == {d: taken[d] for d, _, _ in own}
+
+
+def test_mixing_by_shuffle_joins(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = sorted(map(tuple, mixing.mix_digest(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(tuple, mixing.mix_digest(docs).collect())) == want
+
+
+# --- the word model's files
+
+
+def test_an_absent_shard_is_an_error(spark):
+    texts = spark.createDataFrame([(f"a b c w{i % 9} d e",) for i in range(200)], "text string")
+    model = ngram_lm.train(texts)
+    shard = int(model.words.written[0])
+    folder = ngram_lm.local_folder(model.words.path)
+    empty = next(i for i in range(1 << model.words.bits) if i not in set(model.words.written.tolist()))
+    assert model.words.open(empty) is None
+    os.rename(f"{folder}/shard={shard}", f"{folder}/gone")
+    ngram_lm._mapped.clear()
+    with pytest.raises(FileNotFoundError):
+        model.words.open(shard)
+
+
+def test_few_maps_give_the_same_scores(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(50)
+    model = ngram_lm.train(docs.select("text"))
+    data = "the of and a to in is you that it".encode()
+    h, rows = ngram_lm.token_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    run = lambda: model.log10(h, rows, model.singles(h)[1])
+    want = run()
+    monkeypatch.setattr(ngram_lm, "MOST_MAPPED", 1)
+    ngram_lm._mapped.clear()
+    assert (run() == want).all() and len(ngram_lm._mapped) == 1
+
+
+def test_model_paths_are_qualified(spark):
+    assert ngram_lm.qualified(spark, "/tmp/x y") == "file:/tmp/x y"
+    assert ngram_lm.local_folder("file:/tmp/x") == "/tmp/x"
