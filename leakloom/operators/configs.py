@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..functions.rows import exploded
+from .text import ssh_scopes
 
 
 @dataclass(frozen=True)
@@ -68,19 +68,30 @@ def apply_config_rules(config: DataFrame, rules: tuple[Rule, ...] = RULES) -> Da
     return found.select(*kept, "__h.*")
 
 
-def ssh_config_rules(scoped: DataFrame) -> DataFrame:
-    """Findings of SSH client settings (key, value, host): each rule once for each file and host, at its first line."""
-    value = F.lower("value")
-    rules = (
-        ("ssh-strict-host-key-checking-disabled", "high", (F.col("key") == "stricthostkeychecking") & (value == "no")),
-        ("ssh-known-hosts-disabled", "high", (F.col("key") == "userknownhostsfile") & sc.is_null_device(F.col("value"))),
-        ("ssh-forward-agent-enabled", "medium", (F.col("key") == "forwardagent") & (value == "yes")),
-    )
-    which = reduce(lambda out, r: out.when(r[2], F.struct(F.lit(r[0]).alias("finding_id"), F.lit(r[1]).alias("severity"))), rules[1:], F.when(rules[0][2], F.struct(F.lit(rules[0][0]).alias("finding_id"), F.lit(rules[0][1]).alias("severity"))))
-    found = scoped.withColumn("__h", which).where("__h IS NOT NULL").select(*scoped.columns, "__h.*")
-    keys = [c for c in ("host_id", "path") if c in scoped.columns]
-    first = Window.partitionBy(*keys, "host", "finding_id").orderBy("line_number")
-    out = found.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
+SSH_HIT = "array<struct<finding_id string, severity string, key string, value string, host string, line_number int>>"
+
+
+def ssh_config_rules(files: DataFrame, text: str = "content") -> DataFrame:
+    """Findings of SSH client configurations (key, value, host, line_number): each rule once for each file and host, at its first line. Worked out within the row."""
+
+    def hit(r: Column) -> Column:
+        rules = (
+            ("ssh-strict-host-key-checking-disabled", "high", (r["key"] == "stricthostkeychecking") & (F.lower(r["value"]) == "no")),
+            ("ssh-known-hosts-disabled", "high", (r["key"] == "userknownhostsfile") & sc.is_null_device(r["value"])),
+            ("ssh-forward-agent-enabled", "medium", (r["key"] == "forwardagent") & (F.lower(r["value"]) == "yes")),
+        )
+        found = F
+        for finding, severity, holds in rules:
+            found = found.when(holds, F.struct(F.lit(finding), F.lit(severity), r["key"], r["value"], r["host"], r["line_number"]))
+        return found
+
+    def first(hits: Column) -> Column:
+        """Settings stand in the order of lines."""
+        return F.filter(hits, lambda h, i: ~F.exists(F.slice(hits, F.lit(1), i), lambda g: (g["finding_id"] == h["finding_id"]) & (g["host"] == h["host"])))
+
+    hits = sc.bound(F.filter(F.transform(ssh_scopes(F.col(text)), hit), lambda h: h.isNotNull()).cast(SSH_HIT), first)
+    kept = [c for c in files.columns if c != text]
+    out = exploded(files, hits, "__h").select(*kept, "__h.*")
     return out.withColumn("for_all_hosts", (F.col("host") == "*") & (F.col("finding_id") == "ssh-forward-agent-enabled")).withColumn("fingerprint", sc.fields_fingerprint(F.col("finding_id"), F.col("path"), F.col("host")))
 
 

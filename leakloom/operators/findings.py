@@ -130,12 +130,13 @@ def strict_gate(findings: DataFrame) -> DataFrame:
     return findings.groupBy("host_id").agg(F.count(F.lit(1)).alias("n_findings")).withColumn("any_finding", F.col("n_findings") > 0)
 
 
-def affected_files(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """Distinct host_id, path of findings: without the `file:` scheme, and without a last `:N` if only the shorter path is a file."""
-    paths = findings.select("host_id", F.regexp_replace("path", "^file:", "").alias("full")).distinct().withColumn("short", F.regexp_replace("full", r":[0-9]+\z", ""))
+def affected_files(findings: DataFrame, files: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
+    """Distinct host_id, path of findings, and n, the path's place among its host's by its first finding in order: without the `file:` scheme, and without a last `:N` if only the shorter path is a file."""
+    seen = findings.select("host_id", F.regexp_replace("path", "^file:", "").alias("full"), _order(findings, order).alias("o"))
+    paths = seen.groupBy("host_id", "full").agg(F.min("o").alias("o")).withColumn("short", F.regexp_replace("full", r":[0-9]+\z", ""))
     known = files.select("host_id", F.col("path").alias("short")).distinct().withColumn("__is", F.lit(True))
-    out = paths.join(known, ["host_id", "short"], "left")
-    return out.select("host_id", F.when(F.col("__is"), F.col("short")).otherwise(F.col("full")).alias("path")).distinct()
+    out = paths.join(known, ["host_id", "short"], "left").groupBy("host_id", F.when(F.col("__is"), F.col("short")).otherwise(F.col("full")).alias("path")).agg(F.min("o").alias("o"))
+    return ranked(out, ("o", "path"), ("host_id",)).select("host_id", "path", "n")
 
 
 def gone(hits: DataFrame, after: str, keys: tuple[str, ...] = ("doc_id", "finding_id")) -> DataFrame:

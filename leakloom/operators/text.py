@@ -109,8 +109,8 @@ def parse_ini(files: DataFrame, text: str = "content") -> DataFrame:
     return _key_values(files, text, lambda x, i: pair(trimmed(x), i))
 
 
-def ssh_host_scope(files: DataFrame, text: str = "content") -> DataFrame:
-    """key (lower case), value, host and line_number of each setting of an SSH client configuration; host is the last Host before it, or `*`."""
+def ssh_scopes(text: Column) -> Column:
+    """An array of key (lower case), value, host and line_number of each setting of an SSH client configuration; host is the last Host before it, or `*`."""
 
     def fold(lines: Column) -> Column:
         fields = lambda x: F.filter(F.split(trimmed(x), f"[{UNICODE_SPACE}]+"), lambda f: f != "")
@@ -120,10 +120,16 @@ def ssh_host_scope(files: DataFrame, text: str = "content") -> DataFrame:
 
     def scoped(rows: Column) -> Column:
         host = lambda r: F.element_at(F.concat(F.array(F.lit("*")), F.transform(F.filter(rows, lambda h: (h["key"] == "host") & (h["line_number"] <= r["line_number"])), lambda h: h["value"])), -1)
-        return F.transform(rows, lambda r: F.struct(r["key"], r["value"], host(r).alias("host"), r["line_number"]))
+        settings = F.filter(rows, lambda r: r["key"] != "host")
+        return F.transform(settings, lambda r: F.struct(r["key"], r["value"], host(r).alias("host"), r["line_number"]))
+
+    return sc.bound(lines_of(text), fold)
 
+
+def ssh_host_scope(files: DataFrame, text: str = "content") -> DataFrame:
+    """A row for each setting of ssh_scopes."""
     kept = [c for c in files.columns if c != text]
-    return exploded(files, sc.bound(lines_of(F.col(text)), fold), "__r").select(*kept, "__r.*").where("key <> 'host'")
+    return exploded(files, ssh_scopes(F.col(text)), "__r").select(*kept, "__r.*")
 
 
 def split_env(env: DataFrame, entry: str = "entry") -> DataFrame:

@@ -107,7 +107,7 @@ def config_findings(files: DataFrame) -> DataFrame:
     of = lambda name: files.where(F.col("pattern_name").isin(*name.split()))
     tools = (("git", "gitconfig", tx.parse_git_config), ("npm", "npmrc yarnrc", tx.parse_npmrc), ("pypirc", "pypirc", tx.parse_ini), ("pip", "pip_config", tx.parse_ini))
     settings = fd.union_findings(*(parse(of(names)).withColumn("tool", F.lit(tool)) for tool, names, parse in tools))
-    parts = [configs.apply_config_rules(settings), configs.ssh_config_rules(tx.ssh_host_scope(of("ssh_config")))]
+    parts = [configs.apply_config_rules(settings), configs.ssh_config_rules(of("ssh_config"))]
     if {"mode", "os"} <= set(files.columns):
         parts.append(configs.key_permissions(of("ssh_keys").drop("content")))
     return fd.union_findings(*(_shaped(p, "misconfiguration") for p in parts))

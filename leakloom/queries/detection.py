@@ -98,8 +98,8 @@ def _detector_sql(name: str) -> str:
 
 # Tokens of every kind together, for redaction and workflows.
 ALL_TOKENS = tuple(t for name, tokens in TOKENS.items() for t in tokens) + (
-    ("Bearer ey" "J", Part(1, 12), ".ey" "J", Part(2, 12), ".", Part(3, 12)), ("x ey" "J", Part(4, 12), ".ey" "J", Part(5, 12), ".", Part(6, 12)), ("aws_secret" "_access_key = ", Part(1, 40)), ("aws_session" "_token = ", Part(2, 60)), ("IQoJb3" "JpZ2lu", Part(1, 110)),
-    ("Basic ", Part(9, 24)), ("sk-", Part(3, 44)), ("sk-ant-", Part(2, 24)), ("h" "f_", Letters(2, 33)),
+    ("Bearer eyJ", Part(1, 12), ".eyJ", Part(2, 12), ".", Part(3, 12)), ("x eyJ", Part(4, 12), ".eyJ", Part(5, 12), ".", Part(6, 12)), ("aws_secret_access_key = ", Part(1, 40)), ("aws_session_token = ", Part(2, 60)), ("IQoJb3JpZ2lu", Part(1, 110)),
+    ("Basic ", Part(9, 24)), ("sk-", Part(3, 44)), ("sk-ant-", Part(2, 24)), ("hf_", Letters(2, 33)),
 )
 
 

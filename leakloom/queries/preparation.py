@@ -187,7 +187,7 @@ SSH = "# c\nForwardAgent yes\nHost a{k} b\n  StrictHostKeyChecking no\n  stricth
 
 def ssh_rules(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("/s/"), F.col("c_custkey").cast("string")).alias("path"), F.replace(F.lit(SSH), F.lit("{k}"), F.col("c_custkey").cast("string")).alias("content"))
-    return configs.ssh_config_rules(tx.ssh_host_scope(rows)).select("path", "host", "finding_id", "severity", "line_number", "for_all_hosts", "fingerprint")
+    return configs.ssh_config_rules(rows).select("path", "host", "finding_id", "severity", "line_number", "for_all_hosts", "fingerprint")
 
 
 _SSH = """WITH c AS (SELECT '/s/' || c_custkey AS path, c_custkey AS k FROM customer),

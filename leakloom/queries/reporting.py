@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..functions.rows import materialised, shared_path
-from ..operators import findings as fd
+from ..operators import files as fs, findings as fd, redact as rd
 from ..operators.detect import detect, detect_all
 from ..operators.redact import counts_by_label
 from ..operators.registry import SCAN_SPECS, Registry, Vectorised
 from ..plans import workflows as wf
-from ..sources.files import only_files, report_json, write_back
+from ..operators.text import to_lines
+from ..sources.files import only_files, read_files, report_json, write_back, write_report_json
+from ..sources.files import read_lines as read_lines_of
 from ..streaming.streams import dedup_stream, detect_stream, redact_stream
 from .detection import NOW, SQL_RULES, documents, hits_sql, redaction_ctes
 from .plant import Part, quote, spark_text, spark_token, sql_text, sql_token
 from .preparation import _PATH, _TAGGED, _path
+from .preparation import files as _files
 
 #: Payloads by doc_id; {k} is the id.
 PAYLOADS = (
@@ -41,7 +44,7 @@ def _jwt(key: str = "doc_id"):
     k = F.col(key)
     payload = F.replace(F.element_at(F.array(*map(F.lit, PAYLOADS)), (k % len(PAYLOADS) + 1).cast("int")), F.lit("{k}"), k.cast("string"))
     coded = F.translate(F.regexp_replace(F.base64(F.encode(payload, "UTF-8")), "[=\r\n]", ""), "+/", "-_")
-    return F.concat(F.lit("ey" "J"), spark_token((Part(1, 10),), k), F.lit("."), coded, F.lit("."), spark_token((Part(2, 20),), k))
+    return F.concat(F.lit("eyJ"), spark_token((Part(1, 10),), k), F.lit("."), coded, F.lit("."), spark_token((Part(2, 20),), k))
 
 
 def jwt_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +54,7 @@ def jwt_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PAYLOAD = f"replace(([{', '.join(map(quote, PAYLOADS))}])[doc_id % {len(PAYLOADS)} + 1], '{{k}}', doc_id::VARCHAR)"
-_JWT_SQL = f"""WITH d AS (SELECT doc_id, doc_id % {len(PAYLOADS)} AS c, doc_id::VARCHAR AS k, {sql_token(("ey" "J", Part(1, 10), "."), "doc_id")} || rtrim(translate(to_base64(encode({_PAYLOAD})), '+/', '-_'), '=') || {sql_token((".", Part(2, 20)), "doc_id")} AS v FROM documents),
+_JWT_SQL = f"""WITH d AS (SELECT doc_id, doc_id % {len(PAYLOADS)} AS c, doc_id::VARCHAR AS k, {sql_token(("eyJ", Part(1, 10), "."), "doc_id")} || rtrim(translate(to_base64(encode({_PAYLOAD})), '+/', '-_'), '=') || {sql_token((".", Part(2, 20)), "doc_id")} AS v FROM documents),
 m AS (SELECT *, CASE c
  WHEN 0 THEN [['iss', 'kubernetes/serviceaccount'], ['sub', 's' || k], ['exp', '1600000000'], ['expired', 'true'], ['k8s_namespace', 'n' || k], ['k8s_serviceaccount', 'a'], ['jwt_subtype', 'jwt-kubernetes-service-account']]
  WHEN 1 THEN [['iss', 'https://token.actions.githubusercontent.com'], ['aud', '["x","y"]'], ['exp', '1800000000'], ['expired', 'false'], ['iat', '1'], ['github_repository', 'r' || k], ['jwt_subtype', 'jwt-github-actions-oidc']]
@@ -75,7 +78,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same token in several documents of a host.
-_SHARED = ("gh" "p_", Part(1, 36))
+_SHARED = ("ghp_", Part(1, 36))
 
 
 def dedup_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,12 +120,12 @@ def strict_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def affected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = documents(spark, sf_dir)
-    found = o.select(F.col("source").alias("host_id"), F.concat(F.lit("file:/d/"), (F.col("doc_id") % 50).cast("string"), F.when(F.col("doc_id") % 3 > 0, F.lit(":12")).otherwise("")).alias("path"))
+    found = o.select("doc_id", F.col("source").alias("host_id"), F.concat(F.lit("file:/d/"), (F.col("doc_id") % 50).cast("string"), F.when(F.col("doc_id") % 3 > 0, F.lit(":12")).otherwise("")).alias("path"))
     known = o.where(F.col("doc_id") % 50 < 25).select(F.col("source").alias("host_id"), F.concat(F.lit("/d/"), (F.col("doc_id") % 50).cast("string")).alias("path"))
-    return fd.affected_files(found, known)
+    return fd.affected_files(found, known, ("doc_id",))
 
 
-_AFFECTED = "SELECT DISTINCT source AS host_id, '/d/' || doc_id % 50 || CASE WHEN doc_id % 3 > 0 AND doc_id % 50 >= 25 THEN ':12' ELSE '' END AS path FROM documents"
+_AFFECTED = "SELECT host_id, path, row_number() OVER (PARTITION BY host_id ORDER BY first) AS n FROM (SELECT source AS host_id, '/d/' || doc_id % 50 || CASE WHEN doc_id % 3 > 0 AND doc_id % 50 >= 25 THEN ':12' ELSE '' END AS path, min(doc_id) AS first FROM documents GROUP BY ALL)"
 
 
 def findings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +168,7 @@ def _through_stream(spark: SparkSession, sf_dir: str, table: str, step, name: st
     return spark.read.schema(stream.schema).parquet(out)
 
 
-_CHAT = (("gh" "s_", Part(1, 36)), ("Bearer ", Part(2, 30)))
+_CHAT = (("ghs_", Part(1, 36)), ("Bearer ", Part(2, 30)))
 
 
 def stream_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,8 +249,104 @@ def finding_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fd.finding_places(fd.to_findings(detect_all(_texts(spark, sf_dir), now=NOW), hosts(spark, sf_dir)))
 
 
+def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A container tool's registry file for each document, with a token as the password of a registry named after it, and its text beside."""
+    k = F.col("doc_id").cast("string")
+    auth = F.base64(F.encode(F.concat(F.col("source"), F.lit(":"), spark_token(_SHARED, F.col("doc_id"))), "UTF-8"))
+    doc = F.to_json(F.struct(F.create_map(F.concat(F.lit("r"), k, F.lit(".io")), F.struct(auth.alias("auth"), F.col("text").alias("note"))).alias("auths")))
+    name = F.element_at(F.array(*map(F.lit, ("docker_config", "podman_config", "helm_oci_registry"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    return documents(spark, sf_dir).select(F.col("source").alias("host_id"), F.concat(F.lit("/r/"), k).alias("path"), F.lit("docker").alias("probe"), name.alias("pattern_name"), doc.alias("content"))
+
+
+def rescan_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens inside decoded registry passwords, and where they stand."""
+    texts = wf.nested_texts(_registry(spark, sf_dir))
+    rows = fd.to_findings(detect(texts, "github-pat", now=NOW), hosts(spark, sf_dir))
+    return rows.select("host_id", "path", "finding_id", "fingerprint", "message", *(F.col("metadata")[c].alias(c) for c in ("detector_name", "token_type", "runtime", "registry_host", "location")))
+
+
+_RESCANNED = f"""SELECT source AS host_id, '/r/' || doc_id AS path, 'github-token-classic-pat' AS finding_id, {_hmac("v")} AS fingerprint, 'GitHub token in /r/' || doc_id || '.' AS message, 'github-pat' AS detector_name, 'classic-pat' AS token_type,
+['docker', 'podman', 'helm'][doc_id % 3 + 1] AS runtime, 'r' || doc_id || '.io' AS registry_host, 'auths["r' || doc_id || '.io"].auth' AS location FROM (SELECT doc_id, source, source AS host_id, {sql_token(_SHARED, "doc_id")} AS v FROM documents)"""
+
+
+def scan_config_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Git settings of every document's text, with a token in one of them."""
+    k = F.col("doc_id").cast("string")
+    content = F.concat(F.coalesce("text", F.lit("")), F.lit("\nalias.k"), k, F.lit(" = x "), spark_token(_SHARED, F.col("doc_id")), F.lit(" y\n"))
+    files = documents(spark, sf_dir).select(F.col("source").alias("host_id"), F.concat(F.lit("/g/"), k).alias("path"), F.lit("git").alias("probe"), content.alias("content"))
+    return detect(wf.scan_config_values(files), "github-pat").select("host_id", "path", "file", "finding_id", sc.plain_fingerprint(F.col("value")).alias("fingerprint"))
+
+
+_CONFIG_VALUES = f"SELECT source AS host_id, 'git-config:alias.k' || doc_id || ' ' AS path, '/g/' || doc_id AS file, 'github-token-classic-pat' AS finding_id, sha256({sql_token(_SHARED, 'doc_id')}) AS fingerprint FROM documents"
+
+
+def scan_ai_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credential files of assistants up to a size, the token in the line after the document's text."""
+    content = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), spark_token(_SHARED, F.col("doc_id")), F.lit(" "))
+    files = documents(spark, sf_dir).select(F.col("source").alias("host_id"), F.concat(F.lit("/c/"), F.col("doc_id").cast("string")).alias("path"), F.lit("ai_credentials").alias("probe"), content.alias("content"), F.octet_length(content).alias("size"))
+    return detect(wf.scan_ai_credentials(files, 4096), "github-pat").select("path", "line_number", "finding_id")
+
+
+_AI_CREDENTIALS = "SELECT '/c/' || doc_id AS path, len(string_split(coalesce(text, ''), chr(10)))::INT + 1 AS line_number, 'github-token-classic-pat' AS finding_id FROM documents WHERE strlen(coalesce(text, '')) + 1 + 41 <= 4096"
+
+
+def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document written to text files by source, and the lines of these files as they are read whole."""
+    out = shared_path(spark, "texts")
+    documents(spark, sf_dir).where("text IS NOT NULL").select("source", "text").write.partitionBy("source").text(out)
+    lines = to_lines(read_files(spark, out, "*.txt"))
+    return lines.groupBy(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source"), F.sha2("line", 256).alias("line_hash")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines, read by parts of files: how many and how long those of each source are."""
+    out = shared_path(spark, "long-texts")
+    documents(spark, sf_dir).where("text IS NOT NULL").select("source", "text").write.partitionBy("source").text(out)
+    lines = read_lines_of(spark, out, "*.txt")
+    return lines.groupBy(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("line")).alias("n_bytes"))
+
+
+_SPLIT_LINES = """WITH l AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+n AS (SELECT source, count(*) FILTER (trim(line, chr(32) || chr(9) || chr(13)) <> '') AS n, sum(strlen(rtrim(line, chr(13)))) FILTER (trim(line, chr(32) || chr(9) || chr(13)) <> '') AS n_bytes FROM l GROUP BY ALL) SELECT source, n, n_bytes::BIGINT AS n_bytes FROM n"""
+
+_READ_LINES = "SELECT source, sha256(rtrim(line, chr(13))) AS line_hash, count(*) AS n FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) WHERE trim(line, chr(32) || chr(9) || chr(13)) <> '' GROUP BY ALL"
+
+
+def written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report as it is read back from its files."""
+    out = shared_path(spark, "report")
+    write_report_json(fd.to_findings(detect(_texts(spark, sf_dir), "github-pat"), hosts(spark, sf_dir)), out)
+    said = F.get_json_object("value", "$.json")
+    return spark.read.text(out).select(F.get_json_object("value", "$.host_id").alias("host_id"), *(F.get_json_object(said, f"$.{c}").alias(c.rpartition(".")[2]) for c in ("id", "severity", "path", "metadata.detector_name")))
+
+
+_WRITTEN = "SELECT source AS host_id, 'github-token-classic-pat' AS id, 'critical' AS severity, 'file:/d/' || doc_id AS path, 'github-pat' AS detector_name FROM documents"
+
+
+def pattern_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pattern of the catalogue, and how many of the documents' files have its name."""
+    counts = fs.index_counts(fs.tag_files(_files(spark, sf_dir))).where("pattern_name IS NOT NULL").withColumnsRenamed({"pattern_name": "name", "n": "n_files"})
+    return fs.pattern_catalog(spark).join(counts, "name", "left").select("name", "kind", "pattern", "ord", F.coalesce("n_files", F.lit(0)).alias("n_files"))
+
+
+def _catalogue_sql() -> str:
+    from ..operators.catalogue import PATTERNS
+
+    rows = ", ".join(f"({quote(name)}, {quote(kind)}, {quote(glob)}, {i})" for i, (name, globs, kind) in enumerate(PATTERNS) for glob in globs)
+    return f"WITH {_TAGGED}, c AS (SELECT pattern_name, count(*) AS n FROM tags GROUP BY ALL) SELECT name, kind, pattern, ord, coalesce(n, 0) AS n_files FROM (VALUES {rows}) AS v(name, kind, pattern, ord) LEFT JOIN c ON c.pattern_name = v.name"
+
+
+def scrub_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that may be scrubbed."""
+    return rd.scrub_targets(fs.tag_files(_files(spark, sf_dir)), fs.routes_table(spark)).select("doc_id", "pattern_name")
+
+
+_TARGETS = f"WITH {_TAGGED} SELECT doc_id, pattern_name FROM tags WHERE pattern_name IN ('shell_history', 'claude_chats', 'codex_chats')"
+
+
 QUERIES = {
     "scrub_snapshot": scrub_snapshot, "scan_snapshot": scan_snapshot, "incremental_scan": incremental_scan, "write_back": write_back_scrubbed, "finding_places": finding_places,
+    "rescan_decoded": rescan_decoded, "scan_config_values": scan_config_values, "scan_ai_credentials": scan_ai_credentials, "read_lines": read_lines, "split_lines": split_lines, "written_report": written_report, "pattern_catalog": pattern_catalog, "scrub_targets": scrub_targets,
     "report_documents": flagship, "detect_jwt": jwt_claims, "dedup_findings": dedup_findings, "report_table": report_table, "strict_gate": strict_gate, "affected_files": affected_files, "report_json": findings_json, "vectorised_detector": vectorised,
     "stream_detect": stream_detect, "stream_redact": stream_redact, "stream_dedup": stream_dedup, "scan_chats": scan_chats,
 }
@@ -280,6 +379,7 @@ SELECT host_id, {_hmac("v")} AS fingerprint, 'critical' AS severity, sum(n)::INT
 
 ORACLES = {
     "scrub_snapshot": _SCRUB, "scan_snapshot": _scan_sql(), "incremental_scan": _scan_sql(False), "write_back": _BACK, "finding_places": _FINDING_PLACES,
+    "rescan_decoded": _RESCANNED, "scan_config_values": _CONFIG_VALUES, "scan_ai_credentials": _AI_CREDENTIALS, "read_lines": _READ_LINES, "split_lines": _SPLIT_LINES, "written_report": _WRITTEN, "pattern_catalog": _catalogue_sql(), "scrub_targets": _TARGETS,
     "detect_jwt": _JWT_SQL,
     "dedup_findings": _DEDUP,
     "report_table": _REPORT,

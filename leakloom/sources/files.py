@@ -5,11 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rows import exploded, materialised
 from ..functions.scalars import type_name
+from ..operators.text import MAX_LINE, not_blank
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -20,6 +21,29 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return reader.load(path).select("path", F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
 
 
+def read_lines(spark: SparkSession, path: str, glob: str | None = None, max_line: int = MAX_LINE, keep_blank: bool = False) -> DataFrame:
+    """path, line_number and line of text files of any size, read by parts: the rows of to_lines(read_files(...)).
+
+    Spark deals a file's parts to tasks and cuts each at line ends. The rows of a part are numbered as they are read,
+    which a part that is read again repeats; the counts of the parts before it raise them. The first line of max_line
+    bytes or more of a file stops it. What is joined is a row for each part, and one for each file that is stopped.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    source = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("part"))
+    rows = reader.text(path).select(source.alias("s"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r\\z", "").alias("line")).select("s.*", "at", "line")
+    size = F.octet_length("line")
+    parts = materialised(rows.groupBy("path", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.min(F.when(size >= max_line, F.col("at"))).alias("long")), "parts")
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("part")) - F.col("n") - F.col("first") + 1
+    placed = parts.select("path", "part", before.alias("raise"), "long")
+    stops = placed.groupBy("path").agg(F.min(F.col("long") + F.col("raise")).alias("stop"))
+    known = materialised(placed.join(stops, "path").select("path", "part", "raise", "stop"), "placed-parts")
+    numbered = rows.join(known, ["path", "part"]).withColumn("line_number", F.col("at") + F.col("raise")).where(F.col("stop").isNull() | (F.col("line_number") < F.col("stop")))
+    lines = numbered.select("path", F.col("line_number").cast("long").alias("line_number"), "line")
+    return lines if keep_blank else lines.where(not_blank(F.col("line")))
+
+
 def only_files(snapshot: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows of a stored snapshot (Parquet or ORC files) whose host_id and path are wanted.
 

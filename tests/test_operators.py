@@ -44,7 +44,7 @@ def test_globs():
 
 
 def test_boundaries(spark):
-    token = "np" + "m_" + "a1" * 18
+    token = "npm_" + "a1" * 18
     texts = [token, f"é{token}", f"{token}é", f"x{token}", f"{token}\r\n", f"`{token}`", f"{token}\x0b", f"{token} {token}", token[:-1], token + "b", token.upper(), "", None]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
     found = {r.i for r in detect(df, "npm-token").collect()}
@@ -67,7 +67,7 @@ def test_redaction_order_and_nulls(spark):
 
 
 def test_database_url_counts_again(spark):
-    df = spark.createDataFrame([("mysql" + "://u:pw@h/x",)], "text string")
+    df = spark.createDataFrame([("mysql://u:pw@h/x",)], "text string")
     once = redact_all(df).select(F.col("scrubbed").alias("text"))
     again = redact_all(once).first()
     assert again.scrubbed == again.text and again.counts == {"REDACTED-db-credential": 1}
@@ -104,7 +104,7 @@ def test_first_tag_of_each_probe(spark):
 
 
 def test_scan_reads_a_file_once_for_each_probe(spark):
-    token = "gh" + "p_" + "a1" * 18
+    token = "ghp_" + "a1" * 18
     mcp = '{"mcpServers":{"s":{"command":"run","args":["x"],"env":{"K":"' + token.replace("a", "b") + '"}}}}'
     rows = [(".claude/skills/a/AGENTS.md", f"x\n{token} "), (".ssh/id_a.pub", token.replace("a", "c")), ("p/.mcp.json", mcp)]
     files = spark.createDataFrame([("h", p, c, len(c)) for p, c in rows], "host_id string, path string, content string, size long").withColumn("mtime", F.current_timestamp()).withColumn("mode", F.lit(0o600)).withColumn("os", F.lit("linux"))

@@ -17,10 +17,11 @@ from leakloom.functions.yamldoc import Unfit, fields
 from leakloom.operators import files as fs
 from leakloom.operators import findings as fd
 from leakloom.operators.ranks import ranked
+from leakloom.operators.text import to_lines
 from leakloom.plans import workflows as wf
 from leakloom.sources import files as sources
 
-PAT = "gh" + "p_" + "a1" * 18
+PAT = "ghp_" + "a1" * 18
 SHAPE = {"users": [{"name": str, "user": {"token-data": str}}]}
 
 
@@ -243,3 +244,27 @@ def test_no_exchange_carries_a_value(spark):
     sent = exchanges(sealed)
     assert any("__sealed" in x for x in sent) and not any(re.search(r"\bvalue#", x) for x in sent)
     assert not any(re.search(r"\bvalue#", x) for x in exchanges(plain))
+
+
+@pytest.mark.parametrize("max_line", [1 << 20, 300])
+def test_lines_of_huge_files_by_parts(spark, tmp_path, max_line):
+    """Parts of some hundred bytes: the same rows as whole files give."""
+    rng = random.Random(4)
+    for i in range(5):
+        lines = ["é" * rng.randint(0, 40) + rng.choice(["", "\r", " ", "x\ry"]) for _ in range(rng.randint(0, 400))]
+        if i == 2:
+            lines[200:200] = ["w" * 300, "after"]
+        (tmp_path / f"f{i}.txt").write_bytes("\n".join(lines).encode() + (b"\n" if i % 2 else b""))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        for blank in (True, False):
+            got = sources.read_lines(spark, str(tmp_path), max_line=max_line, keep_blank=blank)
+            want = to_lines(sources.read_files(spark, str(tmp_path)), max_line=max_line, keep_blank=blank)
+            key = lambda df: sorted((r.path.rpartition("/")[2], r.line_number, r.line) for r in df.collect())
+            assert key(got) == key(want) and len(key(got)) > 300
+            assert got.select(F.spark_partition_id()).distinct().count() > 20
+    finally:
+        for k, v in zip(("maxPartitionBytes", "openCostInBytes"), before, strict=True):
+            spark.conf.set(f"spark.sql.files.{k}", v)
