@@ -230,69 +230,99 @@ CASE WHEN substr(t, 101, 12) = '' OR regexp_matches(substr(t, 101, 12), '[&<>"''
 doc_id % 2 = 0 AS null_device, CASE WHEN doc_id % 2 = 0 THEN 'Secret' ELSE 'odd' END AS type_name FROM d LEFT JOIN e USING (doc_id)"""
 
 
-def _customers(spark, sf_dir, content):
-    return table(spark, sf_dir, "customer").select(F.concat(F.lit("/n/"), F.col("c_custkey").cast("string")).alias("path"), content.alias("content"))
+def _cases(spark, sf_dir, docs: tuple) -> DataFrame:
+    """path, content: documents of several shapes by doc_id, each with its text's base64 in it."""
+    k, n = F.col("doc_id").cast("string"), F.col("doc_id") % len(docs)
+    coded = F.regexp_replace(F.base64(F.encode(F.coalesce("text", F.lit("")), "UTF-8")), "[\r\n]", "")
+    content = F.lit(None).cast("string")
+    for i, doc in enumerate(docs):
+        content = F.when(n == i, doc(k, coded)).otherwise(content)
+    return documents(spark, sf_dir).select(F.concat(F.lit("/n/"), k).alias("path"), content.alias("content"))
 
 
+def _said(*parts) -> Column:
+    return F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
 
 
-def docker(spark, sf_dir):
-    k = F.col("c_custkey").cast("string")
-    auth = F.base64(F.encode(F.concat("c_name", F.lit(":pw"), k), "UTF-8"))
-    doc = F.when(F.col("c_custkey") % 5 == 4, '{"auths":{"h":{"auth":7}}}').otherwise(F.concat(F.lit('{"auths":{"https://r'), k, F.lit('/":{"auth":"'), F.when(F.col("c_custkey") % 5 == 1, F.lit("!!")).otherwise(auth), F.lit('"},"q":{"identitytoken":"'), F.when(F.col("c_custkey") % 2 == 0, k).otherwise(""), F.lit('"}}}')))
-    auths = nested.docker_auths(_customers(spark, sf_dir, doc))
-    cols = ["path", "registry_host", "finding_id", "location", "fingerprint"]
-    return nested.docker_inline_auth(auths).select(*cols, "username", F.col("has_password").cast("string").alias("has_password")).unionByName(nested.docker_identity_token(auths).select(*cols), allowMissingColumns=True)
+_DOCKER_DOCS = (
+    lambda k, b: _said('{"auths":{"https://r', k, '/":{"auth":"', _auth(k), '"},"q":{"identitytoken":"', k, '"}},"note":"', b, '"}'),
+    lambda k, b: _said('{"auths":{"h":{"auth":7,"x":"', b, '"}}}'),
+    lambda k, b: _said('{"auths":{"h":{"auth":"!!', b, '"},"t":{"identitytoken":"', k, '","username":null}}}'),
+    lambda k, b: _said('{"auths":\r\n{"r', k, '":{"auth":" \\t', F.regexp_replace(_auth(k), "=+$", ""), '\\n"}}}\r\n'),
+    lambda k, b: _said('{"auths":{"n":{"auth":"', F.base64(F.encode(_said("none", k), "UTF-8")), '"}}}'),
+    lambda k, b: _said('{"auths":{"a":null,"b":{"auth":null},"c":{"auth":""},"d":{"identitytoken":"', b, 't"}}}'),
+    lambda k, b: _said('{"auths":{"r":{"auth":"', b, '"}}'),
+)
 
 
-_DOCKER = """WITH c AS (SELECT '/n/' || c_custkey AS path, c_custkey AS k, c_name FROM customer WHERE c_custkey % 5 <> 4)
-SELECT path, 'https://r' || k || '/' AS registry_host, 'docker-registry-inline-auth' AS finding_id, 'auths["https://r' || k || '/"].auth' AS location, sha256('["docker-registry-inline-auth","' || path || '","https://r' || k || '/"]') AS fingerprint, c_name AS username, 'true' AS has_password FROM c WHERE k % 5 <> 1
-UNION ALL SELECT path, 'q', 'docker-registry-inline-identity-token', 'auths["q"].identitytoken', sha256('["docker-registry-inline-identity-token","' || path || '","q"]'), NULL, NULL FROM c WHERE k % 2 = 0"""
+def _auth(k: Column) -> Column:
+    """A user named by the id, whose password is the whole text."""
+    return F.regexp_replace(F.base64(F.encode(F.concat(F.lit("u"), k, F.lit(":"), F.coalesce("text", F.lit(""))), "UTF-8")), "[\r\n]", "")
 
 
-def terraform(spark, sf_dir):
-    k = F.col("c_custkey").cast("string")
-    token = F.concat(F.lit("atlas.v1."), k)
-    doc = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit('{"credentials":{"a.io":{"token":"'), token, F.lit('"},"b.io":{"token":""}}}'))).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("credentials 'c.io' {\n x = 1\n token = \""), token, F.lit('"\n}'))).otherwise('{"credentials":{"a":{"token":5}}}')
-    return nested.terraform_creds(_customers(spark, sf_dir, doc)).select("path", "host", "file_format", "token_prefix", "token_fragment", "location", "fingerprint")
+def docker(spark, sf_dir):
+    auths = nested.docker_auths(_cases(spark, sf_dir, _DOCKER_DOCS))
+    cols = ["path", "registry_host", "finding_id", "location", "fingerprint"]
+    inline = nested.docker_inline_auth(auths).select(*cols, "username", F.col("has_password").cast("string").alias("has_password"), F.sha2("password", 256).alias("password_hash"))
+    return inline.unionByName(nested.docker_identity_token(auths).select(*cols), allowMissingColumns=True)
+
+
+_DOCKER = """WITH c AS (SELECT '/n/' || doc_id AS path, doc_id::VARCHAR AS k, doc_id % 7 AS c, coalesce(text, '') AS t FROM documents),
+r AS (SELECT path, CASE c WHEN 0 THEN 'https://r' || k || '/' ELSE 'r' || k END AS registry_host, 'docker-registry-inline-auth' AS finding_id, 'auth' AS field, 'u' || k AS username, (t <> '')::VARCHAR AS has_password, sha256(t) AS password_hash FROM c WHERE c IN (0, 3)
+UNION ALL SELECT path, CASE c WHEN 0 THEN 'q' WHEN 2 THEN 't' ELSE 'd' END, 'docker-registry-inline-identity-token', 'identitytoken', NULL, NULL, NULL FROM c WHERE c IN (0, 2, 5))
+SELECT path, registry_host, finding_id, 'auths["' || registry_host || '"].' || field AS location, sha256('["' || finding_id || '","' || path || '","' || registry_host || '"]') AS fingerprint, username, has_password, password_hash FROM r"""
+
+_TERRAFORM_DOCS = (
+    lambda k, b: _said('{"credentials":{"a.io":{"token":"atlas.v1.', b, '"},"b.io":{"token":""},"c.io":null}}'),
+    lambda k, b: _said("credentials 'c.io' {\r\n x = 1\r\n token\t= \"atlas.v1.", b, '"\r\n}\ncredentials "d.io"{token="', k, '"}'),
+    lambda k, b: _said('{"credentials":{"a":{"token":5,"x":"', b, '"}}}'),
+    lambda k, b: _said('{"credentials":{}} credentials "e.io" { token = \'', b, "x' }"),
+    lambda k, b: _said('{"credentials":{"f.io":{"token":"', k, '"}}'),
+    lambda k, b: _said('credentials "g.io" { user = "', b, '" } token = "no"'),
+)
 
 
-_TERRAFORM = """SELECT '/n/' || c_custkey AS path, h AS host, f AS file_format, 'atlas.v1' AS token_prefix, 'atlas.v1…(' || strlen('atlas.v1.' || c_custkey) || ')' AS token_fragment, 'credentials["' || h || '"].token' AS location, sha256('["terraform-cloud-credential","/n/' || c_custkey || '","' || h || '"]') AS fingerprint
-FROM (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN 'a.io' ELSE 'c.io' END AS h, CASE WHEN c_custkey % 3 = 0 THEN 'json' ELSE 'hcl' END AS f FROM customer WHERE c_custkey % 3 < 2)"""
+def terraform(spark, sf_dir):
+    return nested.terraform_creds(_cases(spark, sf_dir, _TERRAFORM_DOCS)).select("path", "host", "file_format", "token_prefix", "token_fragment", "location", "fingerprint")
 
 
-def mcp(spark, sf_dir):
-    k = F.col("c_custkey").cast("string")
-    doc = F.concat(F.lit('{"mcpServers":{"s":{"command":"'), F.when(F.col("c_custkey") % 2 == 0, "npx").otherwise("run"), F.lit('","args":["-y","@a/b","","--k'), k, F.lit('"],"env":{"E":"v'), k, F.lit('","F":""},"envVars":{"G":"w"}}},"other":1}'))
-    return nested.mcp_values(_customers(spark, sf_dir, F.when(F.col("c_custkey") % 7 == 0, '{"mcpServers":{"s":{"args":"x"}}}').otherwise(doc))).select("path", "server", "command", "location", "env_var", "text")
+_TERRAFORM = """WITH c AS (SELECT '/n/' || doc_id AS path, doc_id::VARCHAR AS k, doc_id % 6 AS c, base64(encode(coalesce(text, ''))) AS b FROM documents),
+r AS (SELECT path, CASE c WHEN 0 THEN 'a.io' WHEN 1 THEN 'c.io' ELSE 'e.io' END AS host, CASE c WHEN 0 THEN 'json' ELSE 'hcl' END AS file_format, CASE c WHEN 3 THEN b || 'x' ELSE 'atlas.v1.' || b END AS token FROM c WHERE c IN (0, 1, 3) UNION ALL SELECT path, 'd.io', 'hcl', k FROM c WHERE c = 1)
+SELECT path, host, file_format, substr(token, 1, 8) AS token_prefix, substr(token, 1, 8) || '…(' || strlen(token) || ')' AS token_fragment, 'credentials["' || host || '"].token' AS location, sha256('["terraform-cloud-credential","' || path || '","' || host || '"]') AS fingerprint FROM r"""
 
+_MCP_DOCS = (
+    lambda k, b: _said('{"mcpServers":{"s":{"command":"npx","args":["-y","@a/b","","--k', b, '"],"env":{"E":"v', b, '","F":""},"envVars":{"G":"w"}}},"other":1}'),
+    lambda k, b: _said('{"mcpServers":{"s":{"command":"run","args":["-y","@a/b","","--k', b, '"],"env":{"E":"v', b, '","F":""},"envVars":{"G":"w"}}},"other":[1]}'),
+    lambda k, b: _said('{"mcpServers":{"s":{"args":"', b, '"}}}'),
+    lambda k, b: _said('{"mcpServers":{"s":{"command":"run","env":{"E":5,"F":"', b, '"}}}}'),
+    lambda k, b: _said('{"mcpServers":\r\n{"n":null,"m":{"args":null,"env":{"E":"v', b, '"}}}}'),
+    lambda k, b: _said('{"mcpServers":{"s":{"command":"run","args":["', b, '"]}}'),
+)
 
-_MCP = """WITH c AS (SELECT '/n/' || c_custkey AS path, c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'npx' ELSE 'run' END AS command FROM customer WHERE c_custkey % 7 <> 0)
-SELECT path, 's' AS server, command, 'mcpServers["s"].env["E"]' AS location, 'E' AS env_var, 'v' || k AS text FROM c UNION ALL SELECT path, 's', command, 'mcpServers["s"].envVars["G"]', 'G', 'w' FROM c UNION ALL SELECT path, 's', command, 'mcpServers["s"].args[0]', '', '-y' FROM c
-UNION ALL SELECT path, 's', command, 'mcpServers["s"].args[1]', '', '@a/b' FROM c WHERE k % 2 = 1 UNION ALL SELECT path, 's', command, 'mcpServers["s"].args[3]', '', '--k' || k FROM c"""
 
+def mcp(spark, sf_dir):
+    return nested.mcp_values(_cases(spark, sf_dir, _MCP_DOCS)).select("path", "server", "command", "location", "env_var", F.sha2("text", 256).alias("text_hash"))
 
-def ide(spark, sf_dir):
-    k = F.col("c_custkey").cast("string")
-    doc = F.concat(F.lit('<project version="4">\n<component name="RunManager">\n<configuration name="c'), k, F.lit('">\n<parameters value="--t '), k, F.lit('"/>\n<envs>\n<env name="A" value="x&amp;y"/>\n<env name="B" value="z'), k, F.lit('"/>\n</envs>\n</configuration>\n</component>\n<component name="Other"><configuration name="n"><parameters value="no"/></configuration></component>\n</project>'))
-    return nested.ide_values(_customers(spark, sf_dir, doc)).select("path", "config_name", "env_var", "line_number", "text")
 
+_MCP = """WITH d AS (SELECT '/n/' || doc_id AS path, doc_id % 6 AS c, base64(encode(coalesce(text, ''))) AS b FROM documents), c AS (SELECT *, CASE c WHEN 0 THEN 'npx' ELSE 'run' END AS command FROM d WHERE c < 2),
+r AS (SELECT path, 's' AS server, command, 'env["E"]' AS place, 'E' AS env_var, 'v' || b AS text FROM c UNION ALL SELECT path, 's', command, 'envVars["G"]', 'G', 'w' FROM c UNION ALL SELECT path, 's', command, 'args[0]', '', '-y' FROM c
+UNION ALL SELECT path, 's', command, 'args[1]', '', '@a/b' FROM c WHERE c = 1 UNION ALL SELECT path, 's', command, 'args[3]', '', '--k' || b FROM c UNION ALL SELECT path, 'm', NULL, 'env["E"]', 'E', 'v' || b FROM d WHERE c = 4)
+SELECT path, server, command, 'mcpServers["' || server || '"].' || place AS location, env_var, sha256(text) AS text_hash FROM r"""
 
-_IDE = """WITH c AS (SELECT '/n/' || c_custkey AS path, c_custkey AS k FROM customer) SELECT path, 'c' || k AS config_name, '' AS env_var, 4 AS line_number, '--t ' || k AS text FROM c UNION ALL SELECT path, 'c' || k, 'A', 0, 'x&y' FROM c UNION ALL SELECT path, 'c' || k, 'B', 7, 'z' || k FROM c"""
+_IDE_DOCS = (
+    lambda k, b: _said('<project version="4">\n<component name="RunManager">\n<configuration name="c', k, '">\n<parameters value="--t ', b, '"/>\n<envs>\n<env name="A" value="x&amp;y"/>\n<env name="B" value="z', k, '"/>\n</envs>\n</configuration>\n</component>\n<component name="Other"><configuration name="n"><parameters value="no"/></configuration></component>\n</project>'),
+    lambda k, b: _said('<project><component name="RunManager"><configuration name="d"><parameters value="', k, '"/></configuration>\n<configuration name="e"><envs><env name="C" value="', b, '="/><env name="D" value=" "/></envs></configuration></component></project>'),
+    lambda k, b: _said('<project><component name="RunManager"><configuration name="f"><parameters value="', b, '"/>'),
+)
 
 
-def _cases(spark, sf_dir, docs: tuple) -> DataFrame:
-    """path, content: documents of several shapes by doc_id, each with its text's base64 in it."""
-    k, n = F.col("doc_id").cast("string"), F.col("doc_id") % len(docs)
-    coded = F.regexp_replace(F.base64(F.encode(F.coalesce("text", F.lit("")), "UTF-8")), "[\r\n]", "")
-    content = F.lit(None).cast("string")
-    for i, doc in enumerate(docs):
-        content = F.when(n == i, doc(k, coded)).otherwise(content)
-    return documents(spark, sf_dir).select(F.concat(F.lit("/n/"), k).alias("path"), content.alias("content"))
+def ide(spark, sf_dir):
+    return nested.ide_values(_cases(spark, sf_dir, _IDE_DOCS)).select("path", "config_name", "env_var", "line_number", F.sha2("text", 256).alias("text_hash"))
 
 
-def _said(*parts) -> Column:
-    return F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+_IDE = """WITH c AS (SELECT '/n/' || doc_id AS path, doc_id % 3 AS c, doc_id::VARCHAR AS k, base64(encode(coalesce(text, ''))) AS b FROM documents),
+r AS (SELECT path, 'c' || k AS config_name, '' AS env_var, 4 AS line_number, '--t ' || b AS text FROM c WHERE c = 0 UNION ALL SELECT path, 'c' || k, 'A', 0, 'x&y' FROM c WHERE c = 0 UNION ALL SELECT path, 'c' || k, 'B', 7, 'z' || k FROM c WHERE c = 0
+UNION ALL SELECT path, 'd', '', 1, k FROM c WHERE c = 1 UNION ALL SELECT path, 'e', 'C', 2, b || '=' FROM c WHERE c = 1) SELECT path, config_name, env_var, line_number, sha256(text) AS text_hash FROM r"""
 
 
 _DEEP = "[" * 3000

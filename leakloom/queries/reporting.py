@@ -114,6 +114,18 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fd.report_table(wf.findings_of_texts(wf.scan_keyed_lines(files), hosts(spark, sf_dir), NOW))
 
 
+_RANKS = {name: rank for rank, name in enumerate("github-pat npm-token ssh-private-key ai-service http-auth cloud-credentials vault-token pypi-token wireguard-key splunk-token database-connection slack-token stripe-key twilio-key generic-api-key".split())}
+_LINE_HITS = " UNION ALL ".join(f"SELECT key, finding_id, severity, v, {_RANKS[n]} AS rank FROM ({hits_sql(n, 'u', 'key')})" for n in SQL_RULES)
+_TITLED = "CASE WHEN finding_id LIKE 'github%' THEN 'GitHub token' WHEN finding_id LIKE 'cloud-credential-aws%' THEN 'AWS access key id' WHEN finding_id LIKE 'generic%' THEN 'High-entropy secret' WHEN finding_id LIKE 'http-auth%' THEN 'HTTP credential' WHEN finding_id LIKE 'ai-%' THEN 'AI service credential' WHEN finding_id LIKE 'database%' THEN 'Database URL with a password' END"
+_FLAGSHIP = f"""WITH d AS (SELECT source AS host_id, 'file:/d/' || doc_id AS path, coalesce(text, '') || chr(10) || 'api_key = ' || chr(39) || {sql_token((Part(1, 32),), "doc_id")} || chr(39) AS content FROM documents),
+l AS (SELECT host_id, path, string_split(content, chr(10)) AS l FROM d), n AS (SELECT host_id, path, unnest(range(1, len(l) + 1)) AS line_number, unnest(l) AS line FROM l),
+u AS (SELECT host_id, path, line_number, rtrim(line, chr(13)) AS text, path || '|' || line_number AS key FROM n), h AS ({_LINE_HITS}),
+f AS (SELECT host_id, path, line_number, rank, finding_id, severity, {_hmac("v")} AS fingerprint FROM h JOIN u USING (key)),
+o AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY host_id, fingerprint) AS c, list(path || ':' || line_number) OVER (PARTITION BY host_id, fingerprint ORDER BY path, line_number, rank, finding_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS places FROM f WINDOW w AS (PARTITION BY host_id, fingerprint ORDER BY path, line_number, rank, finding_id)),
+m AS (SELECT row_number() OVER (ORDER BY path, line_number, rank, finding_id, fingerprint) AS n, severity, 'docs' AS probe, {_TITLED} AS title, path || ':' || line_number AS place, CASE WHEN c > 1 THEN array_to_string(places, ', ') ELSE path || ':' || line_number END AS location FROM o WHERE i = 1)
+SELECT n, severity, probe, title, title || ' in ' || place || '.' AS message, location FROM m"""
+
+
 def strict_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fd.strict_gate(detect(_texts(spark, sf_dir), "github-pat"))
 
@@ -383,6 +395,7 @@ ORACLES = {
     "detect_jwt": _JWT_SQL,
     "dedup_findings": _DEDUP,
     "report_table": _REPORT,
+    "report_documents": _FLAGSHIP,
     "strict_gate": "SELECT source AS host_id, count(*) AS n_findings, true AS any_finding FROM documents GROUP BY ALL",
     "affected_files": _AFFECTED,
     "report_json": "SELECT source AS host_id, 'github-token-classic-pat' AS id, 'Secret' AS type_name, 'file:/d/' || doc_id AS path, 'true' AS no_locations FROM documents",

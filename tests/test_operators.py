@@ -132,3 +132,26 @@ def test_small_caps(spark):
 
 def test_mask_takes_bytes(spark):
     assert one(spark, sc.mask_token(F.lit("abcdefgéxyz"))) == "abcdefg\ufffd…(12)"
+
+
+def test_stream_deduplication_over_batches(spark, tmp_path):
+    """Within the lateness a repeat goes; once a batch later has dropped its state the fingerprint is new; a row older than the watermark of the batch before goes."""
+    import os
+
+    from leakloom.streaming.streams import dedup_stream
+
+    known: set[str] = set()
+    schema = "host_id string, fingerprint string, ts timestamp"
+    batches = [[("a", "00:00"), ("b", "00:00")], [("a", "00:05"), ("c", "01:00")], [("e", "01:01")], [("a", "02:00"), ("d", "00:10")], [("a", "02:05"), ("e", "02:05")]]
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame([("h", f, t) for f, t in rows], "host_id string, fingerprint string, t string").select("host_id", "fingerprint", F.concat(F.lit("2024-01-01 "), "t").cast("timestamp").alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for f in {x.name for x in (tmp_path / "in").glob("part-*")} - known:  # batches are dealt by the files' times
+            os.utime(tmp_path / "in" / f, (1_700_000_000 + i, 1_700_000_000 + i))
+            known.add(f)
+    stream = dedup_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).format("parquet").start(str(tmp_path / "out"))
+    query.awaitTermination()
+    assert query.lastProgress["batchId"] >= 4
+    got = sorted((r.fingerprint, r.ts.strftime("%H:%M")) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", "00:00"), ("a", "02:00"), ("b", "00:00"), ("c", "01:00"), ("e", "01:01")]
