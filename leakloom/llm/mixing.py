@@ -12,11 +12,10 @@ shards share is parted among them, and the rows of the mix are written by shard
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +34,7 @@ PARTITION_WORDS = 4_000_000
 #: Facts of up to so many sources (about 100 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 
-PIECE = "array<struct<copy int, block long, first long, n long>>"
+PIECES = "array<struct<copy int, block long, first long, n long, shard int>>"
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
@@ -174,8 +173,8 @@ def _plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
     draw = {s: drawn_blocks(sizes[s], rest[s], block_words, seed + 2) for s in order}
     tree = SplitTree(tuple(whole[s] * blocks(sizes[s]) + draw[s][0] for s in order), shards, seed)
     facts = spark.createDataFrame(
-        [(s, i, sizes[s], want[s], whole[s], max(1, blocks(sizes[s])), *draw[s]) for i, s in enumerate(order)],
-        "source string, source_at int, source_size long, target double, whole int, blocks long, quota long, last_words long",
+        [(s, i, sizes[s], want[s]) for i, s in enumerate(order)],
+        "source string, source_at int, source_size long, target double",
     )
 
     few = F.broadcast if len(order) <= BROADCAST_SOURCES else (lambda df: df)
@@ -187,57 +186,40 @@ def _plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
     keyed = local.join(begins.withColumnsRenamed({"source": "s", "range": "r"}), F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).drop("s", "r")
     keyed = keyed.join(few(facts.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("start", F.col("range_start") + F.col("local"))
 
-    first_block, last_block = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
-
-    @F.pandas_udf("array<long>")
-    def ranks_of(first: pd.Series, last: pd.Series, of: pd.Series) -> pd.Series:
-        """The ranks of a row's blocks, first to last, among those that a partial pass draws from."""
-        n = (last - first + 1).to_numpy(np.int64)
-        ends = np.cumsum(n)
-        block = np.repeat(first.to_numpy(np.int64) - (ends - n), n) + np.arange(int(n.sum()))
-        rank = permuted(block, np.repeat(of.to_numpy(np.int64), n), seed + 2)
-        return pd.Series([rank[e - k : e] for e, k in zip(ends, n, strict=True)], index=first.index, dtype=object)
-
-    # A row of no words has no block: first 0 to last -1.
-    some = F.col("size") > 0
-    keyed = keyed.withColumn("ranks", ranks_of(F.when(some, first_block).otherwise(0).cast("long"), F.when(some, last_block).otherwise(-1).cast("long"), F.greatest("blocks", F.lit(1)).cast("long")))
-    rank = lambda b: F.get("ranks", (b - first_block).cast("int"))
-
-    def cuts(copy, most):
-        """The pieces of one copy: of each block that the document reaches, what it has of the block's first most(block) words."""
-        piece = lambda b: F.struct(
-            copy.cast("int").alias("copy"), b.cast("long").alias("block"), (F.greatest(b * block_words, F.col("start")) - F.col("start")).cast("long").alias("first"),
-            (F.least(b * block_words + most(b), F.col("start") + F.col("size")) - F.greatest(b * block_words, F.col("start"))).cast("long").alias("n"),
-        )
-        reached = F.sequence(first_block, last_block)
-        return F.filter(F.transform(reached, piece), lambda p: p["n"] > 0)
-
-    partial = lambda b: F.when(rank(b) < F.col("quota") - 1, block_words).when(rank(b) == F.col("quota") - 1, F.col("last_words")).otherwise(0)
-    none = F.array().cast(PIECE)
-    full = F.when((F.col("whole") > 0) & (F.col("size") > 0), F.flatten(F.transform(F.sequence(F.lit(0), F.col("whole") - 1), lambda c: cuts(c, lambda _: F.lit(block_words))))).otherwise(none)
-    over = F.when((F.col("quota") > 0) & (F.col("size") > 0), cuts(F.col("whole"), partial)).otherwise(none)
-    drawn = keyed.withColumn("pieces", F.concat(full, over))
-    per_copy, quotas = [blocks(sizes[s]) for s in order], tree.quotas
-    whole_of = [int(whole[s]) for s in order]
-
-    @F.pandas_udf("array<int>")
-    def shard_of(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for source_at, pieces in parts:
-            n = pieces.map(len).to_numpy(np.int64)
-            source = np.repeat(source_at.to_numpy(np.int64), n)
-            flat = [p for row in pieces for p in row]
-            copy = np.fromiter((p["copy"] for p in flat), np.int64, len(flat))
-            block = np.fromiter((p["block"] for p in flat), np.int64, len(flat))
-            quota, n_blocks = np.asarray(quotas, np.int64)[source], np.asarray(per_copy, np.int64)[source]
-            # Blocks of the partial pass count by their rank, which is below its quota.
-            block = np.where(copy == np.asarray(whole_of, np.int64)[source], permuted(block, np.maximum(n_blocks, 1), seed + 2), block)
-            shard = tree.shard_of(source, permuted(copy * n_blocks + block, quota, seed) if len(flat) else block)
-            ends = np.cumsum(n)
-            yield pd.Series([shard[e - k : e].tolist() for e, k in zip(ends, n, strict=True)], index=pieces.index, dtype=object)
-
+    per_copy, quotas, whole_of = ([int(x) for x in of] for of in ([max(1, blocks(sizes[s])) for s in order], tree.quotas, [whole[s] for s in order]))
+    drawn_of, last_of = [draw[s][0] for s in order], [draw[s][1] for s in order]
+
+    @F.arrow_udf(PIECES)
+    def pieces_of(source_at: pa.Array, start: pa.Array, size: pa.Array) -> pa.Array:
+        """All pieces of a batch of rows, each copy of a row in turn, and their shards: of each block that a row reaches, what it has of the block's words that are taken."""
+        at, first, n_words = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (source_at, start, size))
+        n_blocks, quota, n_whole, drawn_, last = (np.asarray(x, np.int64)[at] for x in (per_copy, quotas, whole_of, drawn_of, last_of))
+        low = first // block_words
+        reached = np.where(n_words > 0, (first + n_words - 1) // block_words - low + 1, 0)
+        each = reached * (n_whole + 1)
+        ends = np.cumsum(each)
+        row = np.repeat(np.arange(len(at)), each)
+        place = np.arange(len(row)) - np.repeat(ends - each, each)
+        copy, block = place // np.maximum(reached[row], 1), low[row] + place % np.maximum(reached[row], 1)
+        # Blocks of the partial pass count by their rank among all of the source.
+        partial = copy == n_whole[row]
+        rank = np.full(len(row), -1, np.int64)
+        rank[partial] = permuted(block[partial], n_blocks[row][partial], seed + 2)
+        taken = np.where(~partial | (rank < drawn_[row] - 1), block_words, np.where(rank == drawn_[row] - 1, last[row], 0))
+        begin = np.maximum(block * block_words, first[row])
+        n = np.minimum(block * block_words + taken, (first + n_words)[row]) - begin
+        kept = np.flatnonzero(n > 0)
+        row, copy, block, n = row[kept], copy[kept], block[kept], n[kept]
+        number = copy * n_blocks[row] + np.where(partial[kept], rank[kept], block)
+        shard = tree.shard_of(at[row], permuted(number, quota[row], seed))
+        offsets = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(at))))).astype(np.int32)
+        fields = [pa.array(x.astype(t)) for x, t in ((copy, np.int32), (block, np.int64), (begin[kept] - first[row], np.int64), (n, np.int64), (shard, np.int32))]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, ["copy", "block", "first", "n", "shard"]))
+
+    cut = keyed.withColumn("cut", pieces_of("source_at", F.col("start").cast("long"), "size"))
+    drawn = cut.withColumn("pieces", F.transform("cut", lambda p: F.struct(*(p[c] for c in ("copy", "block", "first", "n"))))).withColumn("shards", F.transform("cut", lambda p: p["shard"]))
     plan = (
-        drawn.withColumn("shards", shard_of("source_at", "pieces"))
-        .withColumn("taken", F.aggregate("pieces", F.lit(0).cast("long"), lambda total, p: total + p["n"]))
+        drawn.withColumn("taken", F.aggregate("pieces", F.lit(0).cast("long"), lambda total, p: total + p["n"]))
         .withColumn("position", F.xxhash64("start", "source", F.lit(seed + 1)))
         .select("doc_id", "source", "size", "source_size", "target", "taken", "pieces", "shards", "position", *(["row"] if carry else []))
     )
