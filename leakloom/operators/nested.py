@@ -6,35 +6,22 @@ are read all the same.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from ..functions import jsondoc, yamldoc
 from ..functions import scalars as sc
 from ..functions.regexport import UNICODE_SPACE
 from ..functions.rows import exploded
-from ..functions.yamldoc import Unfit, fields
+from ..functions.yamldoc import Unfit
 from .text import trimmed
 
 
-def _typed(text: Column, schema: str, texts: tuple[str, ...] = (), lists: tuple[str, ...] = (), maps: tuple[str, ...] = ()) -> Column:
-    """The document, or null if a field that is read has another type. texts, lists and maps name fields that hold texts only, wherever they stand."""
-    doc = F.from_json(text, f"{schema}, __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
-    other = "(?!STRING|VOID)"
-    rules = [rf"(?:^|[<, `]){n}`?: {other}" for n in texts] + [rf"(?:^|[<, `]){n}`?: (?:ARRAY<{other}|(?!ARRAY|VOID))" for n in lists] + [rf"(?:^|[<, `]){n}`?: OBJECT<(?:[^>]*, )?`?[^>]*: {other}" for n in maps]
-
-    def sound(kind: Column) -> Column:
-        bad = F.lit(False)
-        for rule in rules:
-            bad = bad | kind.rlike(rule)
-        return ~F.coalesce(bad, F.lit(True))
-
-    fits = sc.bound(F.schema_of_variant(F.try_parse_json(text)), sound)
-    return sc.bound(doc, lambda d: F.when(d["__bad"].isNull() & fits, d))
-
-
 def _quoted(c: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
 
@@ -48,11 +35,33 @@ def _exploded(df: DataFrame, rows: Column, text: str) -> DataFrame:
     return exploded(df, rows, "__r").select(*kept, "__r.*")
 
 
+def _entries(files: DataFrame, text: str, rows_of, names: str, ints: str = "") -> DataFrame:
+    """The columns of files but the text, and those of names (texts) and ints, of each row that rows_of gives for a document. One that doesn't fit gives none."""
+    keys = [c for c in files.columns if c != text]
+    texts, numbers = names.split(), ints.split()
+    schema = StructType([*(files.schema[c] for c in keys), *(StructField(n, StringType()) for n in texts), *(StructField(n, IntegerType()) for n in numbers)])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, document in enumerate(batch.column(len(keys)).to_pylist()):
+                try:
+                    found = rows_of(document or "")
+                except Unfit:
+                    continue
+                at += [i] * len(found)
+                rows += found
+            own = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(len(keys))]
+            new = [pa.array([r[i] for r in rows], pa.string() if i < len(texts) else pa.int32()) for i in range(len(texts) + len(numbers))]
+            yield pa.RecordBatch.from_arrays([*own, *new], [*keys, *texts, *numbers])
+
+    return files.select(*(F.col(f"`{c}`") for c in keys), F.col(f"`{text}`")).mapInArrow(read, schema)
+
+
 def docker_auths(files: DataFrame, text: str = "content") -> DataFrame:
     """registry_host, auth, identitytoken of each entry."""
-    doc = _typed(F.col(text), "auths map<string, struct<auth string, username string, identitytoken string>>", ("auth", "username", "identitytoken"))
-    rows = F.transform(F.map_entries(doc["auths"]), lambda e: F.struct(e["key"].alias("registry_host"), F.coalesce(e["value"]["auth"], F.lit("")).alias("auth"), F.coalesce(e["value"]["identitytoken"], F.lit("")).alias("identitytoken")))
-    return _exploded(files, rows, text)
+    shape = {"auths": {jsondoc.ANY: {"auth": str, "username": str, "identitytoken": str}}}
+    return _entries(files, text, lambda doc: [(host, e.get("auth", ""), e.get("identitytoken", "")) for host, e in jsondoc.fields(doc, shape).get("auths", {}).items()], "registry_host auth identitytoken")
 
 
 def docker_inline_auth(auths: DataFrame) -> DataFrame:
@@ -73,43 +82,49 @@ def _finding(df: DataFrame, finding_id: str, name: str) -> DataFrame:
     return df.withColumn("finding_id", F.lit(finding_id)).withColumn("severity", F.lit("critical")).withColumn("fingerprint", sc.fields_fingerprint(F.lit(finding_id), F.col("path"), F.col(name)))
 
 
-HCL = r"""credentials[\t\n\f\r ]+["']([^"']+)["'][\t\n\f\r ]*\{[^}]*?token[\t\n\f\r ]*=[\t\n\f\r ]*["']([^"']+)["']"""
+#: Fixed value: a credentials block.
+HCL = re.compile(r"""credentials[\t\n\f\r ]+["']([^"']+)["'][\t\n\f\r ]*\{[^}]*?token[\t\n\f\r ]*=[\t\n\f\r ]*["']([^"']+)["']""")
+
+
+def _terraform_tokens(doc: str) -> list[tuple[str, str, str]]:
+    """host, token, format of each entry of the JSON form if that has any, else of the blocks."""
+    try:
+        entries = jsondoc.fields(doc, {"credentials": {jsondoc.ANY: {"token": str}}}).get("credentials", {})
+    except Unfit:
+        entries = {}
+    if entries:
+        return [(host, e["token"], "json") for host, e in entries.items() if e.get("token")]
+    return [(host, token, "hcl") for host, token in HCL.findall(doc)]
 
 
 def terraform_creds(files: DataFrame, text: str = "content") -> DataFrame:
     """Findings of stored tokens (host, file_format, token_prefix, token_fragment): the JSON form, else HCL blocks."""
-    doc = _typed(F.col(text), "credentials map<string, struct<token string>>", ("token",))
-    entry = "array<struct<host string, token string, file_format string>>"
-    as_json = F.transform(F.map_entries(doc["credentials"]), lambda e: F.struct(e["key"], e["value"]["token"], F.lit("json"))).cast(entry)
-    hosts, tokens = (F.regexp_extract_all(F.col(text), F.lit(HCL), F.lit(i)) for i in (1, 2))
-    as_hcl = F.transform(F.arrays_zip(hosts.alias("h"), tokens.alias("t")), lambda z: F.struct(z["h"], z["t"], F.lit("hcl"))).cast(entry)
-    rows = sc.bound(as_json, lambda j: F.when(F.size(F.coalesce(j, F.array().cast(entry))) > 0, j).otherwise(as_hcl))
-    out = _exploded(files, rows, text).where("token <> ''").withColumn("token_prefix", F.left("token", F.lit(8))).withColumn("token_fragment", sc.mask_token(F.col("token")))
+    out = _entries(files, text, _terraform_tokens, "host token file_format").withColumn("token_prefix", F.left("token", F.lit(8))).withColumn("token_fragment", sc.mask_token(F.col("token")))
     return _finding(out.drop("token"), "terraform-cloud-credential", "host").withColumn("location", F.concat(F.lit("credentials["), _quoted(F.col("host")), F.lit("].token")))
 
 
-def mcp_values(files: DataFrame, text: str = "content") -> DataFrame:
-    """server, command, location, env_var and text of every value of env and envVars and every argument, but a package's own name."""
-    server = "struct<command string, args array<string>, env map<string,string>, envVars map<string,string>>"
-    doc = _typed(F.col(text), f"mcpServers map<string, {server}>", ("command",), ("args",), ("env", "envVars"))
-    raw = F.try_parse_json(F.col(text))
-    entry = "array<struct<server string, command string, location string, env_var string, text string>>"
+#: Fixed value: commands whose first argument that is no option may be a package's own name.
+RUNNERS = ("npx", "bunx", "uvx")
+_MCP = {"mcpServers": {jsondoc.ANY: {"command": str, "args": [str], "env": {jsondoc.ANY: str}, "envVars": {jsondoc.ANY: str}}}}
 
-    def of_server(e: Column) -> Column:
-        name, s = e["key"], e["value"]
 
-        def env(kind: str) -> Column:
-            pairs = F.map_entries(F.coalesce(s[kind], F.create_map().cast("map<string,string>")))
-            return F.transform(pairs, lambda p: F.struct(name, s["command"], F.concat(F.lit("mcpServers["), _quoted(name), F.lit(f"].{kind}["), _quoted(p["key"]), F.lit("]")), p["key"], p["value"])).cast(entry)
+def _mcp_rows(doc: str) -> list[tuple]:
+    """server, command, kind, env_var, text, place of each value."""
+    out = []
+    for name, s in jsondoc.fields(doc, _MCP).get("mcpServers", {}).items():
+        command, args = s.get("command", ""), s.get("args", [])
+        out += [(name, command, kind, key, value, 0) for kind in ("env", "envVars") for key, value in s.get(kind, {}).items() if value]
+        first = next((i for i, a in enumerate(args) if not a.startswith("-")), -1)
+        own = first if first >= 0 and command in RUNNERS and re.match(r"(?s)@[^/]+/.", args[first]) else -1
+        out += [(name, command, "args", "", a, i) for i, a in enumerate(args) if a and i != own]
+    return out
 
-        args = F.coalesce(s["args"], F.array().cast("array<string>"))
-        first = F.array_position(F.transform(args, lambda a: ~a.startswith("-")), True)
-        package = F.when(s["command"].isin("npx", "bunx", "uvx") & F.coalesce(F.get(args, (first - 1).cast("int")), F.lit("")).rlike(r"(?s)^@[^/]+/.+\z"), first - 1).otherwise(-1)
-        listed = F.transform(args, lambda a, i: F.struct(name, s["command"], F.concat(F.lit("mcpServers["), _quoted(name), F.lit("].args["), i.cast("string"), F.lit("]")), F.when(i == package, F.lit("skip")).otherwise(F.lit("")), a))
-        return F.concat(env("env"), env("envVars"), F.filter(listed.cast(entry), lambda x: x["env_var"] != "skip"))
 
-    rows = F.flatten(F.transform(F.map_entries(doc["mcpServers"]), of_server))
-    return _exploded(files.where(raw.isNotNull()), rows, text).where("text <> ''")
+def mcp_values(files: DataFrame, text: str = "content") -> DataFrame:
+    """server, command, location, env_var and text of every value of env and envVars and every argument, but a package's own name."""
+    rows = _entries(files, text, _mcp_rows, "server command kind env_var text", "place")
+    key = F.when(F.col("kind") == "args", F.col("place").cast("string")).otherwise(_quoted(F.col("env_var")))
+    return rows.withColumn("location", F.concat(F.lit("mcpServers["), _quoted(F.col("server")), F.lit("]."), "kind", F.lit("["), key, F.lit("]"))).drop("kind", "place")
 
 
 def ide_values(files: DataFrame, text: str = "content") -> DataFrame:
@@ -129,45 +144,28 @@ def ide_values(files: DataFrame, text: str = "content") -> DataFrame:
     return _exploded(files, placed, text).where(trimmed(F.col("text")) != "")
 
 
-def _yaml_rows(files: DataFrame, text: str, shape, rows_of, schema: str, columns: list[str]) -> DataFrame:
-    """Rows of small YAML documents, read by events in the Arrow batches of their partition. A document that doesn't fit the shape gives none, whatever it holds."""
-    keys = [c for c in files.columns if c != text]
-    kept = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in keys)
-
-    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for row in part.itertuples(index=False):
-                values = dict(zip(part.columns, row, strict=True))
-                try:
-                    found = rows_of(fields(values[text] or "", shape))
-                except Unfit:
-                    continue
-                out += [[*(values[k] for k in keys), *r] for r in found]
-            yield pd.DataFrame(out, columns=[*keys, *columns])
-
-    return files.mapInPandas(parse, f"{kept}, {schema}" if kept else schema)
-
-
 _ENCODED = ("client-key-data", "token-data")
 
 
-def _kube_users(doc: dict) -> list[list]:
-    return [[i, u.get("name", ""), field, u.get("user", {}).get(field)] for i, u in enumerate(doc.get("users", [])) for field in _ENCODED if u.get("user", {}).get(field)]
+def _kube_users(doc: str) -> list[tuple]:
+    users = yamldoc.fields(doc, {"users": [{"name": str, "user": dict.fromkeys(_ENCODED, str)}]}).get("users", [])
+    return [(u.get("name", ""), field, u["user"][field], i) for i, u in enumerate(users) for field in _ENCODED if u.get("user", {}).get(field)]
 
 
 def kube_values(files: DataFrame, text: str = "content") -> DataFrame:
     """user_name, field, location and decoded text of base64 keys and tokens of a kubeconfig."""
-    shape = {"users": [{"name": str, "user": dict.fromkeys(_ENCODED, str)}]}
-    rows = _yaml_rows(files, text, shape, _kube_users, "user_index int, user_name string, field string, encoded string", ["user_index", "user_name", "field", "encoded"])
+    rows = _entries(files, text, _kube_users, "user_name field encoded", "user_index")
     out = rows.withColumn("text", _base64(F.regexp_replace("encoded", f"[{UNICODE_SPACE}]", ""))).where("text IS NOT NULL AND text <> ''")
     return out.withColumn("location", F.concat(F.lit("users["), F.col("user_index").cast("string"), F.lit("].user."), "field")).drop("encoded", "user_index")
 
 
+def _helm_repositories(doc: str) -> list[tuple]:
+    names = ("name", "url", "username")
+    found = yamldoc.fields(doc, {"repositories": [dict.fromkeys((*names, "password"), str)]}).get("repositories", [])
+    return [tuple(r.get(n, "") for n in names) for r in found if r.get("password")]
+
+
 def helm_repo_creds(files: DataFrame, text: str = "content") -> DataFrame:
     """Findings of chart repositories with a password: repo_name, repo_url, username."""
-    names = ("name", "url", "username")
-    shape = {"repositories": [dict.fromkeys((*names, "password"), str)]}
-    rows_of = lambda doc: [[r.get(n, "") for n in names] for r in doc.get("repositories", []) if r.get("password")]
-    rows = _yaml_rows(files, text, shape, rows_of, "repo_name string, repo_url string, username string", ["repo_name", "repo_url", "username"])
+    rows = _entries(files, text, _helm_repositories, "repo_name repo_url username")
     return _finding(rows, "helm-repository-credential", "repo_name").withColumn("username_present", F.col("username") != "").withColumn("location", F.concat(F.lit("repositories["), _quoted(F.col("repo_name")), F.lit("]")))

@@ -245,7 +245,7 @@ def _said(*parts) -> Column:
 
 
 _DOCKER_DOCS = (
-    lambda k, b: _said('{"auths":{"https://r', k, '/":{"auth":"', _auth(k), '"},"q":{"identitytoken":"', k, '"}},"note":"', b, '"}'),
+    lambda k, b: _said('{"auths":{"https://r', k, '/":{"auth":"', _auth(k), '"},"q":{"identitytoken":"', k, '"}},"note":"', b, '","credHelpers":{"auth":5,"identitytoken":[1]}}'),
     lambda k, b: _said('{"auths":{"h":{"auth":7,"x":"', b, '"}}}'),
     lambda k, b: _said('{"auths":{"h":{"auth":"!!', b, '"},"t":{"identitytoken":"', k, '","username":null}}}'),
     lambda k, b: _said('{"auths":\r\n{"r', k, '":{"auth":" \\t', F.regexp_replace(_auth(k), "=+$", ""), '\\n"}}}\r\n'),
@@ -273,7 +273,7 @@ UNION ALL SELECT path, CASE c WHEN 0 THEN 'q' WHEN 2 THEN 't' ELSE 'd' END, 'doc
 SELECT path, registry_host, finding_id, 'auths["' || registry_host || '"].' || field AS location, sha256('["' || finding_id || '","' || path || '","' || registry_host || '"]') AS fingerprint, username, has_password, password_hash FROM r"""
 
 _TERRAFORM_DOCS = (
-    lambda k, b: _said('{"credentials":{"a.io":{"token":"atlas.v1.', b, '"},"b.io":{"token":""},"c.io":null}}'),
+    lambda k, b: _said('{"credentials":{"a.io":{"token":"atlas.v1.', b, '"},"b.io":{"token":""},"c.io":null},"other":{"token":5}}'),
     lambda k, b: _said("credentials 'c.io' {\r\n x = 1\r\n token\t= \"atlas.v1.", b, '"\r\n}\ncredentials "d.io"{token="', k, '"}'),
     lambda k, b: _said('{"credentials":{"a":{"token":5,"x":"', b, '"}}}'),
     lambda k, b: _said('{"credentials":{}} credentials "e.io" { token = \'', b, "x' }"),
@@ -292,7 +292,7 @@ SELECT path, host, file_format, substr(token, 1, 8) AS token_prefix, substr(toke
 
 _MCP_DOCS = (
     lambda k, b: _said('{"mcpServers":{"s":{"command":"npx","args":["-y","@a/b","","--k', b, '"],"env":{"E":"v', b, '","F":""},"envVars":{"G":"w"}}},"other":1}'),
-    lambda k, b: _said('{"mcpServers":{"s":{"command":"run","args":["-y","@a/b","","--k', b, '"],"env":{"E":"v', b, '","F":""},"envVars":{"G":"w"}}},"other":[1]}'),
+    lambda k, b: _said('{"mcpServers":{"s":{"command":"run","args":["-y","@a/b","","--k', b, '"],"env":{"E":"v', b, '","F":""},"envVars":{"G":"w"}}},"other":{"args":5,"env":[1],"command":{"mcpServers":7}}}'),
     lambda k, b: _said('{"mcpServers":{"s":{"args":"', b, '"}}}'),
     lambda k, b: _said('{"mcpServers":{"s":{"command":"run","env":{"E":5,"F":"', b, '"}}}}'),
     lambda k, b: _said('{"mcpServers":\r\n{"n":null,"m":{"args":null,"env":{"E":"v', b, '"}}}}'),
@@ -306,7 +306,7 @@ def mcp(spark, sf_dir):
 
 _MCP = """WITH d AS (SELECT '/n/' || doc_id AS path, doc_id % 6 AS c, base64(encode(coalesce(text, ''))) AS b FROM documents), c AS (SELECT *, CASE c WHEN 0 THEN 'npx' ELSE 'run' END AS command FROM d WHERE c < 2),
 r AS (SELECT path, 's' AS server, command, 'env["E"]' AS place, 'E' AS env_var, 'v' || b AS text FROM c UNION ALL SELECT path, 's', command, 'envVars["G"]', 'G', 'w' FROM c UNION ALL SELECT path, 's', command, 'args[0]', '', '-y' FROM c
-UNION ALL SELECT path, 's', command, 'args[1]', '', '@a/b' FROM c WHERE c = 1 UNION ALL SELECT path, 's', command, 'args[3]', '', '--k' || b FROM c UNION ALL SELECT path, 'm', NULL, 'env["E"]', 'E', 'v' || b FROM d WHERE c = 4)
+UNION ALL SELECT path, 's', command, 'args[1]', '', '@a/b' FROM c WHERE c = 1 UNION ALL SELECT path, 's', command, 'args[3]', '', '--k' || b FROM c UNION ALL SELECT path, 'm', '', 'env["E"]', 'E', 'v' || b FROM d WHERE c = 4)
 SELECT path, server, command, 'mcpServers["' || server || '"].' || place AS location, env_var, sha256(text) AS text_hash FROM r"""
 
 _IDE_DOCS = (
