@@ -21,12 +21,14 @@ def _makes(replacement: str, literal: str) -> bool:
     return inside or across
 
 
-def _may_match(text: Column, specs: tuple[Redaction, ...]) -> Column:
-    """The numbers of the rules that have to run on a text: those a literal of whose gate it holds, those without a gate, and those whose literal an earlier rule's replacement can make."""
-    numbers = []
-    for k, rule in enumerate(specs):
-        made = any(_makes(r.replacement, x) for r in specs[:k] for x in rule.gate)
-        numbers.append(F.lit(k) if made or not rule.gate else F.when(_any_of(text, rule.gate, False), F.lit(k)))
+def _made(specs: tuple[Redaction, ...]) -> set[int]:
+    """The numbers of the rules whose gate can't be told from the text alone: those a literal of which an earlier rule's replacement can make."""
+    return {k for k, rule in enumerate(specs) if any(_makes(r.replacement, x) for r in specs[:k] for x in rule.gate)}
+
+
+def _may_match(text: Column, specs: tuple[Redaction, ...], made: set[int]) -> Column:
+    """The numbers of the rules that have to run on a text: those a literal of whose gate it holds, those without a gate, and those of made."""
+    numbers = [F.lit(k) if k in made or not rule.gate else F.when(_any_of(text, rule.gate, False), F.lit(k)) for k, rule in enumerate(specs)]
     return F.filter(F.array(*numbers), lambda k: k.isNotNull())
 
 
@@ -35,13 +37,14 @@ def redact_all(df: DataFrame, text: str = "text", specs: tuple[Redaction, ...] =
 
     One look at a text's literals tells which rules may match; only these run, in order, each on what the one before left.
     """
-    columns = df.columns
+    columns, made = df.columns, _made(specs)
 
     def step(state: Column, i: Column) -> Column:
         """One rule. Patterns stay literals, and the plan names each rule twice however long the list is."""
         s, n, t, label = state["s"], F, F, F
         for k, rule in enumerate(specs):
-            n, t, label = n.when((i == k) & _any_of(s, rule.gate, False), F.regexp_count(s, F.lit(rule.pattern))), t.when(i == k, F.regexp_replace(s, rule.pattern, rule.replacement)), label.when(i == k, F.lit(rule.label))
+            runs = (i == k) & _any_of(s, rule.gate, False) if k in made else i == k
+            n, t, label = n.when(runs, F.regexp_count(s, F.lit(rule.pattern))), t.when(i == k, F.regexp_replace(s, rule.pattern, rule.replacement)), label.when(i == k, F.lit(rule.label))
         # Texts without a match, which are most, are searched but not replaced.
         return bound(n.otherwise(0), lambda found: F.struct(F.when(found > 0, t).otherwise(s).alias("s"), F.when(found > 0, F.array_append(state["n"], F.struct(label.alias("label"), found.alias("n")))).otherwise(state["n"]).alias("n")))
 
@@ -52,7 +55,7 @@ def redact_all(df: DataFrame, text: str = "text", specs: tuple[Redaction, ...] =
         total = lambda label: F.aggregate(state["n"], F.lit(0), lambda a, x: a + F.when(x["label"] == label, x["n"]).otherwise(0))
         return F.struct(state["s"].alias("scrubbed"), F.map_from_arrays(labels, F.transform(labels, total)).alias("counts"))
 
-    done = bound(F.aggregate(_may_match(F.col(text), specs), start, step), outcome)
+    done = bound(F.aggregate(_may_match(F.col(text), specs, made), start, step), outcome)
     # As the one element of an array, so that nothing that uses either part works the chain out once more.
     return exploded(df, F.array(done), "__done").select(*columns, "__done.scrubbed", "__done.counts")
 

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 from ..functions import scalars as sc
 from ..functions.rows import materialised, shared_path
@@ -146,7 +147,11 @@ def findings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("host_id", *(F.get_json_object("json", f"$.{c}").alias(c) for c in ("id", "type_name", "path")), F.get_json_object("json", "$.locations").isNull().cast("string").alias("no_locations"))
 
 
-@F.pandas_udf("array<struct<value string, metadata map<string,string>>>")
+#: As an object: a type in words needs a session, which need not be there when this is imported.
+FOUND = ArrayType(StructType([StructField("value", StringType()), StructField("metadata", MapType(StringType(), StringType()))]))
+
+
+@F.pandas_udf(FOUND)
 def card_numbers(texts: pd.Series) -> pd.Series:
     """Numbers of 13 to 19 digits whose check digit holds."""
 
