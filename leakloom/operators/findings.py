@@ -125,9 +125,12 @@ def report_table(findings: DataFrame, order: tuple[str, ...] = ORDER) -> DataFra
     return ranked(rows, order).select("n", "severity", "probe", "title", "message", "location")
 
 
-def strict_gate(findings: DataFrame) -> DataFrame:
-    """n_findings (before deduplication) and any_finding of each host."""
-    return findings.groupBy("host_id").agg(F.count(F.lit(1)).alias("n_findings")).withColumn("any_finding", F.col("n_findings") > 0)
+def strict_gate(findings: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
+    """n_findings (before deduplication) and any_finding of each host with findings, or of each of hosts (host_id)."""
+    counts = findings.groupBy("host_id").agg(F.count(F.lit(1)).alias("n_findings"))
+    if hosts is not None:
+        counts = hosts.select("host_id").join(counts, "host_id", "left").withColumn("n_findings", F.coalesce("n_findings", F.lit(0).cast("long")))
+    return counts.withColumn("any_finding", F.col("n_findings") > 0)
 
 
 def affected_files(findings: DataFrame, files: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:

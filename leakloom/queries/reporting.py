@@ -128,7 +128,9 @@ SELECT n, severity, probe, title, title || ' in ' || place || '.' AS message, lo
 
 
 def strict_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fd.strict_gate(detect(_texts(spark, sf_dir), "github-pat"))
+    """Hosts whose documents hold a token, which those of every other source do."""
+    texts = documents(spark, sf_dir).select("doc_id", F.col("source").alias("host_id"), F.concat(F.coalesce("text", F.lit("")), F.when(F.length("source") % 2 == 0, F.concat(F.lit(" "), spark_token(_SHARED, F.col("doc_id")), F.lit(" k"))).otherwise("")).alias("text"))
+    return fd.strict_gate(detect(texts, "github-pat"), hosts(spark, sf_dir))
 
 
 def affected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -401,7 +403,7 @@ ORACLES = {
     "dedup_findings": _DEDUP,
     "report_table": _REPORT,
     "report_documents": _FLAGSHIP,
-    "strict_gate": "SELECT source AS host_id, count(*) AS n_findings, true AS any_finding FROM documents GROUP BY ALL",
+    "strict_gate": "SELECT source AS host_id, count(*) FILTER (len(source) % 2 = 0) AS n_findings, bool_or(len(source) % 2 = 0) AS any_finding FROM documents GROUP BY ALL",
     "affected_files": _AFFECTED,
     "report_json": "SELECT source AS host_id, 'github-token-classic-pat' AS id, 'Secret' AS type_name, 'file:/d/' || doc_id AS path, 'true' AS no_locations FROM documents",
     "vectorised_detector": _CARDS,
