@@ -209,9 +209,9 @@ def scrub(files: DataFrame, minutes: int = 0, now: int = 0) -> DataFrame:
     return redact_all(targets.join(hit, ["host_id", "path"], "left_semi"), "content")
 
 
-def findings_of_texts(texts: DataFrame, hosts: DataFrame, now: int = 0) -> DataFrame:
-    """Deduplicated findings of any texts (host_id, path, probe, line_number, env_var, text)."""
-    return fd.dedup_findings(fd.to_findings(detect_all(texts, now=now), hosts))
+def findings_of_texts(texts: DataFrame, hosts: DataFrame, now: int = 0, most: int | None = fd.MOST_PLACES) -> DataFrame:
+    """Deduplicated findings of any texts (host_id, path, probe, line_number, env_var, text), each with its first `most` places, or all with None."""
+    return fd.dedup_findings(fd.to_findings(detect_all(texts, now=now), hosts), most=most)
 
 
 def scan_scrub_rescan(texts: DataFrame, key: str = "doc_id", now: int = 0) -> DataFrame:

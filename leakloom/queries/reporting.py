@@ -84,7 +84,7 @@ _SHARED = ("ghp_", Part(1, 36))
 
 def dedup_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _texts(spark, sf_dir)
-    found = fd.dedup_findings(fd.to_findings(detect_all(texts, now=NOW), hosts(spark, sf_dir)))
+    found = fd.dedup_findings(fd.to_findings(detect_all(texts, now=NOW), hosts(spark, sf_dir)), most=None)
     return found.select("host_id", "fingerprint", "finding_id", "path", "severity", F.col("n_places").cast("int").alias("n_locations"), F.coalesce(F.array_join("locations", ","), F.lit("")).alias("places"))
 
 
@@ -112,7 +112,7 @@ _REPORT = "WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL OR text = ''
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut into lines, a planted secret in each; all detectors, salted fingerprints, deduplication, numbered report."""
     files = documents(spark, sf_dir).select(F.col("source").alias("host_id"), F.concat(F.lit("file:/d/"), F.col("doc_id").cast("string")).alias("path"), F.lit("docs").alias("probe"), F.concat(F.coalesce("text", F.lit("")), F.lit("\napi_key = '"), spark_token((Part(1, 32),), F.col("doc_id")), F.lit("'")).alias("content"))
-    return fd.report_table(wf.findings_of_texts(wf.scan_keyed_lines(files), hosts(spark, sf_dir), NOW))
+    return fd.report_table(wf.findings_of_texts(wf.scan_keyed_lines(files), hosts(spark, sf_dir), NOW, most=None))
 
 
 _RANKS = {name: rank for rank, name in enumerate("github-pat npm-token ssh-private-key ai-service http-auth cloud-credentials vault-token pypi-token wireguard-key splunk-token database-connection slack-token stripe-key twilio-key generic-api-key".split())}

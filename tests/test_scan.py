@@ -216,6 +216,8 @@ def test_a_token_in_very_many_lines(spark):
     assert out["g", "hot"].locations is None and out["g", "hot"].n_places == 1
     places = [(r.n, r.place) for r in fd.finding_places(findings).collect() if r.host_id == "h" and r.fingerprint == "hot"]
     assert sorted(places) == [(i + 1, f"file:a:{i + 1}") for i in range(5000)]
+    every = {(r.host_id, r.fingerprint): r for r in fd.dedup_findings(findings, most=None).collect()}
+    assert every["h", "hot"].locations == [f"file:a:{i + 1}" for i in range(5000)] and every["g", "hot"].locations is None
     plan = fd.dedup_findings(findings)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
 
