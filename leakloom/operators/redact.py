@@ -11,6 +11,7 @@ from ..functions.rows import exploded
 from ..functions.scalars import bound
 from .detect import _any_of
 from .registry import REDACT_SPECS, Redaction
+from .text import pieces
 
 
 def _makes(replacement: str, literal: str) -> bool:
@@ -32,12 +33,49 @@ def _may_match(text: Column, specs: tuple[Redaction, ...], made: set[int]) -> Co
     return F.filter(F.array(*numbers), lambda k: k.isNotNull())
 
 
+def _local(specs: tuple[Redaction, ...]) -> int:
+    """From which rule on all of them may work on pieces: what they replace makes no new place where white space may join."""
+    ends = lambda r, literal: any(x.endswith(literal[:i]) for x in re.split(r"\$[0-9]", r.replacement) for i in range(1, len(literal) + 1))
+    at = len(specs)
+    while at and specs[at - 1].joins is not None and not any(ends(r, j) for r in specs[at - 1 :] for s in specs[at - 1 :] for j in s.joins):
+        at -= 1
+    return at
+
+
 def redact_all(df: DataFrame, text: str = "text", specs: tuple[Redaction, ...] = REDACT_SPECS) -> DataFrame:
     """Add scrubbed and counts (label to number of matches, labels without any left out). A null text stays null.
 
     One look at a text's literals tells which rules may match; only these run, in order, each on what the one before left.
+    The last rules whose matches end at white space run on pieces of the text, so that each searches no more than the
+    pieces that hold its literals.
     """
-    columns, made = df.columns, _made(specs)
+    columns, at = df.columns, _local(specs)
+    joins = tuple(dict.fromkeys(j for r in specs[at:] for j in r.joins))
+    start = F.struct(F.col(text).alias("s"), F.array().cast("array<struct<k: int, label: string, n: int>>").alias("n"))
+
+    def in_pieces(state: Column) -> Column:
+        empty = F.array().cast("array<struct<k: int, label: string, n: int>>")
+        each = F.transform(pieces(state["s"], joins), lambda p: _chain(F.struct(p.alias("s"), empty.alias("n")), specs[at:], at))
+        whole = lambda done: F.struct(F.array_join(F.transform(done, lambda d: d["s"]), "").alias("s"), F.concat(state["n"], F.flatten(F.transform(done, lambda d: d["n"]))).alias("n"))
+        return F.when(F.size(_may_match(state["s"], specs[at:], set())) > 0, bound(each, whole)).otherwise(state)
+
+    def outcome(state: Column) -> Column:
+        labels = F.array_distinct(F.transform(F.array_sort(state["n"]), lambda x: x["label"]))
+        total = lambda label: F.aggregate(state["n"], F.lit(0), lambda a, x: a + F.when(x["label"] == label, x["n"]).otherwise(0))
+        return F.struct(state["s"].alias("scrubbed"), F.map_from_arrays(labels, F.transform(labels, total)).alias("counts"))
+
+    done = _chain(start, specs[:at])
+    if at < len(specs):
+        done = bound(done, in_pieces)
+    # As the one element of an array, so that nothing that uses either part works the chain out once more.
+    return exploded(df, F.array(bound(done, outcome)), "__done").select(*columns, "__done.scrubbed", "__done.counts")
+
+
+def _chain(start: Column, specs: tuple[Redaction, ...], first_number: int = 0) -> Column:
+    """A state of text and counts by rule after the rules, which are numbered from first_number on, each on what the one before left."""
+    if not specs:
+        return start
+    made = _made(specs)
 
     def step(state: Column, i: Column) -> Column:
         """One rule. Patterns stay literals, and the plan names each rule twice however long the list is."""
@@ -46,18 +84,9 @@ def redact_all(df: DataFrame, text: str = "text", specs: tuple[Redaction, ...] =
             runs = (i == k) & _any_of(s, rule.gate, False) if k in made else i == k
             n, t, label = n.when(runs, F.regexp_count(s, F.lit(rule.pattern))), t.when(i == k, F.regexp_replace(s, rule.pattern, rule.replacement)), label.when(i == k, F.lit(rule.label))
         # Texts without a match, which are most, are searched but not replaced.
-        return bound(n.otherwise(0), lambda found: F.struct(F.when(found > 0, t).otherwise(s).alias("s"), F.when(found > 0, F.array_append(state["n"], F.struct(label.alias("label"), found.alias("n")))).otherwise(state["n"]).alias("n")))
-
-    start = F.struct(F.col(text).alias("s"), F.array().cast("array<struct<label: string, n: int>>").alias("n"))
-
-    def outcome(state: Column) -> Column:
-        labels = F.array_distinct(F.transform(state["n"], lambda x: x["label"]))
-        total = lambda label: F.aggregate(state["n"], F.lit(0), lambda a, x: a + F.when(x["label"] == label, x["n"]).otherwise(0))
-        return F.struct(state["s"].alias("scrubbed"), F.map_from_arrays(labels, F.transform(labels, total)).alias("counts"))
+        return bound(n.otherwise(0), lambda found: F.struct(F.when(found > 0, t).otherwise(s).alias("s"), F.when(found > 0, F.array_append(state["n"], F.struct((i + first_number).alias("k"), label.alias("label"), found.alias("n")))).otherwise(state["n"]).alias("n")))
 
-    done = bound(F.aggregate(_may_match(F.col(text), specs, made), start, step), outcome)
-    # As the one element of an array, so that nothing that uses either part works the chain out once more.
-    return exploded(df, F.array(done), "__done").select(*columns, "__done.scrubbed", "__done.counts")
+    return bound(start, lambda first: F.aggregate(_may_match(first["s"], specs, made), first, step))
 
 
 def _total(counts) -> F.Column:

@@ -20,6 +20,13 @@ def not_blank(c: Column) -> Column:
     return c.rlike(f"[^{UNICODE_SPACE}]")
 
 
+def pieces(text: Column, joins: tuple[str, ...] = (), any_case: bool = False, least: int = 200) -> Column:
+    """A text in pieces of `least` characters and some more, each but the last with white space at its end, but none that follows one of joins. They make up the whole text."""
+    s = "[\\t\\n\\f\\r ]"
+    on = f"(?:(?<={'|'.join(f'\\Q{j}\\E' for j in joins)}){s}++[^{s[1:]}*+)*+" if joins else ""
+    return F.regexp_extract_all(text, F.lit(f"(?s{'iu' if any_case else ''}).{{0,{least}}}+{s}*+[^{s[1:]}*+{on}{s}*+"), F.lit(0))
+
+
 def lines_of(text: Column) -> Column:
     """Lines without their ends; nothing follows a last newline."""
     parts = F.split(text, "\n", -1)

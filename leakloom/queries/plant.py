@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.scalars import bound
+
 BEFORE = (" ", '"', "é", "\n", "=", "`", "\t")
 AFTER = ("", " ", '"', ";", "é", "\n", ".", "\\n", "x")
 
@@ -18,8 +20,8 @@ class Part:
     def __init__(self, start: int, n: int, upper: bool = False):
         self.start, self.n, self.upper = start, n, upper
 
-    def spark(self, key: Column) -> Column:
-        h = F.substring(F.repeat(F.sha2(key.cast("string"), 256), 4), self.start, self.n)
+    def spark(self, digits: Column) -> Column:
+        h = F.substring(digits, self.start, self.n)
         return F.upper(h) if self.upper else h
 
     def sql(self, key: str) -> str:
@@ -30,8 +32,8 @@ class Part:
 class Letters(Part):
     """The same digits as letters a to p."""
 
-    def spark(self, key: Column) -> Column:
-        return F.translate(super().spark(key), "0123456789abcdef", "ghijklmnopabcdef")
+    def spark(self, digits: Column) -> Column:
+        return F.translate(super().spark(digits), "0123456789abcdef", "ghijklmnopabcdef")
 
     def sql(self, key: str) -> str:
         return f"translate({super().sql(key)}, '0123456789abcdef', 'ghijklmnopabcdef')"
@@ -40,8 +42,16 @@ class Letters(Part):
 Token = tuple  # of texts and parts
 
 
+def _digits(key: Column) -> Column:
+    return F.repeat(F.sha2(key.cast("string"), 256), 4)
+
+
+def _token(token: Token, digits: Column) -> Column:
+    return F.concat(*(p.spark(digits) if isinstance(p, Part) else F.lit(p) for p in token))
+
+
 def spark_token(token: Token, key: Column) -> Column:
-    return F.concat(*(p.spark(key) if isinstance(p, Part) else F.lit(p) for p in token))
+    return _token(token, _digits(key))
 
 
 def quote(text: str) -> str:
@@ -53,11 +63,14 @@ def sql_token(token: Token, key: str) -> str:
 
 
 def spark_text(tokens: tuple[Token, ...], key: str = "doc_id", text: str = "text") -> Column:
-    """A row's own text, then each token between neighbours that vary with the id."""
+    """A row's own text, then each token between neighbours that vary with the id. The id's hash is worked out once for all of them."""
     k = F.col(key)
     pick = lambda options, step: F.element_at(F.array(*map(F.lit, options)), ((k + step) % len(options) + 1).cast("int"))
-    parts = [x for i, t in enumerate(tokens) for x in (pick(BEFORE, i), spark_token(t, k), pick(AFTER, 3 * i))]
-    return F.concat(F.coalesce(F.col(text), F.lit("")), *parts)
+
+    def planted(digits: Column) -> Column:
+        return F.concat(*(x for i, t in enumerate(tokens) for x in (pick(BEFORE, i), _token(t, digits), pick(AFTER, 3 * i))))
+
+    return F.concat(F.coalesce(F.col(text), F.lit("")), bound(_digits(k), planted))
 
 
 def sql_text(tokens: tuple[Token, ...], key: str = "doc_id", text: str = "text") -> str:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import random
+import re
+from dataclasses import replace
 import hashlib
 import hmac
 
 from pyspark.sql import functions as F
 
+from leakloom.operators.redact import _local, redact_all
+from leakloom.operators.registry import REDACT_SPECS, Redaction
+from leakloom.operators.text import pieces
 from leakloom.functions import scalars as sc
 from leakloom.functions.regexport import glob_regex
 from leakloom.operators import files as fs
@@ -155,3 +161,25 @@ def test_stream_deduplication_over_batches(spark, tmp_path):
     assert query.lastProgress["batchId"] >= 4
     got = sorted((r.fingerprint, r.ts.strftime("%H:%M")) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [("a", "00:00"), ("a", "02:00"), ("b", "00:00"), ("c", "01:00"), ("e", "01:01")]
+
+
+def test_rules_work_on_pieces_of_a_text(spark):
+    """Pieces make up the text; a rule's matches are those of the whole text wherever pieces end, and a rule that says nothing of white space keeps to the whole."""
+    rng = random.Random(4)
+    words = ["Bearer", "Authorization:", "PrivateKey", "=", " = ", "aws_session_token", "word", "SK", "hvs.", "ghp_", "postgres://u:p@h", "[REDACTED-jwt]", "é", "\n", " ", '"', "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"]
+    token = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((5, 24, 32, 36, 43))))
+    texts = ["".join(rng.choice((rng.choice(words), token(), token() + " ")) for _ in range(rng.randrange(150))) for _ in range(150)] + ["", None, "= " * 50_000 + "ghp_" + "a" * 36]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    whole = tuple(replace(r, joins=None) for r in REDACT_SPECS)
+    assert _local(REDACT_SPECS) == 1 and _local(whole) == len(whole)
+    mine, plain = ({r.id: (r.scrubbed, r.counts, list(r.counts)) for r in redact_all(rows, specs=s).collect()} for s in (REDACT_SPECS, whole))
+    assert mine == plain
+    cut = rows.select("text", pieces(F.col("text"), ("Bearer",), least=20).alias("p")).where("text IS NOT NULL").collect()
+    assert all("".join(r.p) == r.text for r in cut) and max(len(r.p) for r in cut) > 100
+    assert not any(re.search(r"Bearer\s*$", p) for r in cut for p in r.p[:-2])
+
+
+def test_a_replacement_that_joins_keeps_rules_whole():
+    first = Redaction("a", "x+", "Bear", joins=())
+    assert _local((first, Redaction("b", "Bearer +[a-z]+", "-", joins=("Bearer",)))) == 1
+    assert _local((Redaction("a", "x+", "-", joins=()), Redaction("b", "Bearer +[a-z]+", "-", joins=("Bearer",)))) == 0
