@@ -35,6 +35,10 @@ def _exploded(df: DataFrame, rows: Column, text: str) -> DataFrame:
     return exploded(df, rows, "__r").select(*kept, "__r.*")
 
 
+#: Characters of values after which a task hands its rows on.
+MOST_CHARS = 1 << 20
+
+
 def _entries(files: DataFrame, text: str, rows_of, names: str, ints: str = "") -> DataFrame:
     """The columns of files but the text, and those of names (texts) and ints, of each row that rows_of gives for a document. One that doesn't fit gives none."""
     keys = [c for c in files.columns if c != text]
@@ -42,22 +46,37 @@ def _entries(files: DataFrame, text: str, rows_of, names: str, ints: str = "") -
     schema = StructType([*(files.schema[c] for c in keys), *(StructField(n, StringType()) for n in texts), *(StructField(n, IntegerType()) for n in numbers)])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, rows = [], []
-            for i, document in enumerate(batch.column(len(keys)).to_pylist()):
-                try:
-                    found = rows_of(document or "")
-                except Unfit:
-                    continue
-                at += [i] * len(found)
-                rows += found
-            own = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(len(keys))]
-            new = [pa.array([r[i] for r in rows], pa.string() if i < len(texts) else pa.int32()) for i in range(len(texts) + len(numbers))]
-            yield pa.RecordBatch.from_arrays([*own, *new], [*keys, *texts, *numbers])
+        return _rows_of_batches(batches, keys, texts, numbers, rows_of, MOST_CHARS)
 
     return files.select(*(F.col(f"`{c}`") for c in keys), F.col(f"`{text}`")).mapInArrow(read, schema)
 
 
+def _rows_of_batches(batches: Iterator[pa.RecordBatch], keys: list[str], texts: list[str], numbers: list[str], rows_of, most: int) -> Iterator[pa.RecordBatch]:
+    """A document at a time, and rows are handed on once their texts have some size: a batch's documents and values never all stand as Python's."""
+
+    def made(batch: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        own = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(len(keys))]
+        new = [pa.array([r[i] for r in rows], pa.string() if i < len(texts) else pa.int32()) for i in range(len(texts) + len(numbers))]
+        return pa.RecordBatch.from_arrays([*own, *new], [*keys, *texts, *numbers])
+
+    for batch in batches:
+        at, rows, size = [], [], 0
+        documents = batch.column(len(keys))
+        for i in range(len(documents)):
+            try:
+                found = rows_of(documents[i].as_py() or "")
+            except Unfit:
+                continue
+            at += [i] * len(found)
+            rows += found
+            size += sum(len(v) for r in found for v in r[: len(texts)])
+            if size > most:
+                yield made(batch, at, rows)
+                at, rows, size = [], [], 0
+        if rows:
+            yield made(batch, at, rows)
+
+
 def docker_auths(files: DataFrame, text: str = "content") -> DataFrame:
     """registry_host, auth, identitytoken of each entry."""
     shape = {"auths": {jsondoc.ANY: {"auth": str, "username": str, "identitytoken": str}}}

@@ -10,6 +10,7 @@ import hmac
 import math
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from leakloom.operators.redact import _local, redact_all
@@ -19,6 +20,7 @@ from leakloom.functions import scalars as sc
 from leakloom.functions.regexport import glob_regex
 from leakloom.operators import files as fs
 from leakloom.operators import findings as fd
+from leakloom.operators import nested
 from leakloom.operators import text as tx
 from leakloom.operators.detect import detect, detect_all
 from leakloom.operators.redact import redact_all, redactions_by_type
@@ -202,3 +204,11 @@ def test_entropy_of_long_texts_costs_one_pass(spark):
     assert all(abs(got[i] - said(t)) < 1e-9 for i, t in enumerate(texts))
     plan = rows.select(sc.shannon_entropy(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert "filter(" not in plan.lower()
+
+
+def test_nested_rows_are_handed_on_by_size():
+    """Whatever a batch holds, rows that go on together have texts of some size only, and none is lost or doubled."""
+    batch = pa.RecordBatch.from_pydict({"path": [str(i) for i in range(60)], "content": ["no" if i % 7 == 3 else None if i % 7 == 4 else "ab" * 50 for i in range(60)]})
+    sent = list(nested._rows_of_batches(iter([batch]), ["path"], ["value"], ["place"], lambda doc: [(doc, 1), (doc[:1], 2)] if len(doc) > 2 else [], 250))
+    assert max(b.num_rows for b in sent) == 6
+    assert [tuple(r.values()) for b in sent for r in b.to_pylist()] == [(str(i), v, p) for i in range(60) if i % 7 not in (3, 4) for v, p in (("ab" * 50, 1), ("a", 2))]
