@@ -105,7 +105,9 @@ def jwt_claims(token: Column) -> Column:
         return F.when(sound, F.struct(*(c.alias(n) for n, c in fields.items())))
 
     decoded = F.try_to_binary(raw, F.lit("base64"))
-    return F.when(F.size(parts) == 3, bound(F.make_valid_utf8(decoded.cast("string")), of_json)).cast(CLAIMS)
+    # What can't be an object isn't parsed: a parser's errors cost more than all else here.
+    claims = bound(F.make_valid_utf8(decoded.cast("string")), lambda x: F.when(x.rlike(r"(?s)^[\x00-\x20\uFEFF]*\{.*\}"), of_json(x)))
+    return F.when(F.size(parts) == 3, claims).cast(CLAIMS)
 
 
 def _aud(claims: Column) -> Column:

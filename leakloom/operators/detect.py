@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as sc
 from ..functions.rows import exploded
 from .registry import SCAN_SPECS, Detector, Vectorised
+from .text import pieces
 
 HIT = "struct<detector string, rank int, finding_id string, token_type string, severity string, title string, at int, value string, metadata map<string,string>>"
 
@@ -19,8 +20,28 @@ def _any_of(text: Column, literals: tuple[str, ...], any_case: bool) -> Column:
     return hit if literals else F.lit(True)
 
 
-def _hits(text: Column, d: Detector, now: Column) -> Column:
-    """The detector's hits in a text, in order."""
+#: Texts of fewer bytes are one piece.
+_SHORT = 400
+
+
+def _seen(text: Column, joins: tuple[str, ...], cut: bool) -> Column:
+    """What detectors look at, worked out once for a text: s, l (lower case), and pieces of both as parts if it is cut."""
+    seen = lambda s: F.struct(s.alias("s"), F.lower(s).alias("l"))
+
+    def parts(whole: Column) -> Column:
+        pairs = F.when(F.octet_length(whole["s"]) < _SHORT, F.array(whole)).otherwise(F.transform(pieces(whole["s"], joins, any_case=True), seen))
+        return F.struct(whole["s"].alias("s"), whole["l"].alias("l"), pairs.alias("parts"))
+
+    return sc.bound(seen(text), parts) if cut else seen(text)
+
+
+def _holds(seen: Column, d: Detector) -> Column:
+    """Whether a text or a piece of it holds a literal of the detector's gate."""
+    return _any_of(seen["l" if d.any_case else "s"], d.gate, False)
+
+
+def _hits(seen: Column, d: Detector, now: Column, in_parts: bool) -> Column:
+    """The detector's hits in a text, or in its parts, in order."""
 
     def of_value(value: Column, at: Column) -> Column:
         fields = {
@@ -29,12 +50,13 @@ def _hits(text: Column, d: Detector, now: Column) -> Column:
         }
         return F.struct(*(c.alias(n) for n, c in fields.items()))
 
-    found = F.regexp_extract_all(text, F.lit(d.pattern), F.lit(d.group))
+    matches = lambda s: F.regexp_extract_all(s, F.lit(d.pattern), F.lit(d.group))
+    found = F.flatten(F.transform(F.filter(seen["parts"], lambda p: _holds(p, d)), lambda p: matches(p["s"]))) if in_parts else matches(seen["s"])
     if d.distinct:
         found = F.array_distinct(found)
     if d.keep is not None:
         found = F.filter(found, d.keep)
-    return F.when(_any_of(text, d.gate, d.any_case), F.transform(found, of_value)).otherwise(F.array()).cast(f"array<{HIT}>")
+    return F.when(_holds(seen, d), F.transform(found, of_value)).otherwise(F.array()).cast(f"array<{HIT}>")
 
 
 def _jwt_metadata(token: Column, now: Column) -> Column:
@@ -47,7 +69,7 @@ def _jwt_metadata(token: Column, now: Column) -> Column:
     return sc.bound(sc.jwt_claims(token), of)
 
 
-def _found(text: Column, d: Vectorised, column: Column) -> Column:
+def _found(d: Vectorised, column: Column) -> Column:
     """The hits of a vectorised detector, worked out in a column of their own."""
 
     def of(hit: Column, at: Column) -> Column:
@@ -62,16 +84,21 @@ def detect_all(texts: DataFrame, text: str = "text", specs: tuple[Detector | Vec
 
     Null and empty texts have none. now (in seconds) tells expired tokens. A text that holds no detector's literal costs
     a few substring searches and no pattern. Vectorised detectors work in the same pass, each on the texts that its gate
-    lets through; hits keep the order of specs.
+    lets through; hits keep the order of specs. A text is cut into pieces once, of which a detector with joins searches
+    only those that hold a literal of its gate; for one such detector alone the cut doesn't pay.
     """
-    rows, hits = texts, []
+    local = [d for d in specs if isinstance(d, Detector) and d.joins is not None]
+    joins = tuple(dict.fromkeys(j for d in local for j in d.joins))
+    cut = len(local) > 1
+    rows, makes = texts, []
     for i, d in enumerate(specs):
         if isinstance(d, Vectorised):
             rows = rows.withColumn(f"__found{i}", d.find(F.when(_any_of(F.col(text), d.gate, d.any_case), F.col(text))))
-            hits.append(_found(F.col(text), d, F.col(f"__found{i}")))
+            makes.append(lambda seen, d=d, i=i: _found(d, F.col(f"__found{i}")))
         else:
-            hits.append(_hits(F.col(text), d, F.lit(now)))
-    found = exploded(rows, F.concat(*hits) if len(hits) > 1 else hits[0], "__hit")
+            makes.append(lambda seen, d=d: _hits(seen, d, F.lit(now), cut and d.joins is not None))
+    hits = lambda seen: F.concat(*(make(seen) for make in makes)) if len(makes) > 1 else makes[0](seen)
+    found = exploded(rows, F.when(F.col(text).isNotNull(), sc.bound(_seen(F.col(text), joins, cut), hits)), "__hit")
     return found.select(*[F.col(f"`{c}`") for c in texts.columns if c != text], "__hit.*")
 
 
