@@ -120,14 +120,14 @@ def ssh_scopes(text: Column) -> Column:
     """An array of key (lower case), value, host and line_number of each setting of an SSH client configuration; host is the last Host before it, or `*`."""
 
     def fold(lines: Column) -> Column:
-        fields = lambda x: F.filter(F.split(trimmed(x), f"[{UNICODE_SPACE}]+"), lambda f: f != "")
-        rows = F.transform(lines, lambda x, i: F.struct(fields(x).alias("f"), (i + 1).alias("line_number"), trimmed(x).startswith("#").alias("comment")))
-        rows = F.transform(F.filter(rows, lambda r: (F.size(r["f"]) >= 2) & ~r["comment"]), lambda r: F.struct(F.lower(F.get(r["f"], 0)).alias("key"), F.array_join(F.slice(r["f"], 2, F.size(r["f"]) - 1), " ").alias("value"), r["line_number"]))
-        return sc.bound(rows, scoped)
-
-    def scoped(rows: Column) -> Column:
-        host = lambda r: F.element_at(F.concat(F.array(F.lit("*")), F.transform(F.filter(rows, lambda h: (h["key"] == "host") & (h["line_number"] <= r["line_number"])), lambda h: h["value"])), -1)
-        settings = F.filter(rows, lambda r: r["key"] != "host")
+        rows = F.transform(lines, lambda x, i: F.struct(trimmed(x).alias("t"), (i + 1).alias("line_number")))
+        rows = F.transform(F.filter(rows, lambda r: (r["t"] != "") & ~r["t"].startswith("#")), lambda r: F.struct(F.split(r["t"], f"[{UNICODE_SPACE}]+").alias("f"), r["line_number"]))
+        rows = F.transform(F.filter(rows, lambda r: F.size(r["f"]) >= 2), lambda r: F.struct(F.lower(F.get(r["f"], 0)).alias("key"), F.array_join(F.slice(r["f"], 2, F.size(r["f"]) - 1), " ").alias("value"), r["line_number"]))
+        return sc.bound(rows, lambda r: sc.bound(F.struct(r.alias("rows"), F.filter(r, lambda h: h["key"] == "host").alias("hosts")), scoped))
+
+    def scoped(of: Column) -> Column:
+        host = lambda r: F.coalesce(F.get(of["hosts"], F.size(F.filter(of["hosts"], lambda h: h["line_number"] <= r["line_number"])) - 1)["value"], F.lit("*"))
+        settings = F.filter(of["rows"], lambda r: r["key"] != "host")
         return F.transform(settings, lambda r: F.struct(r["key"], r["value"], host(r).alias("host"), r["line_number"]))
 
     return sc.bound(lines_of(text), fold)

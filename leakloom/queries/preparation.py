@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..functions.rows import spread
 from ..operators import configs, files as fs, findings as fd, nested, text as tx
 from .detection import documents
 from .plant import quote
@@ -143,7 +144,7 @@ SETTINGS = (
 def _config_files(spark, sf_dir):
     k = F.col("o_orderkey")
     pick = lambda i: F.element_at(F.array(*(F.lit(s[i]) for s in SETTINGS)), (k % len(SETTINGS) + 1).cast("int"))
-    return table(spark, sf_dir, "orders").select(F.concat(F.lit("/c/"), k.cast("string")).alias("path"), pick(0).alias("tool"), F.replace(pick(1), F.lit("{k}"), k.cast("string")).alias("content"))
+    return spread(table(spark, sf_dir, "orders")).select(F.concat(F.lit("/c/"), k.cast("string")).alias("path"), pick(0).alias("tool"), F.replace(pick(1), F.lit("{k}"), k.cast("string")).alias("content"))
 
 
 def _settings(spark, sf_dir):
@@ -186,7 +187,7 @@ SSH = "# c\nForwardAgent yes\nHost a{k} b\n  StrictHostKeyChecking no\n  stricth
 
 
 def ssh_rules(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("/s/"), F.col("c_custkey").cast("string")).alias("path"), F.replace(F.lit(SSH), F.lit("{k}"), F.col("c_custkey").cast("string")).alias("content"))
+    rows = spread(table(spark, sf_dir, "customer")).select(F.concat(F.lit("/s/"), F.col("c_custkey").cast("string")).alias("path"), F.replace(F.lit(SSH), F.lit("{k}"), F.col("c_custkey").cast("string")).alias("content"))
     return configs.ssh_config_rules(rows).select("path", "host", "finding_id", "severity", "line_number", "for_all_hosts", "fingerprint")
 
 

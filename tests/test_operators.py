@@ -12,6 +12,7 @@ import math
 import time
 
 import pyarrow as pa
+from conftest import SF
 from pyspark.sql import functions as F
 
 from leakloom.operators.redact import _local, redact_all
@@ -27,6 +28,7 @@ from leakloom.operators.detect import detect, detect_all
 from leakloom.operators.redact import redact_all, redactions_by_type
 from leakloom.operators.registry import SCAN_SPECS, Registry
 from leakloom.plans import workflows
+from leakloom.queries import QUERIES
 
 
 def one(spark, column):
@@ -244,3 +246,13 @@ def test_payloads_that_end_early_are_no_claims(spark):
     coded = lambda x: "eyJh." + base64.urlsafe_b64encode(x.encode()).decode().rstrip("=") + ".abc"
     iss = lambda x: one(spark, sc.jwt_claims(F.lit(coded(x)))["iss"])
     assert iss('\n {"iss":"a"}\n') == "a" and iss('{"iss":"b"} more') == "b" and iss('{"iss":"c"') is None and iss('["iss"]') is None
+
+
+def test_ssh_rules_of_one_file_use_all_cores(spark):
+    assert QUERIES["ssh_config_rules"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_ssh_hosts_are_those_before_a_setting(spark):
+    text = "# Host no\r\n\u00a0User  a  b\nHost one two\n\n  #x y\nPort 1\nHost\nHOST\tthree\nUser c\nport"
+    rows = tx.ssh_host_scope(spark.createDataFrame([("p", text), ("q", None), ("r", "")], "path string, content string")).collect()
+    assert [tuple(r) for r in rows] == [("p", "user", "a b", "*", 2), ("p", "port", "1", "one two", 6), ("p", "user", "c", "three", 9)]
