@@ -105,9 +105,12 @@ def write_back(spark: SparkSession, folder: str, scrubbed: Callable[[DataFrame],
     number = {f: i for i, f in enumerate(sorted(touched))}
     numbers = spark.createDataFrame(list(number.items()), "__file string, __source int")
     old = spark.read.schema(snapshot.schema).parquet(*touched).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    new = old.join(changes, ["__file", "__row"], "left").join(F.broadcast(numbers), "__file").withColumn(text, F.coalesce("scrubbed", text))
+    # Rows and changes are dealt by data file, once, and meet in the order that the files are written in.
+    both = old.unionByName(changes.withColumn("__change", F.lit(True)), allowMissingColumns=True).join(F.broadcast(numbers), "__file").drop("__file").repartition("__source")
+    place = Window.partitionBy("__source", "__row")
+    new = both.withColumn("scrubbed", F.max("scrubbed").over(place)).where(F.col("__change").isNull()).withColumn(text, F.coalesce("scrubbed", text))
     staged = f"{folder.rstrip('/')}/{_COMMITS}/{run}"
-    new.repartition("__source").sortWithinPartitions("__source", "__row").select("__source", *known).write.partitionBy("__source").parquet(f"{staged}/data")
+    new.sortWithinPartitions("__source", "__row").select("__source", *known).write.partitionBy("__source").parquet(f"{staged}/data")
     moves = []
     fs, path = _store(spark, folder)
     for file, i in number.items():
