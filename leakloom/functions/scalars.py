@@ -13,24 +13,36 @@ def bound(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Bytes of a text up to which each of its distinct characters may have a look at it.
+SHORT = 256
+
+
 def shannon_entropy(text: Column) -> Column:
     """Bits per character, where a character's share is its count over the text's bytes; 0 for an empty text."""
 
+    n = F.octet_length(text).cast("double")
+
+    def term(count: Column) -> Column:
+        share = count / n
+        return share * F.log2(share)
+
+    def total(terms: Column) -> Column:
+        return F.aggregate(terms, F.lit(0.0), lambda a, b: a - b)
+
+    def of_short(chars: Column) -> Column:
+        """What a text loses without each character: no sort, but a look at it for each distinct one."""
+        return total(F.transform(F.array_distinct(chars), lambda c: term((n - F.octet_length(F.replace(text, c, F.lit("")))) / F.octet_length(c))))
+
     def of(chars: Column) -> Column:
-        n = F.octet_length(text).cast("double")
         # Runs of equal characters of the sorted text: one pass, whatever the number of distinct ones.
         runs = F.regexp_extract_all(F.array_join(F.sort_array(chars), ""), F.lit(r"(?s)(.)\1*+"), F.lit(0))
         counts = bound(runs, lambda r: F.map_from_arrays(F.transform(r, lambda x: F.left(x, F.lit(1))), F.transform(r, F.length)))
-
-        def term(count: Column) -> Column:
-            share = count / n
-            return share * F.log2(share)
-
         # In the order of the characters' first places, as a sum of doubles hangs on it.
         terms = bound(counts, lambda m: F.transform(F.array_distinct(chars), lambda c: term(m[c])))
-        return F.aggregate(terms, F.lit(0.0), lambda a, b: a - b)
+        return total(terms)
 
-    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(bound(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), of))
+    whole = bound(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), of)
+    return F.when(F.length(text) == 0, F.lit(0.0)).when(F.octet_length(text) <= SHORT, bound(F.split(text, ""), of_short)).otherwise(whole)
 
 
 def entropy_text(entropy: Column) -> Column:
@@ -46,13 +58,13 @@ LITERALS = ("true", "false", "null", "none", "undefined", "localhost", r"127\.0\
 
 def is_placeholder(value: Column) -> Column:
     """Whether a value stands for a secret, or is too short to be one."""
-    trimmed = F.regexp_replace(value, f"^{S}+|{S}+\\z", "")
+    trimmed = F.trim(value, F.lit("\t\n\f\r "))
     words = "|".join(PLACEHOLDER_WORDS)
     rules = (
         f"{CI}^(?:{words})[-_]", f"{CI}(?:{words})[-_](?:{'|'.join(CREDENTIAL_WORDS)})", f"{CI}^(?:xxx|yyy|zzz|abc|123)", f"{CI}^x{{5,}}\\z", r"^\*{5,}\z", r"^\.{3,}\z",
         r"^\$\{?[A-Z_]+\}?\z", f"{CI}^(?:{'|'.join(LITERALS)})\\z",
     )
-    return bound(trimmed, lambda t: (F.octet_length(t) < 10) | F.exists(F.array(*(t.rlike(r) for r in rules)), lambda hit: hit))
+    return bound(trimmed, lambda t: (F.octet_length(t) < 10) | t.rlike("|".join(f"(?:{r})" for r in rules)))
 
 
 def key_type(pem: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rows import exploded
 from ..functions.scalars import bound
+from .anchored import Anchored, replaced
 from .detect import _any_of
 from .registry import REDACT_SPECS, Redaction
 from .text import pieces
@@ -45,17 +46,28 @@ def _local(specs: tuple[Redaction, ...]) -> int:
 def redact_all(df: DataFrame, text: str = "text", specs: tuple[Redaction, ...] = REDACT_SPECS) -> DataFrame:
     """Add scrubbed and counts (label to number of matches, labels without any left out). A null text stays null.
 
-    One look at a text's literals tells which rules may match; only these run, in order, each on what the one before left.
-    The last rules whose matches end at white space run on pieces of the text, so that each searches no more than the
-    pieces that hold its literals.
+    Rules run in order, each on what the one before left: the first ones that name the literals that their matches begin
+    with in one Arrow stage, all from there on as expressions. Of these, one look at a text's literals tells which may
+    match; only they run. The last rules whose matches end at white space run on pieces of the text, so that each
+    searches no more than the pieces that hold its literals.
     """
-    columns, at = df.columns, _local(specs)
+    columns, none = df.columns, F.array().cast("array<struct<k: int, label: string, n: int>>")
+    first = next((k for k, r in enumerate(specs) if not r.starts), len(specs))
+    rest, at = specs[first:], first + _local(specs[first:])
     joins = tuple(dict.fromkeys(j for r in specs[at:] for j in r.joins))
-    start = F.struct(F.col(text).alias("s"), F.array().cast("array<struct<k: int, label: string, n: int>>").alias("n"))
+    start = F.struct(F.col(text).alias("s"), none.alias("n"))
+    if first:
+        df = df.withColumn("__replaced", replaced(F.col(text), (Anchored(r.pattern, r.starts, r.gate, to=r.replacement, label=r.label) for r in specs[:first])))
+        # A text that no rule changes stays as it is, to the byte.
+        scrubbed = F.coalesce(F.col("__replaced.s"), F.col(text))
+        if not rest:
+            return df.select(*columns, scrubbed.alias("scrubbed"), F.map_from_arrays("__replaced.labels", "__replaced.n").alias("counts"))
+        # Numbered in their order, below all later rules' numbers.
+        counts = F.transform("__replaced.labels", lambda label, i: F.struct(i.alias("k"), label.alias("label"), F.get("__replaced.n", i).alias("n")))
+        start = F.struct(scrubbed.alias("s"), counts.cast("array<struct<k: int, label: string, n: int>>").alias("n"))
 
     def in_pieces(state: Column) -> Column:
-        empty = F.array().cast("array<struct<k: int, label: string, n: int>>")
-        each = F.transform(pieces(state["s"], joins), lambda p: _chain(F.struct(p.alias("s"), empty.alias("n")), specs[at:], at))
+        each = F.transform(pieces(state["s"], joins), lambda p: _chain(F.struct(p.alias("s"), none.alias("n")), specs[at:], at))
         whole = lambda done: F.struct(F.array_join(F.transform(done, lambda d: d["s"]), "").alias("s"), F.concat(state["n"], F.flatten(F.transform(done, lambda d: d["n"]))).alias("n"))
         return F.when(F.size(_may_match(state["s"], specs[at:], set())) > 0, bound(each, whole)).otherwise(state)
 
@@ -64,8 +76,8 @@ def redact_all(df: DataFrame, text: str = "text", specs: tuple[Redaction, ...] =
         total = lambda label: F.aggregate(state["n"], F.lit(0), lambda a, x: a + F.when(x["label"] == label, x["n"]).otherwise(0))
         return F.struct(state["s"].alias("scrubbed"), F.map_from_arrays(labels, F.transform(labels, total)).alias("counts"))
 
-    done = _chain(start, specs[:at])
-    if at < len(specs):
+    done = _chain(start, specs[first:at], first)
+    if rest and at < len(specs):
         done = bound(done, in_pieces)
     # As the one element of an array, so that nothing that uses either part works the chain out once more.
     return exploded(df, F.array(bound(done, outcome)), "__done").select(*columns, "__done.scrubbed", "__done.counts")

@@ -204,7 +204,7 @@ def scrub(files: DataFrame, minutes: int = 0, now: int = 0) -> DataFrame:
     """Chats and histories in which a detector finds something, with scrubbed content and counts."""
     tagged = fs.route_probes(fs.tag_files(spread(files)), fs.routes_table(files.sparkSession)).where("scrub_ok")
     texts = fd.union_findings(scan_keyed_lines(tagged.where("route = 'line'")), scan_history(tagged.where("route = 'history'")))
-    hit = detect_all(texts, now=now).select("host_id", "path").distinct()
+    hit = detect_all(texts, now=now, fields=("finding_id",)).select("host_id", "path").distinct()
     targets = fs.grace_filter(tagged, minutes, F.timestamp_seconds(F.lit(now))).drop("pattern_name", "probe", "route", "ord", "size_cap", "scrub_ok")
     return redact_all(targets.join(hit, ["host_id", "path"], "left_semi"), "content")
 
@@ -217,8 +217,8 @@ def findings_of_texts(texts: DataFrame, hosts: DataFrame, now: int = 0, most: in
 def scan_scrub_rescan(texts: DataFrame, key: str = "doc_id", now: int = 0) -> DataFrame:
     """key, finding_id, n_before, n_after, n_gone of each text's hits before and after its redaction.
 
-    Both versions are written to the shared folder and detected in one pass; what was redacted is not worked out again.
+    Both versions are rows that one pass detects in; what was redacted is not worked out again, as rows stand between.
     """
     versions = F.array(F.struct(F.lit(False).alias("after"), F.col("text").alias("text")), F.struct(F.lit(True).alias("after"), F.col("scrubbed").alias("text")))
-    both = materialised(exploded(redact_all(texts.select(key, "text")), versions, "v").select(key, "v.after", "v.text"), "scrubbed")
-    return fd.gone(detect_all(both, now=now), "after", (key, "finding_id"))
+    both = exploded(redact_all(texts.select(key, "text")), versions, "v").select(key, "v.after", "v.text")
+    return fd.gone(detect_all(both, now=now, fields=("finding_id",)), "after", (key, "finding_id"))

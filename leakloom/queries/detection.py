@@ -25,7 +25,7 @@ def planted(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _detector_query(name: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        hits = detect(planted(spark, sf_dir, name), name)
+        hits = detect(planted(spark, sf_dir, name), name, fields=("finding_id", "token_type", "severity", "value"))
         return hits.groupBy("doc_id", "finding_id", "token_type", "severity", sc.plain_fingerprint(F.col("value")).alias("fingerprint")).agg(F.count(F.lit(1)).alias("n"))
 
     return query
