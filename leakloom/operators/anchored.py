@@ -44,12 +44,12 @@ class Text:
 
     @cached_property
     def plain(self) -> str:
-        return self.text if self.text.isascii() else self.text.replace("İ", "é").replace("ı", "é")
+        return self.text if self.text.isascii() else self.text.replace("\u0130", "\u00e9").replace("\u0131", "\u00e9")
 
     @cached_property
     def low(self) -> str:
         low = self.plain.lower()
-        return low if low.isascii() else low.replace("ſ", "s")
+        return low if low.isascii() else low.replace("\u017f", "s")
 
 
 class Finder:
@@ -95,7 +95,7 @@ CHUNK = 1 << 19
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Letters that equal ASCII ones in any case.
-_FOLDED = ("ſ", "K")
+_FOLDED = ("\u017f", "\u212a")
 
 
 class Literals:

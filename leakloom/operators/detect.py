@@ -45,8 +45,16 @@ def _holds(seen: Column, d: Detector) -> Column:
     return _any_of(seen["l" if d.any_case else "s"], d.gate, False)
 
 
-def _hits(seen: Column | None, d: Detector, now: Column, in_parts: bool, matches: Column | None, fields: tuple[str, ...]) -> Column:
-    """The detector's hits, in order: what it finds in a text, or in its parts, unless its matches are given."""
+def _may_hold(text: Column, d: Detector) -> Column:
+    """The same for one literal alone: a text is lowered only if it holds what a match needs, and the literal neither as it stands nor in capitals."""
+    held = _any_of(text, d.gate, False)
+    if d.any_case:
+        held = held | _any_of(text, tuple(x.upper() for x in d.gate), False) | _any_of(text, d.gate, True)
+    return text.contains(d.needs) & held if d.needs else held
+
+
+def _hits(seen: Column, d: Detector, now: Column, how: str, fields: tuple[str, ...]) -> Column:
+    """The detector's hits, in order. how: seen is a text ("alone"), one with its lower case ("whole") and its parts ("parts"), or an array of the matches ("found")."""
 
     def of_value(value: Column, at: Column) -> Column:
         makes = {
@@ -56,18 +64,20 @@ def _hits(seen: Column | None, d: Detector, now: Column, in_parts: bool, matches
         return F.struct(*(makes[f]().alias(f) for f in fields))
 
     search = lambda s: F.regexp_extract_all(s, F.lit(d.pattern), F.lit(d.group))
-    if matches is not None:
-        values = matches
-    elif in_parts:
+    if how == "found":
+        values = seen
+    elif how == "parts":
         values = F.flatten(F.transform(F.filter(seen["parts"], lambda p: _holds(p, d)), lambda p: search(p["s"])))
     else:
-        values = search(seen["s"])
+        values = search(seen if how == "alone" else seen["s"])
     if d.distinct:
         values = F.array_distinct(values)
     if d.keep is not None:
         values = F.filter(values, d.keep)
     hits = F.transform(values, of_value)
-    return _as_hits(hits if matches is not None else F.when(_holds(seen, d), hits).otherwise(F.array()), fields)
+    if how != "found":
+        hits = F.when(_may_hold(seen, d) if how == "alone" else _holds(seen, d), hits).otherwise(F.array())
+    return _as_hits(hits, fields)
 
 
 def _jwt_metadata(token: Column, now: Column) -> Column:
@@ -104,7 +114,8 @@ def detect_all(texts: DataFrame, text: str = "text", specs: tuple[Detector | Vec
     anchored = anchored if len(anchored) > 1 else []
     local = [d for d in plain if d.joins is not None and d not in anchored]
     joins = tuple(dict.fromkeys(j for d in local for j in d.joins))
-    cut = len(local) > 1
+    cut, whole = len(local) > 1, [d for d in plain if d not in anchored]
+    alone = len(whole) == 1 and len(whole[0].gate) == 1
     rows, makes = texts, []
     if anchored:
         rows = rows.withColumn("__anchored", found(F.col(text), (Anchored(d.pattern, d.starts, d.gate, d.group) for d in anchored)))
@@ -113,11 +124,11 @@ def detect_all(texts: DataFrame, text: str = "text", specs: tuple[Detector | Vec
             rows = rows.withColumn(f"__found{i}", d.find(F.when(_any_of(F.col(text), d.gate, d.any_case), F.col(text))))
             makes.append(lambda seen, d=d, i=i: _found(d, F.col(f"__found{i}"), fields))
         elif d in anchored:
-            makes.append(lambda seen, d=d: _hits(None, d, F.lit(now), False, F.get(F.col("__anchored"), F.lit(anchored.index(d))), fields))
+            makes.append(lambda seen, d=d: _hits(F.get(F.col("__anchored"), F.lit(anchored.index(d))), d, F.lit(now), "found", fields))
         else:
-            makes.append(lambda seen, d=d: _hits(seen, d, F.lit(now), cut and d.joins is not None, None, fields))
+            makes.append(lambda seen, d=d: _hits(seen, d, F.lit(now), "alone" if alone else "parts" if cut and d.joins is not None else "whole", fields))
     hits = lambda seen: F.concat(*(make(seen) for make in makes)) if len(makes) > 1 else makes[0](seen)
-    every = sc.bound(_seen(F.col(text), joins, cut), hits) if len(anchored) < len(plain) else hits(None)
+    every = sc.bound(_seen(F.col(text), joins, cut), hits) if whole and not alone else hits(F.col(text))
     out = exploded(rows, F.when(F.col(text).isNotNull(), every), "__hit")
     return out.select(*[F.col(f"`{c}`") for c in texts.columns if c != text], "__hit.*")
 

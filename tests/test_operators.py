@@ -311,3 +311,15 @@ def test_the_rescan_writes_no_copy_of_the_texts(spark):
     plan = workflows.scan_scrub_rescan(df)
     assert "parquet" not in plan._jdf.queryExecution().optimizedPlan().toString().lower()
     assert sorted(map(tuple, plan.collect())) == [(1, "generic-api-key", 1, 1, 0), (1, "github-token-classic-pat", 1, 0, 1)]
+
+
+def test_a_text_is_lowered_only_if_it_may_be_a_key(spark):
+    """Lower case costs more than all detectors' literals; capitals, small letters, a mixture and a Kelvin sign are found all the same."""
+    head, tail = "-----BEGIN RSA PRIVATE KEY-----\n", "\n-----END RSA PRIVATE KEY-----"
+    texts = [head + "a1" * 40 + tail, (head + "a1" * 40 + tail).lower(), (head + "a1" * 40 + tail).title(), head.replace("K", "\u212a") + "a1" * 40 + tail.replace("K", "\u212a"), "private key", "-----"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    every = (replace(d, starts=()) for d in SCAN_SPECS)
+    got, want = (sorted((r.i, r.value) for r in detect_all(df, specs=s).where("detector = 'ssh-private-key'").collect()) for s in (SCAN_SPECS, tuple(every)))
+    assert got == want and [i for i, _ in got] == [0, 1, 2, 3]
+    plan = detect_all(df)._jdf.queryExecution().analyzed().toString()
+    assert plan.index("-----") < plan.index("PRIVATE KEY") < plan.index("lower(text")  # behind the literal as it stands and in capitals
