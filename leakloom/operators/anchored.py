@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property
 from typing import NamedTuple
 
@@ -90,7 +90,7 @@ def _places(text: str, literal: str) -> Iterator[int]:
         at = text.find(literal, at + 1)
 
 
-#: Bytes of texts that are looked through at once, if it isn't one longer text.
+#: Bytes of texts that are worked on at once, if it isn't one longer text: as Python's objects they take several times the space.
 CHUNK = 1 << 19
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -160,38 +160,40 @@ def _decoded(text: bytes | None) -> tuple[str | None, bool]:
         return text.decode("utf-8", "replace"), False
 
 
-def _placed(texts: pa.Array, finders: list[Finder]) -> Iterator[tuple[str | None, list[tuple[int, list[int]]] | None]]:
-    """Each text with the numbers of the finders of which a start stands in it and the places, in order; None where these have to be looked for one by one."""
+def _in_chunks(texts: pa.Array, of: Callable[[pa.Array, np.ndarray], pa.Array]) -> pa.Array:
+    """of some of the texts (bytes) and where each begins in them, one chunk after the other."""
     texts = texts.cast(pa.large_binary())
-    literals, offsets = Literals(finders), np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-    row = 0
-    while row < len(texts):
-        last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1)
-        start = offsets[row : last + 1] - offsets[row]
-        chunk = data[offsets[row] : offsets[last]]
-        at, rule = literals.places(chunk)
-        order = (np.searchsorted(start, at, "right") - 1) * len(finders) + rule
-        # Sorted as one number: text, finder, place. A place in its chunk has less than 2^31, or 2^31 bytes are one text.
-        order = np.sort((order << 32) | at)
-        at, order = order & 0xFFFFFFFF, order >> 32
-        of = order // len(finders)
-        chars = at - start[of]
-        if len(at) and (wide := chunk >= 0x80).any():
-            # Characters, not bytes.
-            wide &= chunk < 0xC0
-            wide = np.cumsum(wide, dtype=np.int32)
-            chars -= wide[at] - wide[start[of]]
-        chars = chars.tolist()
-        new = np.flatnonzero(np.diff(order, prepend=-1))
-        rules, ends, rows = (order[new] % len(finders)).tolist(), [*new[1:].tolist(), len(at)], np.searchsorted(of[new], np.arange(last - row + 1)).tolist()
-        new = new.tolist()
-        for i, (s, sound) in enumerate(map(_decoded, texts[row:last].to_pylist())):
-            if s is not None and not (sound and (s.isascii() or not any(x in s for x in _FOLDED))):
-                yield s, None
-            else:
-                yield s, [(rules[g], chars[new[g] : ends[g]]) for g in range(rows[i], rows[i + 1])]
+    offsets, row, done = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64), 0, []
+    while not done or row < len(texts):
+        last = min(len(texts), max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1))
+        done.append(of(texts[row:last], offsets[row : last + 1]))
         row = last
+    return pa.concat_arrays(done)
+
+
+def _placed(texts: pa.Array, offsets: np.ndarray, finders: list[Finder], literals: Literals) -> Iterator[tuple[str | None, list[tuple[int, list[int]]] | None]]:
+    """Each text with the numbers of the finders of which a start stands in it and the places, in order; None where these have to be looked for one by one."""
+    start, data = offsets - offsets[0], np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    at, rule = literals.places(data)
+    # Sorted as one number: text and finder, then place; texts of a chunk are under 2^31 bytes, or one text that is.
+    order = np.sort((((np.searchsorted(start, at, "right") - 1) * len(finders) + rule) << 32) | at)
+    at, order = order & 0xFFFFFFFF, order >> 32
+    of = order // len(finders)
+    chars = at - start[of]
+    if len(at) and (wide := data >= 0x80).any():
+        # Characters, not bytes.
+        wide &= data < 0xC0
+        wide = np.cumsum(wide, dtype=np.int32)
+        chars -= wide[at] - wide[start[of]]
+    chars = chars.tolist()
+    new = np.flatnonzero(np.diff(order, prepend=-1))
+    rules, ends, rows = (order[new] % len(finders)).tolist(), [*new[1:].tolist(), len(at)], np.searchsorted(of[new], np.arange(len(texts) + 1)).tolist()
+    new = new.tolist()
+    for i, (s, sound) in enumerate(map(_decoded, texts.to_pylist())):
+        if s is not None and not (sound and (s.isascii() or not any(x in s for x in _FOLDED))):
+            yield s, None
+        else:
+            yield s, [(rules[g], chars[new[g] : ends[g]]) for g in range(rows[i], rows[i + 1])]
 
 
 def found(text: Column, rules: Iterable[Anchored]) -> Column:
@@ -201,19 +203,24 @@ def found(text: Column, rules: Iterable[Anchored]) -> Column:
     @F.arrow_udf("array<array<string>>")
     def find(texts: pa.Array) -> pa.Array:
         finders = [Finder(r) for r in rules]
-        of_text, of_rule, values = [0], [0], []
-        for s, places in _placed(texts, finders):
-            if s is not None:
-                t, have = Text(s), 0
-                for k, at in places if places is not None else ((k, f.places(t)) for k, f in enumerate(finders)):
-                    of_rule += [len(values)] * (k - have)
-                    have, f = k + 1, finders[k]
-                    values += [s[slice(*m.span(f.group))] for m in f.matches(t, at)]
-                    of_rule.append(len(values))
-                of_rule += [len(values)] * (len(finders) - have)
-            of_text.append(len(of_rule) - 1)
-        lists = pa.ListArray.from_arrays(pa.array(of_rule, pa.int32()), pa.array(values, pa.string()))
-        return pa.ListArray.from_arrays(pa.array(of_text, pa.int32()), lists)
+        literals = Literals(finders)
+
+        def of(chunk: pa.Array, offsets: np.ndarray) -> pa.Array:
+            of_text, of_rule, values = [0], [0], []
+            for s, places in _placed(chunk, offsets, finders, literals):
+                if s is not None:
+                    t, have = Text(s), 0
+                    for k, at in places if places is not None else ((k, f.places(t)) for k, f in enumerate(finders)):
+                        of_rule += [len(values)] * (k - have)
+                        have, f = k + 1, finders[k]
+                        values += [s[slice(*m.span(f.group))] for m in f.matches(t, at)]
+                        of_rule.append(len(values))
+                    of_rule += [len(values)] * (len(finders) - have)
+                of_text.append(len(of_rule) - 1)
+            lists = pa.ListArray.from_arrays(pa.array(of_rule, pa.int32()), pa.array(values, pa.string()))
+            return pa.ListArray.from_arrays(pa.array(of_text, pa.int32()), lists)
+
+        return _in_chunks(texts, of)
 
     return find(text.cast("binary"))
 
@@ -225,25 +232,29 @@ def replaced(text: Column, rules: Iterable[Anchored]) -> Column:
     @F.arrow_udf("struct<s: string, labels: array<string>, n: array<int>>")
     def replace(texts: pa.Array) -> pa.Array:
         finders = [Finder(r) for r in rules]
-        scrubbed, ends, labels, ns = [], [0], [], []
-        for s, _ in map(_decoded, texts.to_pylist()):
-            counts = {}
-            if s is not None:
-                t = Text(s)
-                for f, rule in zip(finders, rules, strict=True):
-                    at, n, out = 0, 0, []
-                    for m in f.matches(t, f.places(t)):
-                        out += (s[at : m.start()], *(x if isinstance(x, str) else s[slice(*m.span(x))] for x in f.to))
-                        at, n = m.end(), n + 1
-                    if n:
-                        s = "".join((*out, s[at:]))
-                        t = Text(s)
-                        counts[rule.label] = counts.get(rule.label, 0) + n
-            scrubbed.append(s if counts else None)
-            labels += counts.keys()
-            ns += counts.values()
-            ends.append(len(ns))
-        lists = (pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (pa.array(labels, pa.string()), pa.array(ns, pa.int32())))
-        return pa.StructArray.from_arrays([pa.array(scrubbed, pa.string()), *lists], ["s", "labels", "n"])
+
+        def of(chunk: pa.Array, _: np.ndarray) -> pa.Array:
+            scrubbed, ends, labels, ns = [], [0], [], []
+            for s, _ in map(_decoded, chunk.to_pylist()):
+                counts = {}
+                if s is not None:
+                    t = Text(s)
+                    for f, rule in zip(finders, rules, strict=True):
+                        at, n, out = 0, 0, []
+                        for m in f.matches(t, f.places(t)):
+                            out += (s[at : m.start()], *(x if isinstance(x, str) else s[slice(*m.span(x))] for x in f.to))
+                            at, n = m.end(), n + 1
+                        if n:
+                            s = "".join((*out, s[at:]))
+                            t = Text(s)
+                            counts[rule.label] = counts.get(rule.label, 0) + n
+                scrubbed.append(s if counts else None)
+                labels += counts.keys()
+                ns += counts.values()
+                ends.append(len(ns))
+            lists = (pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (pa.array(labels, pa.string()), pa.array(ns, pa.int32())))
+            return pa.StructArray.from_arrays([pa.array(scrubbed, pa.string()), *lists], ["s", "labels", "n"])
+
+        return _in_chunks(texts, of)
 
     return replace(text.cast("binary"))
